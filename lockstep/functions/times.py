@@ -1,6 +1,6 @@
 """Epoch-millisecond arithmetic on columns."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -9,6 +9,16 @@ def at_millis(ms: Column) -> Column:
     return F.timestamp_millis(ms.cast("bigint"))
 
 
+def cutoff_like(df: DataFrame, column: str, ms: int) -> Column:
+    """A literal instant in the type of a time column, so that a comparison is pushed to the scan."""
+    return at_millis(F.lit(ms)).cast(df.schema[column].dataType)
+
+
+def micros(col: Column) -> Column:
+    """Epoch microseconds; a time without zone is read in the session's zone."""
+    return F.unix_micros(col.cast("timestamp"))
+
+
 def elapsed_exceeds(now_ms: Column, since_ms: Column, minutes: Column) -> Column:
     """Strictly more than ``minutes`` have passed; 64-bit throughout."""
     return (now_ms - since_ms) > minutes.cast("bigint") * F.lit(60000).cast("bigint")

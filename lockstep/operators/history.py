@@ -4,10 +4,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lockstep.functions.names import is_qualified
-from lockstep.functions.times import at_millis
+from lockstep.functions.times import at_millis, cutoff_like, micros
 from lockstep.model import GROUP_KEY
 from lockstep.operators.skew import sliced_join
 
+# Fixed value: one more than the widest 64-bit version, as a decimal.
 _SHIFT = "cast(10000000000000000000 as decimal(20,0))"
 
 
@@ -18,7 +19,7 @@ def _rank(ts: str, version: str) -> Column:
     decimal keeps ``max`` in the hash aggregate. 19 digits of microseconds and 19
     of version fit in decimal(38).
     """
-    return F.expr(f"cast(unix_micros({ts}) as decimal(19,0)) * {_SHIFT} + {version}")
+    return micros(F.col(ts)).cast("decimal(19,0)") * F.expr(_SHIFT) + F.col(version)
 
 
 def _version_of(rank: str) -> Column:
@@ -70,7 +71,7 @@ def as_of_time(commits: DataFrame, cutoff_ms: int, operation: str | None = None)
     The cutoff reaches the scan as a pushed filter and the rest is a single
     partially aggregated shuffle.
     """
-    eligible = commits.filter(F.col("ts") <= at_millis(F.lit(cutoff_ms)))
+    eligible = commits.filter(F.col("ts") <= cutoff_like(commits, "ts", cutoff_ms))
     if operation is not None:
         eligible = eligible.filter(F.col("operation") == operation)
     return (

@@ -30,11 +30,13 @@ def decide(
     once the failover interval has passed; a scheduled group at now once its interval
     has passed. Both logs are aggregated to one row per table and per job first.
     """
-    groups = state.join(
-        workspaces.select("workspace_name", "sync_interval_mins", "sync_failover_interval_mins"),
-        "workspace_name",
-    ).withColumn("last_ms", F.col("last_successful_run_time"))
-    groups = groups.join(has_new_commits(groups, commits), GROUP_KEY)
+    state = state.withColumn("last_ms", F.col("last_successful_run_time"))
+    intervals = workspaces.select(
+        "workspace_name", "sync_interval_mins", "sync_failover_interval_mins"
+    )
+    groups = state.join(intervals, "workspace_name").join(
+        has_new_commits(state, commits), GROUP_KEY
+    )
     groups = latest_success(groups.withColumn("job_id", F.col("workflow_id")), runs)
 
     now, last = F.lit(now_ms).cast("bigint"), F.col("last_ms")

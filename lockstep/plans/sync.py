@@ -83,7 +83,7 @@ def _copy_all(
             return (*key, *versions, None, None, f"{type(error).__name__}: {error}"[:2000])
 
     with ThreadPool(max_workers) as pool:
-        return list(pool.imap_unordered(inheritable_thread_target(one), plan.toLocalIterator()))
+        return list(pool.imap_unordered(inheritable_thread_target(spark)(one), plan.toLocalIterator()))
 
 
 def _complete(outcomes: list[tuple]) -> list[tuple]:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,14 +45,16 @@ def version_dir(root: str, table: str, version: int) -> str:
     return f"{table_dir(root, table)}/v={version}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An append-only parquet log; empty when nothing was written yet."""
-    try:
+    if exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def append_log(df: DataFrame, path: str) -> None:

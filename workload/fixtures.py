@@ -18,10 +18,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their wall-clock time taken as UTC, to the millisecond."""
+    """Events; their wall-clock time counts as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    at = F.date_trunc("millisecond", F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").withColumn("ts", at)
+    return table(spark, sf_dir, "events")
 
 
 def _group_id() -> Column:
@@ -55,14 +54,15 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and errors are workflow runs of the user's group; kinds 1, 2, 4 never succeed."""
+    end_ms = F.unix_millis(F.col("ts").cast("timestamp"))
     succeeds = (F.col("event_type") == "purchase") & ~(_group_id() % 10).isin(1, 2, 4)
     return (
         events(spark, sf_dir)
         .filter(F.col("event_type").isin("purchase", "error"))
         .select(
             _group_id().cast("string").alias("job_id"),
-            (F.unix_millis("ts") - 60000).alias("start_time_ms"),
-            F.unix_millis("ts").alias("end_time_ms"),
+            (end_ms - 60000).alias("start_time_ms"),
+            end_ms.alias("end_time_ms"),
             F.when(succeeds, "SUCCESS").otherwise("FAILED").alias("result_state"),
         )
     )

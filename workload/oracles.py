@@ -1,7 +1,7 @@
 """The same queries as plain SQL, written against the given tables."""
 
 _COMMITS = """commits as (
-  select concat('lake.raw.u', user_id) as table_name, event_id as version, ts, epoch_us(ts) // 1000 as ts_ms,
+  select concat('lake.raw.u', user_id) as table_name, event_id as version, ts, epoch_us(ts) as ts_us, epoch_us(ts) // 1000 as ts_ms,
          case event_type when 'signup' then 'CLONE' when 'purchase' then 'MERGE' else 'WRITE' end as operation
   from events)"""
 
@@ -23,7 +23,7 @@ members as (
   from state, (values (0), (1), (2)) t(i))"""
 
 _DECISIONS = """activity as (
-  select m.group_name, coalesce(bool_or(c.ts_ms > m.last_ms), false) as has_new
+  select m.group_name, coalesce(bool_or(c.ts_us > m.last_ms * 1000), false) as has_new
   from members m left join commits c on c.table_name = m.table_name group by m.group_name),
 run_ends as (
   select s.group_name, max(epoch_us(e.ts) // 1000) as run_end
@@ -59,9 +59,9 @@ def _latest(targets: str, cutoff: str, condition: str = "true") -> str:
     """Every target with its latest commit at or before its cutoff."""
     return f"""select m.*, c.version, c.ts_ms as commit_ms, c.operation as op
   from {targets} m left join commits c
-    on c.table_name = m.table_name and c.ts_ms <= m.{cutoff} and {condition}
+    on c.table_name = m.table_name and c.ts_us <= m.{cutoff} * 1000 and {condition}
   qualify row_number() over (
-    partition by m.group_name, m.table_name order by c.ts_ms desc nulls last, c.version desc) = 1"""
+    partition by m.group_name, m.table_name order by c.ts_us desc nulls last, c.version desc) = 1"""
 
 
 _CONFIG = """workspaces as (
@@ -171,8 +171,8 @@ def all_oracles() -> dict[str, str]:
     return {
         "q_version_as_of": f"""with {_COMMITS}
             select table_name, version, ts_ms as commit_ms from commits
-            where ts_ms <= 1705276800000
-            qualify row_number() over (partition by table_name order by ts_ms desc, version desc) = 1""",
+            where ts_us <= 1705276800000000
+            qualify row_number() over (partition by table_name order by ts_us desc, version desc) = 1""",
         "q_version_as_of_targets": f"""with {_COMMITS}, {_STATE}
             select {_ROW}, last_ms as cutoff_ms, version, commit_ms from ({_latest("members", "last_ms")})""",
         "q_clone_version_as_of": f"""with {_COMMITS}, {_STATE}
@@ -183,7 +183,7 @@ def all_oracles() -> dict[str, str]:
                    concat('u', gid * 3 + position) as "table",
                    concat('stage/lake/raw/u', gid * 3 + position) as path from members""",
         "q_new_commits_by_group": f"""with {_COMMITS}, {_STATE}
-            select m.workspace_name, m.group_name, coalesce(bool_or(c.ts_ms > m.last_ms), false) as has_new
+            select m.workspace_name, m.group_name, coalesce(bool_or(c.ts_us > m.last_ms * 1000), false) as has_new
             from members m left join commits c on c.table_name = m.table_name
             group by m.workspace_name, m.group_name""",
         "q_latest_success": f"""with {_STATE}
