@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -46,44 +46,62 @@ def retry(
 
 
 def _numbered(plan: DataFrame, dst_commits: DataFrame) -> DataFrame:
-    """Give every planned copy the destination version it will write.
+    """Give every planned copy the destination version it will write, and its group's size.
 
     Groups sharing a table write consecutive versions of it.
     """
     top = dst_commits.groupBy("table_name").agg(F.max("version").alias("_top"))
     nth = F.row_number().over(Window.partitionBy("table_name").orderBy(*GROUP_KEY))
     return (
-        plan.join(top, "table_name", "left")
+        plan.withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy(*GROUP_KEY)))
+        .join(top, "table_name", "left")
         .withColumn("dst_version", F.coalesce("_top", F.lit(-1)) + nth)
         .drop("_top")
     )
 
 
-def _copy_all(
+def _copied_groups(
     spark: SparkSession,
     plan: DataFrame,
     copy: Callable[[Row], tuple[int, int]],
     max_workers: int,
     sleep: Callable[[float], None],
-) -> list[tuple]:
+    publish_every_s: float,
+) -> Iterator[list[tuple]]:
     """Run one distributed copy job per planned row, ``max_workers`` at a time.
 
-    Only the copy list, one small row per table, reaches the driver. A failed copy
-    becomes an outcome with an error instead of ending the run.
+    Yields the outcomes of finished groups, at most once per ``publish_every_s`` and
+    at the end, so that a long run makes groups visible as they complete. Only the
+    copy list, one small row per table, reaches the driver. A failed copy becomes an
+    outcome with an error instead of ending the run.
     """
 
-    def one(row: Row) -> tuple:
+    def one(row: Row) -> tuple[Row, tuple]:
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", row["group_name"])
         key = (row["workspace_name"], row["group_name"], row["position"], row["table_name"])
         versions = (row["version"], row["dst_version"])
         try:
             rows, nbytes = retry(lambda: copy(row), row["tries"], sleep)
-            return (*key, *versions, rows, nbytes, None)
+            return row, (*key, *versions, rows, nbytes, None)
         except Exception as error:
-            return (*key, *versions, None, None, f"{type(error).__name__}: {error}"[:2000])
+            text = f"{type(error).__name__}: {error}"[:2000]
+            return row, (*key, *versions, None, None, text)
 
+    open_groups: dict[tuple, list[tuple]] = {}
+    finished: list[tuple] = []
+    published = time.monotonic()
     with ThreadPool(max_workers) as pool:
-        return list(pool.imap_unordered(inheritable_thread_target(spark)(one), plan.toLocalIterator()))
+        tasks = pool.imap_unordered(inheritable_thread_target(spark)(one), plan.toLocalIterator())
+        for row, outcome in tasks:
+            group = outcome[:2]
+            open_groups.setdefault(group, []).append(outcome)
+            if len(open_groups[group]) == row["group_size"]:
+                finished += open_groups.pop(group)
+            if finished and time.monotonic() - published >= publish_every_s:
+                yield finished
+                finished, published = [], time.monotonic()
+    if finished:
+        yield finished
 
 
 def _complete(outcomes: list[tuple]) -> list[tuple]:
@@ -92,26 +110,21 @@ def _complete(outcomes: list[tuple]) -> list[tuple]:
     return [o for o in outcomes if o[:2] not in failed]
 
 
-def _publish(
-    spark: SparkSession, root: str, done: list[tuple], at_ms: int
-) -> DataFrame:
+def _publish(spark: SparkSession, root: str, done: list[tuple], at_ms: int) -> DataFrame:
     """Commit the copied versions, then release their groups; returns the copies."""
     copies = spark.createDataFrame(done, _OUTCOME)
-    if done:
-        snapshots.commit(
-            spark,
-            root,
-            [snapshots.clone_row(o[3], o[5], at_ms, o[4], o[6], o[7]) for o in done],
-        )
-        releases.append(
-            copies.select(
-                *GROUP_KEY,
-                F.lit(at_ms).cast("bigint").alias("release_ms"),
-                "table_name",
-                F.col("dst_version").alias("version"),
-            ),
-            root,
-        )
+    snapshots.commit(
+        spark, root, [snapshots.clone_row(o[3], o[5], at_ms, o[4], o[6], o[7]) for o in done]
+    )
+    releases.append(
+        copies.select(
+            *GROUP_KEY,
+            F.lit(at_ms).cast("bigint").alias("release_ms"),
+            "table_name",
+            F.col("dst_version").alias("version"),
+        ),
+        root,
+    )
     return copies
 
 
@@ -126,7 +139,7 @@ def _with_tries(plan: DataFrame, workspaces: DataFrame) -> DataFrame:
 
 
 def _summarise(
-    spark: SparkSession, groups: DataFrame, outcomes: list[tuple], state_root: str, at_ms: int, mode: str
+    spark: SparkSession, groups: DataFrame, outcomes: list[tuple], root: str, at_ms: int, mode: str
 ) -> DataFrame:
     """One row per group looked at, skipped and failed ones included; kept in ``_runs``."""
     per_group = (
@@ -148,7 +161,7 @@ def _summarise(
             "last_successful_run_time", "sync_status", "decision", "error",
         )
     )
-    log = f"{state_root}/_runs"
+    log = f"{root}/_runs"
     snapshots.append_log(result, log)
     return spark.read.schema(result.schema).parquet(log).filter(
         (F.col("run_ms") == at_ms) & (F.col("mode") == mode)
@@ -166,6 +179,7 @@ def send(
     max_workers: int = 10,
     on_missing: str = "block",
     changed_only: bool = False,
+    publish_every_s: float = 60.0,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """Stage every group due now and return one row per group with its decision.
@@ -177,18 +191,17 @@ def send(
     checkpoint_root(spark)
     now = clock() if now_ms is None else now_ms
     commits = snapshots.commits(spark, source_root)
+    state.compact(spark, stage_root)
     control = state.load(spark, stage_root)
     decisions = decide.decide(control, workspaces, commits, runs, now).checkpoint()
-    plan = decide.build(decisions, commits, on_missing)
-    plan = _with_tries(plan, workspaces)
+    plan = _with_tries(decide.build(decisions, commits, on_missing), workspaces)
     plan = _numbered(plan, snapshots.commits(spark, stage_root)).checkpoint()
     due = plan.filter(F.col("decision") != decide.NO_VERSION)
 
     started = due.filter(F.col("decision").isin(WORKFLOW_TIME, THRESHOLD_TIME))
     started = started.select(*GROUP_KEY).distinct().withColumn("sync_status", F.lit(IN_PROGRESS))
     if not started.isEmpty():
-        state.save(state.patch(control, started), stage_root, clock())
-        control = state.load(spark, stage_root)
+        retry(lambda: state.record(started, stage_root, "sender"), sleep=sleep)
 
     def copy(row: Row) -> tuple[int, int]:
         how = snapshots.copy_changed if changed_only else snapshots.copy
@@ -196,49 +209,59 @@ def send(
             spark, source_root, stage_root, row["table_name"], row["version"], row["dst_version"]
         )
 
-    outcomes = _copy_all(spark, due, copy, max_workers, sleep)
-    done = _complete(outcomes)
-    done_ms = clock()
-    copies = _publish(spark, stage_root, done, done_ms)
-    if done:
-        by_workflow = F.col("decision") != SCHEDULE_TIME
-        copied = copies.join(
-            due.select(*GROUP_KEY, "table_name", "decision", "commit_ms", "cutoff_ms"),
-            [*GROUP_KEY, "table_name"],
-        ).select(
-            *GROUP_KEY,
-            "position",
-            "table_name",
-            "decision",
-            "cutoff_ms",
-            F.when(by_workflow, F.col("commit_ms")).alias("sync_commit_timestamp"),
-            F.when(by_workflow, F.col("version")).alias("sync_commit_version"),
-            F.col("bytes").alias("source_table_size"),
-        )
-        metrics = encode_metrics(
-            copied,
-            "source_operation_metrics",
-            ["sync_commit_timestamp", "sync_commit_version", "source_table_size"],
-        )
-        patches = (
-            copied.groupBy(*GROUP_KEY)
-            .agg(
-                F.max("cutoff_ms").alias("last_successful_run_time"),
-                F.max("decision").alias("sync_reason"),
-            )
-            .join(metrics, GROUP_KEY)
-            .withColumn("sync_status", F.lit(SUCCESS))
-            .withColumn("sync_time_to_region", F.lit(done_ms).cast("bigint"))
-        )
-        state.save(state.patch(control, patches), stage_root, done_ms)
+    def publish(done: list[tuple]) -> None:
+        done_ms = clock()
+        copies = _publish(spark, stage_root, done, done_ms)
+        patches = _source_patches(copies, due, done_ms)
+        retry(lambda: state.record(patches, stage_root, "sender"), sleep=sleep)
+
+    outcomes = []
+    for finished in _copied_groups(spark, due, copy, max_workers, sleep, publish_every_s):
+        outcomes += finished
+        done = _complete(finished)
+        if done:
+            publish(done)
 
-    blocked = plan.select(*GROUP_KEY, F.col("decision").alias("_planned")).distinct()
+    planned = plan.select(*GROUP_KEY, F.col("decision").alias("_planned")).distinct()
     groups = (
-        decisions.join(blocked, GROUP_KEY, "left")
+        decisions.join(planned, GROUP_KEY, "left")
         .withColumn("decision", F.coalesce("_planned", "decision"))
         .withColumn("last_successful_run_time", F.coalesce("cutoff_ms", "last_ms"))
     )
-    return _summarise(spark, groups, outcomes, stage_root, done_ms, "sender")
+    return _summarise(spark, groups, outcomes, stage_root, clock(), "sender")
+
+
+def _source_patches(copies: DataFrame, due: DataFrame, done_ms: int) -> DataFrame:
+    """What the control table records of staged groups."""
+    by_workflow = F.col("decision") != SCHEDULE_TIME
+    copied = copies.join(
+        due.select(*GROUP_KEY, "table_name", "decision", "commit_ms", "cutoff_ms"),
+        [*GROUP_KEY, "table_name"],
+    ).select(
+        *GROUP_KEY,
+        "position",
+        "table_name",
+        "decision",
+        "cutoff_ms",
+        F.when(by_workflow, F.col("commit_ms")).alias("sync_commit_timestamp"),
+        F.when(by_workflow, F.col("version")).alias("sync_commit_version"),
+        F.col("bytes").alias("source_table_size"),
+    )
+    metrics = encode_metrics(
+        copied,
+        "source_operation_metrics",
+        ["sync_commit_timestamp", "sync_commit_version", "source_table_size"],
+    )
+    return (
+        copied.groupBy(*GROUP_KEY)
+        .agg(
+            F.max("cutoff_ms").alias("last_successful_run_time"),
+            F.max("decision").alias("sync_reason"),
+        )
+        .join(metrics, GROUP_KEY)
+        .withColumn("sync_status", F.lit(SUCCESS))
+        .withColumn("sync_time_to_region", F.lit(done_ms).cast("bigint"))
+    )
 
 
 def receive(
@@ -249,6 +272,7 @@ def receive(
     clock: Callable[[], int] = snapshots.now_millis,
     max_workers: int = 10,
     register: bool = False,
+    publish_every_s: float = 60.0,
     sleep: Callable[[float], None] = time.sleep,
 ) -> DataFrame:
     """Deliver every staged group and return one row per pending group.
@@ -259,43 +283,53 @@ def receive(
     checkpoint_root(spark)
     started_ms = clock()
     control = state.load(spark, stage_root)
-    ours = control.join(workspaces.select("workspace_name").distinct(), "workspace_name", "left_semi")
-    plan = deliver.plan(ours, snapshots.commits(spark, stage_root), releases.load(spark, stage_root))
+    ours = workspaces.select("workspace_name").distinct()
+    control = control.join(ours, "workspace_name", "left_semi").checkpoint()
+    released = releases.load(spark, stage_root)
+    plan = deliver.plan(control, snapshots.commits(spark, stage_root), released)
     plan = _with_tries(plan, workspaces)
     plan = _numbered(plan, snapshots.commits(spark, dst_root)).checkpoint()
     due = plan.filter(F.col("decision") == deliver.DELIVER)
 
     def copy(row: Row) -> tuple[int, int]:
-        table = row["table_name"]
-        rows, _ = snapshots.copy(spark, stage_root, dst_root, table, row["version"], row["dst_version"])
-        return rows, snapshots.version_size(spark, stage_root, table, row["version"])
-
-    outcomes = _copy_all(spark, due, copy, max_workers, sleep)
-    done = _complete(outcomes)
-    done_ms = clock()
-    copies = _publish(spark, dst_root, done, done_ms)
-    if register:
-        for outcome in done:
-            snapshots.register(spark, dst_root, outcome[3], outcome[5])
-    if done:
-        copied = copies.join(
-            due.select(*GROUP_KEY, "table_name", "source_version"), [*GROUP_KEY, "table_name"]
-        ).select(
-            *GROUP_KEY,
-            "position",
-            "table_name",
-            F.col("source_version").cast("string").alias("sync_commit_version"),
-            F.col("bytes").alias("source_table_size"),
-        )
-        patches = encode_metrics(
-            copied, "target_operation_metrics", ["sync_commit_version", "source_table_size"]
-        ).withColumn("sync_time_in_region", F.lit(started_ms).cast("bigint"))
-        state.save(state.patch(control, patches), stage_root, done_ms)
+        table, version = row["table_name"], row["version"]
+        rows, _ = snapshots.copy(spark, stage_root, dst_root, table, version, row["dst_version"])
+        return rows, snapshots.version_size(spark, stage_root, table, version)
+
+    def publish(done: list[tuple]) -> None:
+        copies = _publish(spark, dst_root, done, clock())
+        if register:
+            for outcome in done:
+                snapshots.register(spark, dst_root, outcome[3], outcome[5])
+        patches = _target_patches(copies, due, started_ms)
+        retry(lambda: state.record(patches, stage_root, "receiver"), sleep=sleep)
+
+    outcomes = []
+    for finished in _copied_groups(spark, due, copy, max_workers, sleep, publish_every_s):
+        outcomes += finished
+        done = _complete(finished)
+        if done:
+            publish(done)
 
     planned = plan.select(*GROUP_KEY, "decision").distinct()
-    return _summarise(
-        spark, control.drop("sync_status").join(planned, GROUP_KEY), outcomes, stage_root, done_ms, "receiver"
+    groups = control.drop("sync_status").join(planned, GROUP_KEY)
+    return _summarise(spark, groups, outcomes, dst_root, clock(), "receiver")
+
+
+def _target_patches(copies: DataFrame, due: DataFrame, started_ms: int) -> DataFrame:
+    """What the control table records of delivered groups."""
+    copied = copies.join(
+        due.select(*GROUP_KEY, "table_name", "source_version"), [*GROUP_KEY, "table_name"]
+    ).select(
+        *GROUP_KEY,
+        "position",
+        "table_name",
+        F.col("source_version").cast("string").alias("sync_commit_version"),
+        F.col("bytes").alias("source_table_size"),
     )
+    return encode_metrics(
+        copied, "target_operation_metrics", ["sync_commit_version", "source_table_size"]
+    ).withColumn("sync_time_in_region", F.lit(started_ms).cast("bigint"))
 
 
 def sync(mode: str, spark: SparkSession, *args, **kwargs) -> DataFrame:

@@ -3,16 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lockstep.sources.paths import any_file
+
 # Columns of the built-in binaryFile source.
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def has_files(spark: SparkSession, directory: str) -> bool:
-    """Is anything waiting? Lists files without reading their content."""
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-    )
-    return not listing.select("path").limit(1).isEmpty()
+    """Is anything waiting? However many files are, only the first is looked at."""
+    return any_file(spark, directory)
 
 
 def with_file_columns(files: DataFrame, workspace_name: str) -> DataFrame:

@@ -20,7 +20,8 @@ from lockstep.functions.names import split_name
 from lockstep.functions.times import at_millis
 from lockstep.model import CLONE, COMMITS, INT, LONG, STRING, struct
 from lockstep.operators.history import as_of_time
-from lockstep.operators.reconcile import MAX_BUCKETS, bucket_digests, bucket_of
+from lockstep.operators.reconcile import bucket_digests, bucket_of
+from lockstep.sources.paths import exists
 
 # Which version directory holds each bucket of a version copied by bucket, with the
 # bucket's digest and what the digest depends on.
@@ -45,11 +46,6 @@ def version_dir(root: str, table: str, version: int) -> str:
     return f"{table_dir(root, table)}/v={version}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """An append-only parquet log; empty when nothing was written yet."""
     if exists(spark, path):

@@ -1,14 +1,28 @@
-"""The control table: one row per group with its config, watermarks and metrics."""
+"""The control table: one row per group with its config, watermarks and metrics.
+
+Declarations are published as table versions. What runs record is appended as sparse
+patches, each writer in its own folder, and folded in on reading: a sender and a
+receiver can record at the same time without losing either's update.
+"""
+
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.model import GROUP_KEY, RUN_STATE, STATE
+from lockstep.model import GROUP_KEY, LONG, RUN_STATE, STATE, STRING, struct
 from lockstep.operators.merge import require_unique
 from lockstep.sources import snapshots
 
 STATE_TABLE = "sync.meta.state"
 
+PATCHES = struct(
+    patch_ns=LONG,
+    **{f.name: f.dataType for f in STATE if f.name in GROUP_KEY + RUN_STATE},
+    base_version=LONG,
+    writer=STRING,
+)
+
 
 def create(spark: SparkSession, root: str, at_ms: int | None = None) -> int:
     """Create an empty control table unless it exists."""
@@ -16,16 +30,59 @@ def create(spark: SparkSession, root: str, at_ms: int | None = None) -> int:
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
-    """The latest control table, created empty when absent."""
-    return snapshots.read_version(spark, root, STATE_TABLE, create(spark, root))
+    """The control table as of now, created empty when absent."""
+    version = create(spark, root)
+    base = spark.read.schema(STATE).parquet(snapshots.version_dir(root, STATE_TABLE, version))
+    return patch(base, fold(_patches(spark, root, version)), checked=False)
 
 
 def save(state: DataFrame, root: str, at_ms: int | None = None) -> int:
-    """Publish a new control table version."""
+    """Publish a new control table version, which takes over all earlier patches."""
     columns = [F.col(f.name).cast(f.dataType) for f in STATE]
     return snapshots.publish(state.select(*columns), root, STATE_TABLE, "MERGE", at_ms)
 
 
+def record(patches: DataFrame, root: str, writer: str) -> None:
+    """Append patches (group key and any run-state columns) on behalf of one writer.
+
+    A patch belongs to the version it was made against. One that misses a version
+    published at the same moment is dropped, and its group is simply due again.
+    """
+    require_unique(patches, GROUP_KEY)
+    spark = patches.sparkSession
+    version = snapshots.latest_version(spark, root, STATE_TABLE)
+    given = [
+        (F.col(f.name) if f.name in patches.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in PATCHES
+        if f.name in GROUP_KEY + RUN_STATE
+    ]
+    rows = patches.select(F.lit(time.time_ns()).cast("bigint").alias("patch_ns"), *given)
+    snapshots.append_log(rows, f"{root}/_patches/base_version={version}/writer={writer}")
+
+
+def fold(patches: DataFrame) -> DataFrame:
+    """One patch per group: of every column the latest value supplied."""
+
+    def latest(name: str):
+        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("patch_ns"))).alias(name)
+
+    return patches.groupBy(*GROUP_KEY).agg(*[latest(c) for c in RUN_STATE])
+
+
+def compact(spark: SparkSession, root: str, limit: int = 500) -> None:
+    """Publish a new version once more than ``limit`` patches have gathered.
+
+    For the one writer that also publishes declarations.
+    """
+    if _patches(spark, root, create(spark, root)).limit(limit + 1).count() > limit:
+        save(load(spark, root), root)
+
+
+def _patches(spark: SparkSession, root: str, version: int) -> DataFrame:
+    log = snapshots.read_log(spark, f"{root}/_patches", PATCHES)
+    return log.filter(F.col("base_version") == version)
+
+
 def register_view(spark: SparkSession, root: str, view: str = "sync_state") -> None:
     """Make the latest control table available to SQL text."""
     load(spark, root).createOrReplaceTempView(view)
@@ -66,9 +123,13 @@ def merge_config(
     ).select(*STATE.names)
 
 
-def patch(state: DataFrame, patches: DataFrame) -> DataFrame:
-    """Set the supplied columns of the addressed groups; an absent or NULL field keeps its value."""
-    require_unique(patches, GROUP_KEY)
+def patch(state: DataFrame, patches: DataFrame, checked: bool = True) -> DataFrame:
+    """Set the supplied columns of the addressed groups; an absent or NULL field keeps its value.
+
+    Two patches for one group are an error; ``checked=False`` skips looking for them.
+    """
+    if checked:
+        require_unique(patches, GROUP_KEY)
     changed = [c for c in RUN_STATE if c in patches.columns]
     new = patches.select(*GROUP_KEY, *[F.col(c).alias(f"_{c}") for c in changed])
     return state.join(new, GROUP_KEY, "left").select(

@@ -195,3 +195,29 @@ def test_copies_are_retried(spark, places, monkeypatch):
                     now_ms=T0 + HOUR, sleep=waits.append)
     assert {r["sync_status"] for r in out.collect()} == {"Success"}
     assert len(waits) == 1
+
+
+def test_groups_are_published_as_they_finish(spark, places):
+    """With no waiting between publications every group gets its own release."""
+    send(spark, places, [T0 + HOUR], T0 + HOUR, publish_every_s=0, max_workers=1)
+    times = [r["release_ms"] for r in releases.load(spark, places[1]).collect()]
+    assert len(set(times)) == 2
+
+
+def test_sender_and_receiver_record_side_by_side(spark, root):
+    declare(spark, root, ("g", "1", [A]))
+    key = "workspace_name string, group_name string, "
+    record = lambda writer, schema, *values: state.record(
+        spark.createDataFrame([("w", "g", *values)], key + schema), root, writer)
+    record("sender", "sync_status string", "In Progress")
+    record("receiver", "sync_time_in_region bigint", 5)
+    record("sender", "sync_status string, sync_time_to_region bigint", "Success", 6)
+    seen = lambda: tuple(state.load(spark, root).select(
+        "sync_status", "sync_time_to_region", "sync_time_in_region").first())
+    assert seen() == ("Success", 6, 5)
+    before = snapshots.latest_version(spark, root, state.STATE_TABLE)
+    state.compact(spark, root, limit=3)
+    assert snapshots.latest_version(spark, root, state.STATE_TABLE) == before
+    state.compact(spark, root, limit=2)
+    assert snapshots.latest_version(spark, root, state.STATE_TABLE) == before + 1
+    assert seen() == ("Success", 6, 5)
