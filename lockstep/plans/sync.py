@@ -16,17 +16,30 @@ from lockstep.functions.metrics import encode_metrics
 from lockstep.model import (
     GROUP_KEY,
     IN_PROGRESS,
+    INT,
+    LONG,
     SCHEDULE_TIME,
+    STRING,
     SUCCESS,
     THRESHOLD_TIME,
     WORKFLOW_TIME,
+    struct,
 )
 from lockstep.plans import decide, deliver
 from lockstep.scratch import checkpoint_root
 from lockstep.sources import releases, snapshots, state
 
-_OUTCOME = """workspace_name string, group_name string, position int, table_name string,
-              version bigint, dst_version bigint, rows bigint, bytes bigint, error string"""
+_OUTCOME = struct(
+    workspace_name=STRING,
+    group_name=STRING,
+    position=INT,
+    table_name=STRING,
+    version=LONG,
+    dst_version=LONG,
+    rows=LONG,
+    bytes=LONG,
+    error=STRING,
+)
 
 
 def retry(
@@ -112,7 +125,7 @@ def _complete(outcomes: list[tuple]) -> list[tuple]:
 
 def _publish(spark: SparkSession, root: str, done: list[tuple], at_ms: int) -> DataFrame:
     """Commit the copied versions, then release their groups; returns the copies."""
-    copies = spark.createDataFrame(done, _OUTCOME)
+    copies = snapshots.small_frame(spark, done, _OUTCOME)
     snapshots.commit(
         spark, root, [snapshots.clone_row(o[3], o[5], at_ms, o[4], o[6], o[7]) for o in done]
     )
@@ -143,7 +156,7 @@ def _summarise(
 ) -> DataFrame:
     """One row per group looked at, skipped and failed ones included; kept in ``_runs``."""
     per_group = (
-        spark.createDataFrame(outcomes, _OUTCOME)
+        snapshots.small_frame(spark, outcomes, _OUTCOME)
         .groupBy(*GROUP_KEY)
         .agg(F.max("error").alias("error"))
         .withColumn("_copied", F.lit(True))
@@ -201,7 +214,7 @@ def send(
     started = due.filter(F.col("decision").isin(WORKFLOW_TIME, THRESHOLD_TIME))
     started = started.select(*GROUP_KEY).distinct().withColumn("sync_status", F.lit(IN_PROGRESS))
     if not started.isEmpty():
-        retry(lambda: state.record(started, stage_root, "sender"), sleep=sleep)
+        retry(lambda: state.record(started, stage_root, "sender", checked=False), sleep=sleep)
 
     def copy(row: Row) -> tuple[int, int]:
         how = snapshots.copy_changed if changed_only else snapshots.copy
@@ -213,7 +226,7 @@ def send(
         done_ms = clock()
         copies = _publish(spark, stage_root, done, done_ms)
         patches = _source_patches(copies, due, done_ms)
-        retry(lambda: state.record(patches, stage_root, "sender"), sleep=sleep)
+        retry(lambda: state.record(patches, stage_root, "sender", checked=False), sleep=sleep)
 
     outcomes = []
     for finished in _copied_groups(spark, due, copy, max_workers, sleep, publish_every_s):
@@ -302,7 +315,7 @@ def receive(
             for outcome in done:
                 snapshots.register(spark, dst_root, outcome[3], outcome[5])
         patches = _target_patches(copies, due, started_ms)
-        retry(lambda: state.record(patches, stage_root, "receiver"), sleep=sleep)
+        retry(lambda: state.record(patches, stage_root, "receiver", checked=False), sleep=sleep)
 
     outcomes = []
     for finished in _copied_groups(spark, due, copy, max_workers, sleep, publish_every_s):

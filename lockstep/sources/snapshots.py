@@ -11,14 +11,15 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lockstep.functions.digest import DIGEST
 from lockstep.functions.names import split_name
 from lockstep.functions.times import at_millis
-from lockstep.model import CLONE, COMMITS, INT, LONG, STRING, struct
+from lockstep.model import CLONE, COMMITS, INT, LONG, STRING, STRING_MAP, TIME, struct
 from lockstep.operators.history import as_of_time
 from lockstep.operators.reconcile import bucket_digests, bucket_of
 from lockstep.sources.paths import exists
@@ -34,6 +35,15 @@ BUCKETS = struct(
 )
 
 
+_ARROW = {
+    STRING: pa.string(),
+    LONG: pa.int64(),
+    INT: pa.int32(),
+    TIME: pa.timestamp("us", tz="UTC"),
+    STRING_MAP: pa.map_(pa.string(), pa.string()),
+}
+
+
 def now_millis() -> int:
     return int(time.time() * 1000)
 
@@ -69,14 +79,25 @@ def commit_row(
     operation: str,
     parameters: dict[str, str] | None = None,
     metrics: dict[str, str] | None = None,
-) -> Row:
+) -> tuple:
     at = datetime.fromtimestamp(at_ms / 1000, tz=timezone.utc)
-    return Row(table, version, at, operation, parameters or {}, metrics or {})
+    return (table, version, at, operation, parameters or {}, metrics or {})
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """Control rows held by the driver as a DataFrame, handed over as Arrow columns."""
+    columns = []
+    for i, field in enumerate(schema):
+        values = [row[i] for row in rows]
+        if isinstance(field.dataType, T.MapType):
+            values = [None if v is None else list(v.items()) for v in values]
+        columns.append(pa.array(values, _ARROW[field.dataType]))
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
 
 
-def commit(spark: SparkSession, root: str, rows: list[Row]) -> None:
+def commit(spark: SparkSession, root: str, rows: list[tuple]) -> None:
     """Make written versions visible, all rows in one append."""
-    append_log(spark.createDataFrame(rows, COMMITS), f"{root}/_commits")
+    append_log(small_frame(spark, rows, COMMITS), f"{root}/_commits")
 
 
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
@@ -242,7 +263,7 @@ def copy(
 
 def clone_row(
     table: str, version: int, at_ms: int, source_version: int, rows: int, nbytes: int
-) -> Row:
+) -> tuple:
     return commit_row(
         table,
         version,

@@ -42,13 +42,15 @@ def save(state: DataFrame, root: str, at_ms: int | None = None) -> int:
     return snapshots.publish(state.select(*columns), root, STATE_TABLE, "MERGE", at_ms)
 
 
-def record(patches: DataFrame, root: str, writer: str) -> None:
+def record(patches: DataFrame, root: str, writer: str, checked: bool = True) -> None:
     """Append patches (group key and any run-state columns) on behalf of one writer.
 
     A patch belongs to the version it was made against. One that misses a version
-    published at the same moment is dropped, and its group is simply due again.
+    published at the same moment is dropped, and its group is simply due again. Two
+    patches for one group are an error; ``checked=False`` skips looking for them.
     """
-    require_unique(patches, GROUP_KEY)
+    if checked:
+        require_unique(patches, GROUP_KEY)
     spark = patches.sparkSession
     version = snapshots.latest_version(spark, root, STATE_TABLE)
     given = [

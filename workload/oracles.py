@@ -351,7 +351,7 @@ def all_oracles() -> dict[str, str]:
             select l_orderkey, l_linenumber, cast(sum(s) as bigint) as src_rows,
                    cast(sum(d) as bigint) as dst_rows
             from bodies group by l_orderkey, l_linenumber having bool_or(s <> d)""",
-        "q_reconcile_buckets": "select 0 as differing, cast(null as bigint) as src_rows",
+        "q_reconcile_buckets": "select 0::bigint as differing, cast(null as bigint) as src_rows",
         "q_changed_only_clone": f"""select {_ORDERS},
             case when o_custkey = 11 then 0.0 else o_totalprice end as o_totalprice from orders""",
         "q_group_sync": """select 'lake.sales.orders' as table_name, count(*) as row_count,
@@ -371,9 +371,9 @@ def all_oracles() -> dict[str, str]:
             cast(sum(length(text) + 1) as bigint) as chars from documents group by source""",
         "q_upsert_stream": """with a as (
               select o_custkey, count(*) as n, max(o_totalprice) as top from orders
-              where o_orderdate < '1998-01-01' group by o_custkey),
+              where o_orderdate < '2001-01-01' group by o_custkey),
             b as (select o_custkey, count(*) as n, max(o_totalprice) as top from orders
-              where o_orderdate >= '2001-06-01' group by o_custkey)
+              where o_orderdate >= '2001-01-01' group by o_custkey)
             select * from b union all
             select * from a where o_custkey not in (select o_custkey from b)""",
     }

@@ -502,7 +502,7 @@ def q_upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
     progress, name = scratch.new_dir(spark, "progress"), "lake.main.totals"
     orders = _orders(spark, sf)
     schema = "o_custkey bigint, n bigint, top double"
-    for period in ("o_orderdate < timestamp_ntz'1998-01-01'", "o_orderdate >= timestamp_ntz'2001-06-01'"):
+    for period in ("o_orderdate < timestamp_ntz'2001-01-01'", "o_orderdate >= timestamp_ntz'2001-01-01'"):
         totals = orders.filter(period).groupBy("o_custkey").agg(
             F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top")
         )
