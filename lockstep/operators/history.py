@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lockstep.functions.names import is_qualified
 from lockstep.functions.times import at_millis, cutoff_like, micros
 from lockstep.model import GROUP_KEY
 from lockstep.operators.skew import sliced_join
@@ -38,11 +37,6 @@ def group_tables(groups: DataFrame) -> DataFrame:
     )
 
 
-def check_names(members: DataFrame) -> DataFrame:
-    """Members whose table name does not have exactly three parts."""
-    return members.filter(~is_qualified(F.col("table_name")))
-
-
 def last_commits(commits: DataFrame) -> DataFrame:
     """Time of the last commit of every table."""
     return commits.groupBy("table_name").agg(F.max("ts").alias("last_commit"))

@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 
 from lockstep import scratch
 
-# Below this many source rows the target stays where it is (see ``upsert``).
-SMALL_BATCH_ROWS = 200_000
+# A batch whose keys stay below both bounds is looked up without moving the target.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 class DuplicateKeyError(ValueError):
@@ -21,67 +22,55 @@ def _any_null(keys: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
 
 
-def require_unique(df: DataFrame, keys: list[str]) -> int:
-    """Fail when a non-NULL key occurs twice; return the number of keyed rows.
+def require_unique(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Fail when a non-NULL key occurs twice; return the number and bytes of the keys.
 
     Partial aggregation collapses a heavily repeated key before the shuffle.
     """
+    width = reduce(
+        lambda a, b: a + b, [F.octet_length(F.col(k).cast("string")).cast("bigint") for k in keys]
+    )
     row = (
         df.filter(~_any_null(keys))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("most"), F.sum("n").alias("rows"))
+        .agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes"))
         .first()
     )
     if (row["most"] or 0) > 1:
         raise DuplicateKeyError(f"source has up to {row['most']} rows per key {keys}")
-    return row["rows"] or 0
+    return row["rows"], row["bytes"] or 0
 
 
 def upsert(
     target: DataFrame,
     source: DataFrame,
     keys: list[str],
-    small_batch_rows: int = SMALL_BATCH_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Matched rows take the source's values, new rows are added, the rest is kept.
 
-    A NULL key matches nothing: such target rows are kept, such source rows are
-    added, and neither is shuffled. Updating is a left join from the target, so
-    Spark broadcasts the batch when its size allows that and the target stays where
-    it is; otherwise a repeated target key can still be split by adaptive skew
-    handling, which a full outer join would not allow.
+    A match replaces every column, so the result is the target without the matched
+    keys plus the source, each source row as often as its key occurred in the target.
+    When the batch's keys are few and small, which is checked, they are broadcast and
+    the target is never shuffled. Otherwise the target is shuffled once in full and
+    once by key alone, and neither step puts a repeated key into one task: adaptive
+    execution may split the anti join, and the count is pre-aggregated. A NULL key
+    matches nothing: such rows are kept on both sides.
     """
     source = source.select(*target.columns)
-    small = require_unique(source, keys) <= small_batch_rows
-    null_key = _any_null(keys)
-    old, new = target.filter(~null_key), source.filter(~null_key)
-
-    values = [c for c in target.columns if c not in keys]
-    batch = new.select(
-        *keys, F.struct(F.lit(True).alias("hit"), *values).alias("_new")
-    )
-    kept = old.join(batch, keys, "left").select(
-        *[
-            F.col(c)
-            if c in keys
-            else F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            for c in target.columns
-        ]
-    )
-    known = old.select(*keys)
-    if small:
-        # few keys can match: look them up before removing repeats
-        known = known.join(new.select(*keys), keys, "left_semi").distinct()
-    else:
-        # collapse a repeated target key before the shuffle
-        known = known.distinct()
-    added = new.join(known, keys, "left_anti").select(*target.columns)
-    return (
-        kept.unionByName(added)
-        .unionByName(target.filter(null_key))
-        .unionByName(source.filter(null_key))
+    rows, nbytes = require_unique(source, keys)
+    known, given = target.select(*keys), source.select(*keys)
+    if rows <= broadcast_rows and nbytes <= BROADCAST_BYTES:
+        given = F.broadcast(given.filter(~_any_null(keys)))
+        known = known.join(given, keys, "left_semi")
+    matches = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    written = (
+        source.join(matches, keys, "left")
+        .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_n", F.lit(1)))))
+        .select(*target.columns)
     )
+    return target.join(given, keys, "left_anti").select(*target.columns).unionByName(written)
 
 
 def next_counter(target: DataFrame, counter: str) -> int:

@@ -5,6 +5,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.functions.names import is_qualified
 from lockstep.model import (
     DEFAULT_FAILOVER_MINS,
     DEFAULT_INTERVAL_MINS,
@@ -37,8 +38,8 @@ def _no_tables() -> Column:
 def violations(workspaces: DataFrame, groups: DataFrame) -> DataFrame:
     """Broken rules as (workspace_name, entity, rule); an empty result is a valid config.
 
-    Missing required workspace fields, group names declared twice in a workspace, and
-    groups with a workflow but without tables.
+    Missing required workspace fields, group names declared twice in a workspace, groups
+    with a workflow but without tables, and groups naming a table without three parts.
     """
     rules = F.array_compact(F.array(*[F.when(_blank(c), F.lit(f"missing_{c}")) for c in REQUIRED]))
     missing = workspaces.select(
@@ -53,12 +54,15 @@ def violations(workspaces: DataFrame, groups: DataFrame) -> DataFrame:
             "workspace_name", F.col("group_name").alias("entity"), F.lit("duplicate_group").alias("rule")
         )
     )
-    untabled = groups.filter(~_blank("workflow") & _no_tables()).select(
+    malformed = F.coalesce(F.exists("tables", lambda t: ~is_qualified(t)), F.lit(False))
+    tables = groups.select(
         "workspace_name",
         F.coalesce("group_name", F.lit(UNNAMED_GROUP)).alias("entity"),
-        F.lit("missing_tables").alias("rule"),
-    )
-    return missing.unionByName(repeated).unionByName(untabled)
+        F.when(~_blank("workflow") & _no_tables(), F.lit("missing_tables"))
+        .when(malformed, F.lit("malformed_table_name"))
+        .alias("rule"),
+    ).filter(F.col("rule").isNotNull())
+    return missing.unionByName(repeated).unionByName(tables)
 
 
 def with_defaults(workspaces: DataFrame) -> DataFrame:

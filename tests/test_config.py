@@ -74,6 +74,10 @@ def test_workflow_group_without_tables_is_a_violation(spark, root):
     assert rules(*load(spark, root, group_json(tables=None))) == [("g", "missing_tables")]
 
 
+def test_malformed_table_name_is_a_violation(spark, root):
+    assert rules(*load(spark, root, group_json(tables=["c.s.a", "s.b"]))) == [("g", "malformed_table_name")]
+
+
 @pytest.mark.parametrize("empty", [dict.fromkeys(["sync_interval_mins", "sync_failover_interval_mins", "sync_max_retries"]),
                                    {"sync_interval_mins": 0, "sync_failover_interval_mins": 0, "sync_max_retries": ""}])
 def test_defaults(spark, root, empty):

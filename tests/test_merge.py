@@ -11,11 +11,11 @@ def kv(spark, rows):
     return spark.createDataFrame(rows, "k string, v int")
 
 
-@pytest.mark.parametrize("small_batch_rows", [100, 0])
-def test_upsert(spark, small_batch_rows):
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_upsert(spark, broadcast_rows):
     target = kv(spark, [("a", 1), ("b", 2), ("b", 3), ("c", None), (None, 4)])
     source = kv(spark, [("b", 20), ("c", 30), ("d", None), (None, 40)]).select("v", "k")
-    got = merge.upsert(target, source, ["k"], small_batch_rows)
+    got = merge.upsert(target, source, ["k"], broadcast_rows)
     assert got.columns == ["k", "v"]
     key = lambda r: (str(r[0]), str(r[1]))
     assert sorted(map(tuple, got.collect()), key=key) == sorted(
@@ -23,17 +23,25 @@ def test_upsert(spark, small_batch_rows):
     )
 
 
-@pytest.mark.parametrize("small_batch_rows", [10_000, 0])
-def test_upsert_matches_brute_force(spark, small_batch_rows):
+@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
+def test_upsert_matches_brute_force(spark, broadcast_rows):
     rng = random.Random(3)
     old = {(rng.randrange(50), rng.randrange(9)): i for i in range(300)}
     new = {(rng.randrange(70), rng.randrange(9)): -i for i in range(200)}
     frame = lambda d: spark.createDataFrame([(*k, v) for k, v in d.items()], "a int, b int, v int")
-    got = merge.upsert(frame(old), frame(new), ["a", "b"], small_batch_rows)
+    got = merge.upsert(frame(old), frame(new), ["a", "b"], broadcast_rows)
     assert {(r["a"], r["b"]): r["v"] for r in got.collect()} == {**old, **new}
     assert got.count() == len({**old, **new})
 
 
+def test_small_batch_leaves_the_target_where_it_is(spark):
+    target, source = spark.range(1000).withColumn("v", F.lit(1)), spark.range(5).withColumn("v", F.lit(2))
+    plan = merge.upsert(target, source, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    plan = merge.upsert(target, source, ["id"], 0)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan
+
+
 def test_upsert_into_empty_table(spark):
     assert merge.upsert(kv(spark, []), kv(spark, [("a", 1)]), ["k"]).count() == 1
 
