@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lockstep.functions.times import at_millis
 from lockstep.model import GOLD
 from lockstep.operators.generate import sample_rows
-from lockstep.operators.merge import assign_counter, next_counter, upsert
+from lockstep.operators.merge import assign_counter, next_counter
 from lockstep.sources import snapshots
 from lockstep.sources.files import has_files, ingest_files
 
@@ -28,6 +28,7 @@ def merge_files(
     silver: DataFrame,
     now_ms: int,
     parameters: dict[str, str] | None = None,
+    bucket_count: int = 1024,
 ) -> int:
     """Gold: number the silver rows after the highest counter, then upsert by file name."""
     snapshots.ensure(spark, root, table, GOLD, now_ms)
@@ -36,8 +37,9 @@ def merge_files(
     batch = assign_counter(silver, ["file_name"], start, "merge_counter").withColumn(
         "merge_time", at_millis(F.lit(now_ms))
     )
-    merged = upsert(gold, batch.select(*GOLD.names), ["file_name"])
-    return snapshots.publish(merged, root, table, "MERGE", now_ms, parameters)
+    return snapshots.merge(
+        batch.select(*GOLD.names), root, table, ["file_name"], now_ms, parameters, bucket_count
+    )
 
 
 def run_files(

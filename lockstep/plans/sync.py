@@ -28,6 +28,7 @@ from lockstep.model import (
 from lockstep.plans import decide, deliver
 from lockstep.scratch import checkpoint_root
 from lockstep.sources import releases, snapshots, state
+from lockstep.sources.logs import append_log, small_frame
 
 _OUTCOME = struct(
     workspace_name=STRING,
@@ -125,7 +126,7 @@ def _complete(outcomes: list[tuple]) -> list[tuple]:
 
 def _publish(spark: SparkSession, root: str, done: list[tuple], at_ms: int) -> DataFrame:
     """Commit the copied versions, then release their groups; returns the copies."""
-    copies = snapshots.small_frame(spark, done, _OUTCOME)
+    copies = small_frame(spark, done, _OUTCOME)
     snapshots.commit(
         spark, root, [snapshots.clone_row(o[3], o[5], at_ms, o[4], o[6], o[7]) for o in done]
     )
@@ -156,7 +157,7 @@ def _summarise(
 ) -> DataFrame:
     """One row per group looked at, skipped and failed ones included; kept in ``_runs``."""
     per_group = (
-        snapshots.small_frame(spark, outcomes, _OUTCOME)
+        small_frame(spark, outcomes, _OUTCOME)
         .groupBy(*GROUP_KEY)
         .agg(F.max("error").alias("error"))
         .withColumn("_copied", F.lit(True))
@@ -175,7 +176,7 @@ def _summarise(
         )
     )
     log = f"{root}/_runs"
-    snapshots.append_log(result, log)
+    append_log(result, log)
     return spark.read.schema(result.schema).parquet(log).filter(
         (F.col("run_ms") == at_ms) & (F.col("mode") == mode)
     )

@@ -1,0 +1,178 @@
+"""Versions written bucket by bucket, so that a new one holds only what changed.
+
+Rows fall into buckets by a hash of their key. Beside the data, one small parquet
+table per version lists its buckets and the version directory each lies in; a reader
+opens exactly those directories. The rows of that table are bounded by ``MAX_BUCKETS``.
+"""
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lockstep.functions.digest import DIGEST
+from lockstep.model import INT, LONG, STRING, struct
+from lockstep.operators.merge import upsert
+from lockstep.operators.reconcile import bucket_digests, bucket_of
+from lockstep.sources.logs import read_log
+from lockstep.sources.paths import exists, version_dir
+
+# ``holder`` is the version directory; ``layout`` is what bucket and digest depend on.
+# The digest is NULL where a merge wrote the bucket.
+MANIFEST = struct(
+    bucket=INT, holder=LONG, buckets=INT, layout=STRING, **{name: LONG for name in DIGEST}
+)
+
+
+def _manifest_dir(root: str, table: str, version: int) -> str:
+    return f"{root}/_buckets/{table}/v={version}"
+
+
+def manifest(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
+    """The buckets of a version; empty for one written as a whole."""
+    return read_log(spark, _manifest_dir(root, table, version), MANIFEST)
+
+
+def _save(rows: DataFrame, root: str, table: str, version: int) -> DataFrame:
+    path = _manifest_dir(root, table, version)
+    rows.select(*MANIFEST.names).coalesce(1).write.mode("overwrite").parquet(path)
+    return manifest(rows.sparkSession, root, table, version)
+
+
+def clear(spark: SparkSession, root: str, table: str, version: int) -> None:
+    """Forget an abandoned attempt to write this version by bucket."""
+    if exists(spark, _manifest_dir(root, table, version)):
+        _save(spark.createDataFrame([], MANIFEST), root, table, version)
+
+
+def directories(root: str, table: str, rows: DataFrame) -> list[str]:
+    """The directory of every listed bucket."""
+    return [
+        f"{version_dir(root, table, row['holder'])}/_bucket={row['bucket']}"
+        for row in rows.select("holder", "bucket").collect()
+    ]
+
+
+def read_directories(spark: SparkSession, paths: list[str], schema=None) -> DataFrame:
+    reader = spark.read.option("recursiveFileLookup", True)
+    return (reader.schema(schema) if schema is not None else reader).parquet(*paths)
+
+
+def default_keys(schema: T.StructType) -> list[str]:
+    nested = (T.MapType, T.ArrayType, T.StructType)
+    return [f.name for f in schema if not isinstance(f.dataType, nested)]
+
+
+def _layout(schema: T.StructType, keys: list[str]) -> str:
+    return f"{schema.json()} by {keys}"
+
+
+def _previous(
+    spark: SparkSession, root: str, table: str, version: int | None, layout: str
+) -> DataFrame:
+    """The buckets of an earlier version, if they were laid out the same way."""
+    if version is None:
+        return spark.createDataFrame([], MANIFEST)
+    return manifest(spark, root, table, version).filter(F.col("layout") == layout)
+
+
+def _write(df: DataFrame, path: str) -> int:
+    """Write rows into their ``_bucket`` folders and return how many there were.
+
+    Tasks are balanced by size: many small buckets share one, and a bucket with a
+    large share of the rows is split over several.
+    """
+    seen = Observation()
+    (
+        df.hint("rebalance", F.col("_bucket"))
+        .observe(seen, F.count(F.lit(1)).alias("rows"))
+        .write.mode("overwrite")
+        .partitionBy("_bucket")
+        .parquet(path)
+    )
+    return seen.get["rows"]
+
+
+def copy_changed(
+    df: DataFrame,
+    root: str,
+    table: str,
+    previous: int | None,
+    version: int,
+    keys: list[str],
+    bucket_count: int,
+) -> int | None:
+    """Write the buckets of ``df`` that differ from an earlier version of the copy.
+
+    The digests of what the copy holds were stored when it was written, so deciding
+    needs one pass over the source and none over the copy. Returns the rows of the
+    whole version, or None when ``df`` is empty and nothing was written.
+    """
+    spark, layout = df.sparkSession, _layout(df.schema, keys)
+    held = _previous(spark, root, table, previous, layout)
+    first = held.first()
+    total = first["buckets"] if first else bucket_count
+
+    old = held.select("bucket", F.col("holder").alias("_holder"), F.struct(*DIGEST).alias("_old"))
+    same = F.struct(*DIGEST).eqNullSafe(F.col("_old"))
+    holder = F.when(same, F.col("_holder")).otherwise(F.lit(version).cast("bigint"))
+    rows = (
+        bucket_digests(df, keys, total)
+        .join(old, "bucket", "left")
+        .withColumn("holder", holder)
+        .withColumn("buckets", F.lit(total))
+        .withColumn("layout", F.lit(layout))
+    )
+    listed = _save(rows, root, table, version)
+    if listed.isEmpty():
+        return None
+    changed = listed.filter(F.col("holder") == version).select(F.col("bucket").alias("_bucket"))
+    bucketed = df.withColumn("_bucket", bucket_of(df, keys, total))
+    _write(
+        bucketed.join(F.broadcast(changed), "_bucket", "left_semi"),
+        version_dir(root, table, version),
+    )
+    return listed.agg(F.sum("n")).first()[0]
+
+
+def merge(
+    target: DataFrame,
+    source: DataFrame,
+    root: str,
+    table: str,
+    previous: int | None,
+    version: int,
+    keys: list[str],
+    bucket_count: int,
+) -> int | None:
+    """Upsert ``source`` by rewriting only the buckets its keys fall into.
+
+    A target not yet laid out in buckets is rewritten whole, once. Returns the rows
+    written, or None when there was nothing to write.
+    """
+    spark, layout = source.sparkSession, _layout(target.schema, keys)
+    held = _previous(spark, root, table, previous, layout)
+    first = held.first()
+    total = first["buckets"] if first else bucket_count
+    if first:
+        touched = source.select(bucket_of(source, keys, total).alias("bucket")).distinct()
+        paths = directories(root, table, held.join(touched, "bucket", "left_semi"))
+        target = (
+            read_directories(spark, paths, target.schema)
+            if paths
+            else spark.createDataFrame([], target.schema)
+        )
+    merged = upsert(target, source, keys)
+    path = version_dir(root, table, version)
+    written = _write(merged.withColumn("_bucket", bucket_of(merged, keys, total)), path)
+    new = (
+        spark.read.schema(struct(_bucket=INT)).parquet(path).select("_bucket").distinct().select(
+            F.col("_bucket").alias("bucket"),
+            F.lit(version).cast("bigint").alias("holder"),
+            F.lit(total).alias("buckets"),
+            F.lit(layout).alias("layout"),
+            *[F.lit(None).cast("bigint").alias(name) for name in DIGEST],
+        )
+    )
+    kept = held.join(new.select("bucket"), "bucket", "left_anti").select(*MANIFEST.names)
+    listed = _save(kept.unionByName(new), root, table, version)
+    return None if listed.isEmpty() else written

@@ -1,6 +1,17 @@
-"""Questions about storage paths that a scan would answer too slowly."""
+"""Where things lie, and questions about paths that a scan would answer too slowly."""
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from lockstep.functions.names import split_name
+
+
+def table_dir(root: str, table: str) -> str:
+    return "/".join([root.rstrip("/"), *split_name(table)])
+
+
+def version_dir(root: str, table: str, version: int) -> str:
+    return f"{table_dir(root, table)}/v={version}"
 
 
 def _locate(spark: SparkSession, path: str):
@@ -21,3 +32,15 @@ def any_file(spark: SparkSession, directory: str) -> bool:
         if not listing.next().getPath().getName().startswith(("_", ".")):
             return True
     return False
+
+
+def size(spark: SparkSession, paths: list[str]) -> int:
+    """Total bytes of the data files below some paths, from file metadata alone."""
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.parquet")
+        .load(paths)
+        .select("length")
+    )
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]

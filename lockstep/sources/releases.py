@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from lockstep.model import GROUP_KEY, RELEASES
 from lockstep.sources import snapshots
+from lockstep.sources.logs import append_log, read_log
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
-    return snapshots.read_log(spark, f"{root}/_releases", RELEASES)
+    return read_log(spark, f"{root}/_releases", RELEASES)
 
 
 def append(members: DataFrame, root: str) -> None:
@@ -19,7 +20,7 @@ def append(members: DataFrame, root: str) -> None:
     rows = members.groupBy(*GROUP_KEY, "release_ms").agg(
         F.array_sort(F.collect_list(F.struct("table_name", "version"))).alias("members")
     )
-    snapshots.append_log(rows.select(*RELEASES.names), f"{root}/_releases")
+    append_log(rows.select(*RELEASES.names), f"{root}/_releases")
 
 
 def latest(releases: DataFrame) -> DataFrame:

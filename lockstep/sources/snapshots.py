@@ -11,63 +11,22 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lockstep.functions.digest import DIGEST
 from lockstep.functions.names import split_name
-from lockstep.functions.times import at_millis
-from lockstep.model import CLONE, COMMITS, INT, LONG, STRING, STRING_MAP, TIME, struct
+from lockstep.model import CLONE, COMMITS
 from lockstep.operators.history import as_of_time
-from lockstep.operators.reconcile import bucket_digests, bucket_of
-from lockstep.sources.paths import exists
-
-# Which version directory holds each bucket of a version copied by bucket, with the
-# bucket's digest and what the digest depends on.
-BUCKETS = struct(
-    bucket=INT,
-    holder=LONG,
-    buckets=INT,
-    layout=STRING,
-    **{name: LONG for name in DIGEST},
-)
-
-
-_ARROW = {
-    STRING: pa.string(),
-    LONG: pa.int64(),
-    INT: pa.int32(),
-    TIME: pa.timestamp("us", tz="UTC"),
-    STRING_MAP: pa.map_(pa.string(), pa.string()),
-}
+from lockstep.sources import buckets
+from lockstep.sources.logs import append_log, read_log, small_frame
+from lockstep.sources.paths import size, version_dir
 
 
 def now_millis() -> int:
     return int(time.time() * 1000)
 
 
-def table_dir(root: str, table: str) -> str:
-    return "/".join([root.rstrip("/"), *split_name(table)])
-
-
-def version_dir(root: str, table: str, version: int) -> str:
-    return f"{table_dir(root, table)}/v={version}"
-
-
-def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """An append-only parquet log; empty when nothing was written yet."""
-    if exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
-
-
-def append_log(df: DataFrame, path: str) -> None:
-    """Append a small batch as one file, which makes it visible in one rename."""
-    df.coalesce(1).write.mode("append").parquet(path)
-
-
 def commits(spark: SparkSession, root: str) -> DataFrame:
     return read_log(spark, f"{root}/_commits", COMMITS)
 
@@ -84,17 +43,6 @@ def commit_row(
     return (table, version, at, operation, parameters or {}, metrics or {})
 
 
-def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """Control rows held by the driver as a DataFrame, handed over as Arrow columns."""
-    columns = []
-    for i, field in enumerate(schema):
-        values = [row[i] for row in rows]
-        if isinstance(field.dataType, T.MapType):
-            values = [None if v is None else list(v.items()) for v in values]
-        columns.append(pa.array(values, _ARROW[field.dataType]))
-    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
-
-
 def commit(spark: SparkSession, root: str, rows: list[tuple]) -> None:
     """Make written versions visible, all rows in one append."""
     append_log(small_frame(spark, rows, COMMITS), f"{root}/_commits")
@@ -122,6 +70,7 @@ def write_version(
     Rows are counted while they are written; bytes come from the file listing, so
     neither needs a second pass over the data.
     """
+    buckets.clear(df.sparkSession, root, table, version)
     path = version_dir(root, table, version)
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
@@ -131,21 +80,9 @@ def write_version(
     return seen.get["rows"], size(df.sparkSession, [path])
 
 
-def size(spark: SparkSession, paths: list[str]) -> int:
-    """Total bytes of the data files below some paths, from file metadata alone."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.parquet")
-        .load(paths)
-        .select("length")
-    )
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-
 def version_size(spark: SparkSession, root: str, table: str, version: int) -> int:
     """Total bytes a committed version consists of."""
-    held = _held_dirs(root, table, buckets(spark, root, table, version))
+    held = buckets.directories(root, table, buckets.manifest(spark, root, table, version))
     return size(spark, held or [version_dir(root, table, version)])
 
 
@@ -212,27 +149,10 @@ def read(
 
 def read_version(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
     """Read a committed version: its own directory, or the directories that hold its buckets."""
-    held = _held_dirs(root, table, buckets(spark, root, table, version))
-    if not held:
-        return spark.read.parquet(version_dir(root, table, version))
-    return spark.read.option("recursiveFileLookup", True).parquet(*held)
-
-
-def buckets(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
-    """Where each bucket of a version lies, and its digest; empty for a plain copy."""
-    return read_log(spark, _buckets_dir(root, table, version), BUCKETS)
-
-
-def _buckets_dir(root: str, table: str, version: int) -> str:
-    return f"{root}/_buckets/{table}/v={version}"
-
-
-def _held_dirs(root: str, table: str, manifest: DataFrame) -> list[str]:
-    """One directory per bucket: at most MAX_BUCKETS."""
-    return [
-        f"{version_dir(root, table, row['holder'])}/_bucket={row['bucket']}"
-        for row in manifest.select("holder", "bucket").collect()
-    ]
+    held = buckets.directories(root, table, buckets.manifest(spark, root, table, version))
+    if held:
+        return buckets.read_directories(spark, held)
+    return spark.read.parquet(version_dir(root, table, version))
 
 
 def register(spark: SparkSession, root: str, table: str, version: int) -> str:
@@ -311,55 +231,44 @@ def copy_changed(
 ) -> tuple[int, int]:
     """Write only the buckets that differ from the destination's latest version.
 
-    The digests of what the destination holds were stored when it was written, so
-    deciding needs one pass over the source and none over the destination. The
-    write is balanced by size: a bucket with a large share of the rows is split
-    over several tasks. Rows are bucketed by ``keys``, all columns by default;
-    the bucket count of the first copy stays in force. Returns (rows, bytes) of
-    the whole new version.
+    Rows are bucketed by ``keys``, by all flat columns unless given; the bucket count
+    of the first copy stays in force. Returns (rows, bytes) of the whole new version.
     """
     df = read_version(spark, src_root, table, version)
-    keys = keys or [
-        f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType))
-    ]
-    layout = f"{df.schema.json()} by {keys}"
+    keys = keys or buckets.default_keys(df.schema)
     previous = latest_version(spark, dst_root, table)
-    if previous is None:
-        held = spark.createDataFrame([], BUCKETS)
-    else:
-        held = buckets(spark, dst_root, table, previous).filter(F.col("layout") == layout)
-    first = held.first()
-    total = first["buckets"] if first else bucket_count
-
-    old = held.select("bucket", F.col("holder").alias("_holder"), F.struct(*DIGEST).alias("_old"))
-    same = F.struct(*DIGEST).eqNullSafe(F.col("_old"))
-    manifest = (
-        bucket_digests(df, keys, total)
-        .join(old, "bucket", "left")
-        .select(
-            "bucket",
-            F.when(same, F.col("_holder")).otherwise(F.lit(dst_version)).cast("bigint").alias("holder"),
-            F.lit(total).alias("buckets"),
-            F.lit(layout).alias("layout"),
-            *DIGEST,
-        )
-    )
-    manifest_dir = _buckets_dir(dst_root, table, dst_version)
-    manifest.coalesce(1).write.mode("overwrite").parquet(manifest_dir)
-    manifest = buckets(spark, dst_root, table, dst_version)
-    if manifest.isEmpty():
+    rows = buckets.copy_changed(df, dst_root, table, previous, dst_version, keys, bucket_count)
+    if rows is None:
         return copy(spark, src_root, dst_root, table, version, dst_version)
+    return rows, version_size(spark, dst_root, table, dst_version)
 
-    changed = manifest.filter(F.col("holder") == dst_version).select(
-        F.col("bucket").alias("_bucket")
-    )
-    (
-        df.withColumn("_bucket", bucket_of(df, keys, total))
-        .join(F.broadcast(changed), "_bucket", "left_semi")
-        .hint("rebalance", F.col("_bucket"))
-        .write.mode("overwrite")
-        .partitionBy("_bucket")
-        .parquet(version_dir(dst_root, table, dst_version))
-    )
-    rows = manifest.agg(F.sum("n")).first()[0]
-    return rows, size(spark, _held_dirs(dst_root, table, manifest))
+
+def merge(
+    source: DataFrame,
+    root: str,
+    table: str,
+    keys: list[str],
+    at_ms: int | None = None,
+    parameters: dict[str, str] | None = None,
+    bucket_count: int = 1024,
+) -> int:
+    """Upsert rows into a table by key and commit; a table not there yet is created.
+
+    Only the buckets the keys fall into are read and rewritten, the others stay where
+    they are. The bucket count of the first merge stays in force.
+    """
+    spark = source.sparkSession
+    previous = latest_version(spark, root, table)
+    version = 0 if previous is None else previous + 1
+    if previous is None:
+        target = spark.createDataFrame([], source.schema)
+    else:
+        target = read_version(spark, root, table, previous)
+    source = source.select(*[F.col(f.name).cast(f.dataType) for f in target.schema])
+    rows = buckets.merge(target, source, root, table, previous, version, keys, bucket_count)
+    if rows is None:
+        rows, _ = write_version(target, root, table, version)
+    metrics = {"numOutputRows": str(rows)}
+    at = now_millis() if at_ms is None else at_ms
+    commit(spark, root, [commit_row(table, version, at, "MERGE", parameters, metrics)])
+    return version

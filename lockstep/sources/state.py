@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from lockstep.model import GROUP_KEY, LONG, RUN_STATE, STATE, STRING, struct
 from lockstep.operators.merge import require_unique
 from lockstep.sources import snapshots
+from lockstep.sources.logs import append_log, read_log
+from lockstep.sources.paths import version_dir
 
 STATE_TABLE = "sync.meta.state"
 
@@ -32,7 +34,7 @@ def create(spark: SparkSession, root: str, at_ms: int | None = None) -> int:
 def load(spark: SparkSession, root: str) -> DataFrame:
     """The control table as of now, created empty when absent."""
     version = create(spark, root)
-    base = spark.read.schema(STATE).parquet(snapshots.version_dir(root, STATE_TABLE, version))
+    base = spark.read.schema(STATE).parquet(version_dir(root, STATE_TABLE, version))
     return patch(base, fold(_patches(spark, root, version)), checked=False)
 
 
@@ -59,7 +61,7 @@ def record(patches: DataFrame, root: str, writer: str, checked: bool = True) ->
         if f.name in GROUP_KEY + RUN_STATE
     ]
     rows = patches.select(F.lit(time.time_ns()).cast("bigint").alias("patch_ns"), *given)
-    snapshots.append_log(rows, f"{root}/_patches/base_version={version}/writer={writer}")
+    append_log(rows, f"{root}/_patches/base_version={version}/writer={writer}")
 
 
 def fold(patches: DataFrame) -> DataFrame:
@@ -81,7 +83,7 @@ def compact(spark: SparkSession, root: str, limit: int = 500) -> None:
 
 
 def _patches(spark: SparkSession, root: str, version: int) -> DataFrame:
-    log = snapshots.read_log(spark, f"{root}/_patches", PATCHES)
+    log = read_log(spark, f"{root}/_patches", PATCHES)
     return log.filter(F.col("base_version") == version)
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame
 
-from lockstep.operators.merge import upsert
 from lockstep.sources import snapshots
 from lockstep.streaming.ingest import applied, run_batches
 
@@ -14,6 +13,7 @@ def upsert_stream(
     keys: list[str],
     checkpoint: str,
     name: str = "upsert",
+    bucket_count: int = 1024,
 ) -> None:
     """Merge every waiting micro-batch into ``table`` by ``keys`` and stop.
 
@@ -25,9 +25,7 @@ def upsert_stream(
         spark = batch.sparkSession
         if applied(spark, root, table, name, batch_id):
             return
-        snapshots.ensure(spark, root, table, batch.schema)
-        target = snapshots.read(spark, root, table)
         marker = {"stream": name, "batchId": str(batch_id)}
-        snapshots.publish(upsert(target, batch, keys), root, table, "MERGE", parameters=marker)
+        snapshots.merge(batch, root, table, keys, None, marker, bucket_count)
 
     run_batches(stream, checkpoint, handle)

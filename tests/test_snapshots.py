@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lockstep import scratch
 from lockstep.model import GOLD
 from lockstep.operators import reconcile
-from lockstep.sources import snapshots
+from lockstep.sources import paths, snapshots
 
 NAME = "lake.raw.t"
 
@@ -30,7 +30,7 @@ def test_uncommitted_version_is_invisible_and_replaced(spark, root):
 def test_rows_and_bytes_are_reported(spark, root):
     rows, nbytes = snapshots.write_version(spark.range(1000), root, NAME, 0)
     assert rows == 1000
-    assert nbytes == snapshots.size(spark, [snapshots.version_dir(root, NAME, 0)]) > 0
+    assert nbytes == paths.size(spark, [paths.version_dir(root, NAME, 0)]) > 0
 
 
 def test_ensure_creates_once(spark, root):
@@ -140,3 +140,48 @@ def test_scratch_uses_the_named_folder(spark):
     if named:
         assert first.startswith(named)
     assert first != scratch.new_dir(spark, "x")
+
+
+def test_merge_rewrites_only_touched_buckets(spark, root):
+    rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id bigint, v int")
+    merge = lambda df: snapshots.merge(df, root, NAME, ["id"], bucket_count=16)
+    content = lambda **kw: dict(map(tuple, snapshots.read(spark, root, NAME, **kw).collect()))
+    assert merge(rows(range(100), 0)) == 0
+    assert merge(rows([3, 200], 1)) == 1
+    expected = {**{i: 0 for i in range(100)}, 3: 1, 200: 1}
+    assert content() == expected
+    assert len({f.split("/")[0] for f in files(f"{root}/lake/raw/t/v=1")}) <= 2
+    assert content(version=0) == {i: 0 for i in range(100)}
+    assert merge(rows([], 1)) == 2
+    assert content() == expected
+
+
+def test_merge_into_a_table_published_whole(spark, root):
+    snapshots.publish(spark.range(50).withColumn("v", F.lit(0)), root, NAME)
+    for v in (1, 2):
+        source = spark.range(45, 55).select(F.lit(v).alias("v"), F.col("id").cast("int").alias("id"))
+        snapshots.merge(source, root, NAME, ["id"], bucket_count=4)
+    got = dict(map(tuple, snapshots.read(spark, root, NAME).collect()))
+    assert got == {**{i: 0 for i in range(45)}, **{i: 2 for i in range(45, 55)}}
+
+
+def test_merge_of_nothing_into_nothing(spark, root):
+    empty = spark.createDataFrame([], "id bigint, v int")
+    snapshots.merge(empty, root, NAME, ["id"], bucket_count=4)
+    assert snapshots.read(spark, root, NAME).count() == 0
+
+
+def test_merged_table_can_be_copied_changed_only(spark, root):
+    src, dst = f"{root}/src", f"{root}/dst"
+    for v in (1, 2):
+        snapshots.merge(spark.range(v * 5, v * 5 + 20).withColumn("v", F.lit(v)), src, NAME, ["id"], bucket_count=4)
+        clone(spark, src, dst)
+        assert same(spark, src, dst)
+
+
+def test_abandoned_bucket_attempt_is_replaced_by_a_whole_copy(spark, root):
+    src, dst = f"{root}/src", f"{root}/dst"
+    snapshots.publish(spark.range(20), src, NAME)
+    snapshots.copy_changed(spark, src, dst, NAME, 0, 0, ["id"], 4)  # never committed
+    snapshots.clone(spark, src, dst, NAME)
+    assert same(spark, src, dst)

@@ -508,7 +508,7 @@ def q_upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
         )
         totals.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(schema).parquet(landing)
-        upsert.upsert_stream(stream, root, name, ["o_custkey"], progress)
+        upsert.upsert_stream(stream, root, name, ["o_custkey"], progress, bucket_count=32)
     return snapshots.read(spark, root, name)
 
 
