@@ -51,12 +51,11 @@ def upsert(
     """Matched rows take the source's values, new rows are added, the rest is kept.
 
     A match replaces every column, so the result is the target without the matched
-    keys plus the source, each source row as often as its key occurred in the target.
-    When the batch's keys are few and small, which is checked, they are broadcast and
-    the target is never shuffled. Otherwise the target is shuffled once in full and
-    once by key alone, and neither step puts a repeated key into one task: adaptive
-    execution may split the anti join, and the count is pre-aggregated. A NULL key
-    matches nothing: such rows are kept on both sides.
+    keys plus the source. Should a matched key occur several times in the target, its
+    source row is repeated as often. When the batch's keys are few and small, which is
+    checked, they are broadcast and the target is never shuffled; otherwise adaptive
+    execution may split the anti join at a repeated target key. A NULL key matches
+    nothing: such rows are kept on both sides.
     """
     source = source.select(*target.columns)
     rows, nbytes = require_unique(source, keys)
@@ -64,13 +63,20 @@ def upsert(
     if rows <= broadcast_rows and nbytes <= BROADCAST_BYTES:
         given = F.broadcast(given.filter(~_any_null(keys)))
         known = known.join(given, keys, "left_semi")
-    matches = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    written = (
-        source.join(matches, keys, "left")
-        .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("_n", F.lit(1)))))
-        .select(*target.columns)
+    result = target.join(given, keys, "left_anti").select(*target.columns).unionByName(source)
+    # counted before the shuffle, so a heavily repeated key is one row by then
+    repeats = (
+        known.filter(~_any_null(keys))
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > 1)
+    )
+    if repeats.isEmpty():
+        return result
+    again = source.join(repeats, keys).withColumn(
+        "_n", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n")))
     )
-    return target.join(given, keys, "left_anti").select(*target.columns).unionByName(written)
+    return result.unionByName(again.select(*target.columns))
 
 
 def next_counter(target: DataFrame, counter: str) -> int:
