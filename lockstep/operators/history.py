@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lockstep.functions.times import at_millis, cutoff_like, micros
 from lockstep.model import GROUP_KEY
-from lockstep.operators.skew import sliced_join
+from lockstep.operators.skew import BROADCAST_ROWS, is_small, sliced_join
 
 # Fixed value: one more than the widest 64-bit version, as a decimal.
 _SHIFT = "cast(10000000000000000000 as decimal(20,0))"
@@ -85,6 +85,7 @@ def as_of(
     cutoff_col: str = "cutoff_ms",
     operation: str | None = None,
     extras: dict[str, Column] | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
     slice_rows: int = 4_000_000,
 ) -> DataFrame:
     """Latest version at or before each target's own cutoff.
@@ -93,6 +94,10 @@ def as_of(
     and the ``extras`` (numeric expressions over the chosen commit); they are NULL
     where the history has nothing that early. Equal commit times resolve to the
     greatest version.
+
+    While the distinct (table, cutoff) pairs are few and small, which is checked, they
+    are broadcast and the log is aggregated where it lies. Beyond that both sides are
+    shuffled by table, with hot tables spread over slices.
     """
     extras = extras or {}
     if operation is not None:
@@ -101,9 +106,12 @@ def as_of(
         "table_name", "ts", "version", *[c.alias(name) for name, c in extras.items()]
     )
     asked = targets.select("table_name", cutoff_col).distinct()
+    if is_small(asked, broadcast_rows):
+        pairs = log.join(F.broadcast(asked), "table_name")
+    else:
+        pairs = sliced_join(asked, log, ["table_name"], ["version"], slice_rows)
     found = (
-        sliced_join(asked, log, ["table_name"], ["version"], slice_rows)
-        .filter(F.col("ts") <= at_millis(F.col(cutoff_col)))
+        pairs.filter(F.col("ts") <= at_millis(F.col(cutoff_col)))
         .withColumn("_rank", _rank("ts", "version"))
         .groupBy("table_name", cutoff_col)
         .agg(

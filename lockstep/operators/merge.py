@@ -8,11 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lockstep import scratch
-
-# A batch whose keys stay below both bounds is looked up without moving the target.
-BROADCAST_ROWS = 500_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-
+from lockstep.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, width
 
 class DuplicateKeyError(ValueError):
     """A merge source has several rows for one key."""
@@ -27,14 +23,11 @@ def require_unique(df: DataFrame, keys: list[str]) -> tuple[int, int]:
 
     Partial aggregation collapses a heavily repeated key before the shuffle.
     """
-    width = reduce(
-        lambda a, b: a + b, [F.octet_length(F.col(k).cast("string")).cast("bigint") for k in keys]
-    )
     row = (
         df.filter(~_any_null(keys))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("rows"), F.sum(width).alias("bytes"))
+        .agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("rows"), F.sum(width(keys)).alias("bytes"))
         .first()
     )
     if (row["most"] or 0) > 1:

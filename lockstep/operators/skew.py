@@ -1,14 +1,32 @@
-"""Exact handling of hot keys in joins that feed an aggregation."""
+"""Joining a large log with a list of keys: broadcast when small, sliced when not."""
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A list is broadcast while its checked size stays below both bounds.
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 # A key is split when it holds more than 1/HOT_SHARE of all rows, so at most
 # HOT_SHARE keys can be hot: that bounds the broadcast below for any data size.
 HOT_SHARE = 256
 MAX_SLICES = 4096
 
 
+def width(columns: list[str]) -> Column:
+    """Bytes of a row's columns as text; NULL columns count nothing."""
+    sizes = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns]
+    return reduce(lambda a, b: a + b, [s.cast("bigint") for s in sizes])
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Does a DataFrame stay below the broadcast bounds? Runs it once to find out."""
+    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width(df.columns)).alias("bytes")).first()
+    return seen["rows"] <= rows and (seen["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def hot_keys(df: DataFrame, keys: list[str], slice_rows: int = 4_000_000) -> DataFrame:
     """Keys too heavy for one task, with the number of slices each should get."""
     total = df.select(F.count(F.lit(1))).scalar()
@@ -34,8 +52,7 @@ def sliced_join(
 
     Rows of a hot key get a slice number from ``spread_by``; the matching rows of
     ``small`` are repeated once per slice. Other keys take one slice. Every pair
-    is produced exactly once, so the result equals the plain join. The join itself
-    carries no hint: Spark broadcasts ``small`` when its measured size allows it.
+    is produced exactly once, so the result equals the plain join.
     """
     hot = F.broadcast(hot_keys(big, keys, slice_rows))
     sliced = (

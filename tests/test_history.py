@@ -67,9 +67,9 @@ def test_operation_filter_and_extras(spark):
     assert (row["version"], row["commit_ms"], row["sv"]) == (0, T0, 41)
 
 
-@pytest.mark.parametrize("slice_rows", [4_000_000, 20])
-def test_as_of_matches_brute_force(spark, slice_rows):
-    """Random histories, one table holding a third of all commits, also with slicing forced."""
+@pytest.mark.parametrize("broadcast_rows, slice_rows", [(500_000, 1), (0, 4_000_000), (0, 20)])
+def test_as_of_matches_brute_force(spark, broadcast_rows, slice_rows):
+    """Random histories, one table with a third of all commits: broadcast, shuffled, sliced."""
     rng = random.Random(5)
     rows, version = [], 0
     for _ in range(900):
@@ -82,7 +82,8 @@ def test_as_of_matches_brute_force(spark, slice_rows):
     for name, cutoff in asked:
         known = [(ms, v) for t, v, ms in rows if t == name and ms <= cutoff]
         expected[(name, cutoff)] = max(known)[1] if known else None
-    assert as_of(spark, rows, asked, slice_rows=slice_rows) == expected
+    got = as_of(spark, rows, asked, broadcast_rows=broadcast_rows, slice_rows=slice_rows)
+    assert got == expected
 
 
 def test_as_of_keeps_all_target_rows(spark):
