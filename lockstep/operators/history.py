@@ -2,10 +2,15 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lockstep.functions.times import at_millis, cutoff_like, micros
 from lockstep.model import GROUP_KEY
-from lockstep.operators.skew import BROADCAST_ROWS, is_small, sliced_join
+from lockstep.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, list_size, sliced_join
+
+# Above this many cutoffs of one table an as-of join works by time bins of this width.
+MAX_CUTOFFS = 16
+BIN_MS = 10 * 60 * 1000
 
 # Fixed value: one more than the widest 64-bit version, as a decimal.
 _SHIFT = "cast(10000000000000000000 as decimal(20,0))"
@@ -95,35 +100,78 @@ def as_of(
     where the history has nothing that early. Equal commit times resolve to the
     greatest version.
 
-    While the distinct (table, cutoff) pairs are few and small, which is checked, they
-    are broadcast and the log is aggregated where it lies. Beyond that both sides are
-    shuffled by table, with hot tables spread over slices.
+    The distinct (table, cutoff) pairs are measured first. With few cutoffs per table
+    they are broadcast while they are small, so that the log is aggregated where it
+    lies; a longer list is joined by table, hot tables being spread over slices. Should
+    a table have many cutoffs, see ``_as_of_binned``.
     """
     extras = extras or {}
     if operation is not None:
         commits = commits.filter(F.col("operation") == operation)
     log = commits.select(
-        "table_name", "ts", "version", *[c.alias(name) for name, c in extras.items()]
+        "table_name",
+        "ts",
+        "version",
+        _rank("ts", "version").alias("_rank"),
+        *[c.alias(name) for name, c in extras.items()],
     )
-    asked = targets.select("table_name", cutoff_col).distinct()
-    if is_small(asked, broadcast_rows):
-        pairs = log.join(F.broadcast(asked), "table_name")
+    asked = targets.select("table_name", F.col(cutoff_col).alias("_cutoff")).distinct()
+    best = [F.max("_rank").alias("_rank"), *[F.max_by(n, "_rank").alias(n) for n in extras]]
+    rows, nbytes, most = list_size(asked, "table_name")
+    if most > MAX_CUTOFFS:
+        found = _as_of_binned(asked, log, best, list(extras), slice_rows)
+    elif rows <= broadcast_rows and nbytes <= BROADCAST_BYTES:
+        found = _best_until(log.join(F.broadcast(asked), "table_name"), best)
     else:
         pairs = sliced_join(asked, log, ["table_name"], ["version"], slice_rows)
-    found = (
-        pairs.filter(F.col("ts") <= at_millis(F.col(cutoff_col)))
-        .withColumn("_rank", _rank("ts", "version"))
-        .groupBy("table_name", cutoff_col)
-        .agg(
-            F.max("_rank").alias("_rank"),
-            *[F.max_by(name, "_rank").alias(name) for name in extras],
-        )
-        .select(
-            "table_name",
-            cutoff_col,
-            _version_of("_rank").alias("version"),
-            _millis_of("_rank").alias("commit_ms"),
-            *extras,
-        )
+        found = _best_until(pairs, best)
+    found = found.select(
+        "table_name",
+        F.col("_cutoff").alias(cutoff_col),
+        _version_of("_rank").alias("version"),
+        _millis_of("_rank").alias("commit_ms"),
+        *extras,
     )
     return targets.join(found, ["table_name", cutoff_col], "left")
+
+
+def _best_until(pairs: DataFrame, best: list[Column]) -> DataFrame:
+    """The best commit of each (table, cutoff) among those not after the cutoff."""
+    return (
+        pairs.filter(F.col("ts") <= at_millis(F.col("_cutoff")))
+        .groupBy("table_name", "_cutoff")
+        .agg(*best)
+    )
+
+
+def _as_of_binned(
+    asked: DataFrame, log: DataFrame, best: list[Column], extras: list[str], slice_rows: int
+) -> DataFrame:
+    """As-of with many cutoffs per table: work grows with their number plus the commits'.
+
+    Time is cut into bins. Each table's commits are reduced to the best one per bin
+    before they are shuffled, and a running maximum over a table's bins answers what
+    lies before a cutoff's bin. Only commits in the very bin of a cutoff are compared
+    with it, hot bins being spread over slices.
+    """
+    log = log.withColumn("_bin", F.floor(micros(F.col("ts")) / (BIN_MS * 1000)))
+    asked = asked.withColumn("_bin", F.floor(F.col("_cutoff") / BIN_MS))
+    inside = _best_until(
+        sliced_join(asked, log, ["table_name", "_bin"], ["version"], slice_rows), best
+    )
+    per_bin = log.groupBy("table_name", "_bin").agg(*best)
+    steps = per_bin.join(asked.select("table_name").distinct(), "table_name", "left_semi")
+    steps = steps.unionByName(asked, allowMissingColumns=True)
+    # per table: one row per bin and cutoff
+    earlier = (
+        Window.partitionBy("table_name")
+        .orderBy("_bin")
+        .rangeBetween(Window.unboundedPreceding, -1)
+    )
+    before = steps.select(
+        "table_name",
+        "_cutoff",
+        F.max("_rank").over(earlier).alias("_rank"),
+        *[F.max_by(n, "_rank").over(earlier).alias(n) for n in extras],
+    ).filter(F.col("_cutoff").isNotNull() & F.col("_rank").isNotNull())
+    return before.unionByName(inside).groupBy("table_name", "_cutoff").agg(*best)

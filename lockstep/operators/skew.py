@@ -21,10 +21,13 @@ def width(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [s.cast("bigint") for s in sizes])
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Does a DataFrame stay below the broadcast bounds? Runs it once to find out."""
-    seen = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(width(df.columns)).alias("bytes")).first()
-    return seen["rows"] <= rows and (seen["bytes"] or 0) <= BROADCAST_BYTES
+def list_size(df: DataFrame, key: str) -> tuple[int, int, int]:
+    """Rows, bytes, and the most rows of one key of a list. Runs it once to find out."""
+    counted = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(width(df.columns)).alias("bytes")
+    )
+    seen = counted.agg(F.sum("n"), F.sum("bytes"), F.max("n")).first()
+    return tuple(value or 0 for value in seen)
 
 
 def hot_keys(df: DataFrame, keys: list[str], slice_rows: int = 4_000_000) -> DataFrame:

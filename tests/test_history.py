@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lockstep.functions.names import qualify, split_name
 from lockstep.model import COMMITS
 from lockstep.operators import history, runs
-from lockstep.operators.skew import hot_keys
+from lockstep.operators.skew import hot_keys, list_size
 
 T0 = 1_704_067_200_000
 
@@ -67,9 +67,16 @@ def test_operation_filter_and_extras(spark):
     assert (row["version"], row["commit_ms"], row["sv"]) == (0, T0, 41)
 
 
-@pytest.mark.parametrize("broadcast_rows, slice_rows", [(500_000, 1), (0, 4_000_000), (0, 20)])
-def test_as_of_matches_brute_force(spark, broadcast_rows, slice_rows):
-    """Random histories, one table with a third of all commits: broadcast, shuffled, sliced."""
+# broadcast; joined by table, plain and sliced; binned with various bins and slices
+WAYS = [(16, 500_000, 1, 1), (16, 0, 4_000_000, 1), (16, 0, 20, 1),
+        (0, 0, 4_000_000, 40), (0, 0, 20, 7), (0, 0, 20, 600_000)]
+
+
+@pytest.mark.parametrize("max_cutoffs, broadcast_rows, slice_rows, bin_ms", WAYS)
+def test_as_of_matches_brute_force(spark, monkeypatch, max_cutoffs, broadcast_rows, slice_rows, bin_ms):
+    """Random histories, one table with a third of all commits, by every way of joining."""
+    monkeypatch.setattr(history, "MAX_CUTOFFS", max_cutoffs)
+    monkeypatch.setattr(history, "BIN_MS", bin_ms)
     rng = random.Random(5)
     rows, version = [], 0
     for _ in range(900):
@@ -86,6 +93,23 @@ def test_as_of_matches_brute_force(spark, broadcast_rows, slice_rows):
     assert got == expected
 
 
+@pytest.mark.parametrize("max_cutoffs", [16, 0])
+def test_as_of_extras_belong_to_the_chosen_commit(spark, monkeypatch, max_cutoffs):
+    monkeypatch.setattr(history, "MAX_CUTOFFS", max_cutoffs)
+    rows = [("a", v, T0 + v * 400_000, "CLONE", {"sourceVersion": str(900 - v)}) for v in range(9)]
+    extras = {"sv": F.col("operation_parameters")["sourceVersion"].try_cast("bigint")}
+    asked = [("a", T0 + v * 400_000 + 5) for v in range(9)]
+    got = history.as_of(targets(spark, asked), log(spark, rows), extras=extras)
+    assert sorted((r["version"], r["sv"]) for r in got.collect()) == [(v, 900 - v) for v in range(9)]
+
+
+def test_many_cutoffs_of_one_table(spark):
+    rows = [("hot", i, T0 + i * 60_000) for i in range(40)]
+    asked = [("hot", T0 + i * 60_000) for i in range(40)]
+    assert list_size(targets(spark, asked), "table_name")[::2] == (40, 40)
+    assert as_of(spark, rows, asked) == {("hot", T0 + i * 60_000): i for i in range(40)}
+
+
 def test_as_of_keeps_all_target_rows(spark):
     asked = [("a", T0), ("a", T0), ("b", T0)]
     assert history.as_of(targets(spark, asked), log(spark, [("a", 0, T0)])).count() == 3
