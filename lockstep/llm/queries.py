@@ -1,12 +1,15 @@
 """The operators' queries over the given tables, and their SQL where SQL can say it."""
 
-from lockstep.llm import mixing, sharding
+from lockstep.llm import mixing, quality, sharding, substrings, suffixes
 
 
 def all_queries() -> dict:
     return {
+        "op3_substring_dedup": substrings.op3_substring_dedup,
         "op5_sharding": sharding.op5_sharding,
+        "op7_suffix_dedup": suffixes.op7_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
+        "op10_quality": quality.op10_quality,
     }
 
 
