@@ -24,18 +24,18 @@ REPEAT_PERCENT = 30
 # which it votes bad.
 RULES: dict[str, tuple[str, str, tuple[float, float], tuple[float, float]]] = {
     "symbols": ("n_symbols", "n_words", (0, 0.02), (0, 0.1)),
-    "capitals": ("n_upper", "n_letters", (0, 0.12), (0, 0.3)),
+    "capitals": ("n_upper", "n_alnum", (0, 0.12), (0, 0.3)),
     "exclaiming": ("n_bangs", "n_words", (0, 0.05), (0, 0.2)),
-    "repeated_spans": ("n_repeat_words", "n_words", (0, 0.02), (0, 0.2)),
+    "repeated_spans": ("n_repeat_words", "n_words", (0, 0.02), (0, 0.35)),
     "stuttering": ("n_stutters", "n_words", (0, 0.05), (0, 0.15)),
     "word_length": ("word_chars", "n_words", (3.5, 6.5), (2.5, 9.0)),
-    "letters": ("n_letters", "word_chars", (0.9, 1.0), (0.7, 1.0)),
-    "repeated_lines": ("n_dup_lines", "n_lines", (0, 0.02), (0, 0.3)),
+    "alphanumerics": ("n_alnum", "word_chars", (0.9, 1.0), (0.7, 1.0)),
+    "repeated_lines": ("n_dup_lines", "n_lines", (0, 0.02), (0, 0.4)),
     "sentence_ends": ("n_ended", "n_lines", (0.8, 1.0), (0.3, 1.0)),
 }
 COUNTS = [
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_upper", "n_letters", "n_bangs", "n_stutters", "n_lines", "n_ended",
+    "n_upper", "n_alnum", "n_bangs", "n_stutters", "n_lines", "n_ended",
 ]
 
 PRIOR_GOOD = 0.8
@@ -76,7 +76,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
             (F.size(F.array_distinct("spans")) < F.size("spans")).alias("repeats"),
             _only(r"\p{Lu}").alias("n_upper"),
-            _only(r"\p{L}").alias("n_letters"),
+            _only(r"\p{L}\p{N}").alias("n_alnum"),
             _only("!").alias("n_bangs"),
             F.size(
                 F.filter(F.zip_with("words", _next("words"), lambda a, b: a == b), lambda x: x)
