@@ -1,11 +1,13 @@
 """The operators' queries over the given tables, and their SQL where SQL can say it."""
 
-from lockstep.llm import mixing, quality, sharding, substrings, suffixes
+from lockstep.llm import extraction, mixing, quality, sharding, substrings, suffix_tree_lm, suffixes
 
 
 def all_queries() -> dict:
     return {
+        "op2_suffix_tree_lm": suffix_tree_lm.op2_suffix_tree_lm,
         "op3_substring_dedup": substrings.op3_substring_dedup,
+        "op4_html": extraction.op4_html,
         "op5_sharding": sharding.op5_sharding,
         "op7_suffix_dedup": suffixes.op7_suffix_dedup,
         "op9_mixing": mixing.op9_mixing,
