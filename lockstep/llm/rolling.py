@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Batches are worked on in slices of about this many bytes; a longer text is a slice by itself.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_500_000
 # Low bits that hold a position where hash and position are compared as one number.
 PLACE_BITS = np.uint64(30)
 PLACE = np.uint64((1 << 30) - 1)
@@ -101,11 +101,16 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         lo = hi
 
 
-def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the number of the first word of each text."""
+def words(
+    data: np.ndarray, bounds: np.ndarray, blanks: np.ndarray = _BLANK
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the number of the first word of each text.
+
+    blanks: which of the 256 bytes stand between words, ASCII white space if not given.
+    """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(bounds), np.int64)
-    blank = _BLANK[data]
+    blank = blanks[data]
     first, last = ~blank, ~blank
     edge = np.zeros(len(data) + 1, bool)
     edge[bounds] = True
