@@ -4,9 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lockstep.llm import mixing, sharding
+from lockstep.llm import decontamination, language, mixing, near_duplicates, sharding
 from lockstep.llm.common import settle, table
 
+# A document whose language is less likely than this is rejected.
+LEAST_SCORE = 0.5
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language (operator 1): those without letters or of no clear language go."""
+    found = language.predict(docs, language.learn(docs))
+    kept = found.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= LEAST_SCORE))
+    return kept.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each class of near-duplicates (operator 8)."""
+    return near_duplicates.dedup(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaked (operator 6)."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights (operator 9): rows repeat or go by rate."""
@@ -18,7 +38,14 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, sharding.tree())
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("language ID", identify),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to target weights", mix),
+    ("sharding", shard),
+]
+# A classifier and similarities can't be said in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 

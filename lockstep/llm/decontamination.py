@@ -18,14 +18,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.llm.common import table
-from lockstep.llm.rolling import Roll, slices, words
+from lockstep.llm.rolling import Roll, changes, slices, words
 
 BLOCK = 32
 PIECE = 48
-RANK, EXTRA = 32, 8
-COSINE = 0.5
-# Share of an item's weight that has to be near before its subsequence is computed.
-OVERLAP = 0.5
+RANK, EXTRA = 64, 8
+COSINE = 0.45
+# Words in more than this share of all blocks tell little; of each item the RAREST stay even so.
+MOST_COMMON, RAREST = 0.005, 8
+# Share of a piece's weight, then of an item's tokens, that has to be near before the item's
+# subsequence is computed.
+SHARED, OVERLAP = 0.3, 0.5
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 # A span of this many times an item's length is searched for it.
 STRETCH, SLACK = 1.3, 4
@@ -95,18 +98,40 @@ class Benchmark:
         return np.where(self.vocabulary[at] == tokens, at, -1)
 
     def weigh(self, df: np.ndarray, n: int) -> None:
-        self.idf = (np.log((n + 1) / (df + 1)) + 0.1).astype(np.float32)
+        """Keep the words that tell something and weigh them by inverse document frequency."""
+        keep = df <= MOST_COMMON * n
+        for item in self.items:
+            at = np.unique(self.places(np.array(item.tokens, np.uint64)))
+            keep[at[np.argsort(df[at], kind="stable")[:RAREST]]] = True
+        self.vocabulary = self.vocabulary[keep]
+        self.idf = np.log((n + 1) / (df[keep] + 1)).astype(np.float32) + np.float32(0.1)
 
     def direct(self, basis: np.ndarray) -> None:
         """Take the latent directions and place every piece of every item there."""
         self.basis = (basis * self.idf[:, None]).astype(np.float32)
-        owner, rows = [], []
+        owner, rows, cells, weights = [], [], [], []
         for k, item in enumerate(self.items):
             at = self.places(np.array(item.tokens, np.uint64))
             for lo in range(0, max(len(at) - PIECE // 2, 1), PIECE // 2):
+                known = np.unique(at[lo : lo + PIECE])
+                known = known[known >= 0]
+                cells.append(len(owner) * len(self.vocabulary) + known)
+                weights.append(self.idf[known].sum())
                 owner.append(k)
-                rows.append(self.basis[at[lo : lo + PIECE]].sum(0))
+                rows.append(self.basis[at[lo : lo + PIECE][at[lo : lo + PIECE] >= 0]].sum(0))
         self.owner, self.pieces = np.array(owner), _unit(np.array(rows))
+        self.cells, self.weights = np.concatenate(cells), np.array(weights)
+
+    def shared(self, pieces: np.ndarray, blocks: np.ndarray, block: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Of each pair of piece and block the share of the piece's weight in the block; block, word: sorted."""
+        lo, hi = np.searchsorted(block, blocks), np.searchsorted(block, blocks, "right")
+        n = hi - lo
+        pair = np.repeat(np.arange(len(blocks)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[pair]
+        cell = pieces[pair] * len(self.vocabulary) + word[at]
+        found = self.cells[np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)] == cell
+        total = np.bincount(pair[found], self.idf[word[at[found]]], minlength=len(blocks))
+        return total / self.weights[pieces]
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -132,12 +157,21 @@ def _matrix(bench: Benchmark, tokens: np.ndarray, starts: np.ndarray):
     return keys // len(bench.vocabulary), keys % len(bench.vocabulary), counts
 
 
-def _sums(rows: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by number, of being sorted."""
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(of):
-        new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        out[of[new]] = np.add.reduceat(rows, new, axis=0)
+def _projected(basis: np.ndarray, word: np.ndarray, x: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """Sum of x times the words' rows of the basis for each of n blocks; block: sorted.
+
+    Words are added by their rank in the block, so each step adds whole rows to different blocks.
+    """
+    out = np.zeros((n, basis.shape[1]), np.float32)
+    ends = np.searchsorted(block, np.arange(n + 1))
+    size = np.diff(ends)
+    some = np.flatnonzero(size)
+    k = 0
+    while len(some):
+        at = ends[some] + k
+        out[some] += basis[word[at]] * x[at, None]
+        k += 1
+        some = some[size[some] > k]
     return out
 
 
@@ -188,9 +222,12 @@ def _directions(text: DataFrame, shared, rank: int) -> np.ndarray:
                 x = np.log1p(counts).astype(np.float32) * bench.idf[word]
                 norm = np.sqrt(np.bincount(block, x * x, minlength=len(starts)))
                 x = (x / norm[block]).astype(np.float32)
-                left = _sums(probe.value[word] * x[:, None], block, len(starts))
+                left = _projected(probe.value, word, x, block, len(starts))
                 order = np.argsort(word, kind="stable")
-                total += _sums(left[block[order]] * x[order, None], word[order], size)
+                new = changes(word[order])
+                if len(new):
+                    rows = left[block[order]] * x[order, None]
+                    total[word[order][new]] += np.add.reduceat(rows, new, axis=0)
         some = np.flatnonzero(total.any(1))
         yield pa.record_batch(
             [pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))], ["word", "row"]
@@ -229,47 +266,58 @@ def _verified(bench: Benchmark, item: Item, near: np.ndarray) -> tuple[int, bool
     return None
 
 
-def _search(shared, batches):
-    for batch in batches:
-        bench = shared.value
-        keep, items, lengths, sizes, answers, cosines = [], [], [], [], [], []
-        for lo, _, data, bounds in slices(batch.column(1)):
-            tokens, first = _tokens(data, bounds)
-            starts, of = _blocks(first)
-            if not len(starts):
-                continue
-            block, word, counts = _matrix(bench, tokens, starts)
-            one = _sums(bench.basis[word] * np.log1p(counts).astype(np.float32)[:, None], block, len(starts))
-            two = one.copy()
-            joined = np.flatnonzero(of[1:] == of[:-1])
-            two[joined] += one[joined + 1]
-            cosine = np.maximum(_unit(one) @ bench.pieces.T, _unit(two) @ bench.pieces.T)
-            at, piece = np.nonzero(cosine >= COSINE)
-            best: dict[tuple[int, int], tuple[int, bool, float]] = {}
-            for b, p in zip(at.tolist(), piece.tolist(), strict=True):
-                k, row = int(bench.owner[p]), int(of[b])
-                item = bench.items[k]
-                reach = len(item.tokens)
-                x = max(starts[b] - reach, first[row])
-                y = min(starts[b] + 2 * BLOCK + reach, first[row + 1])
-                found = _verified(bench, item, tokens[x:y])
-                if found and found[0] > best.get((row, k), (0,))[0]:
-                    best[row, k] = (*found, float(cosine[b, p]))
-            for (row, k), (n, answer, c) in best.items():
-                keep.append(lo + row)
-                items.append(bench.items[k].item_id)
-                lengths.append(n)
-                sizes.append(len(bench.items[k].tokens))
-                answers.append(answer)
-                cosines.append(c)
-        yield pa.record_batch(
-            [
-                batch.column(0).take(pa.array(keep, pa.int64())), pa.array(items, pa.int64()),
-                pa.array(lengths, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(answers, pa.bool_()), pa.array(cosines, pa.float64()),
-            ],
-            ["doc_id", "item_id", "common", "item_words", "answer", "cosine"],
-        )
+def _found(bench: Benchmark, texts: pa.Array):
+    """Row, item, common subsequence, whether the answer is there and cosine of every leak."""
+    for lo, _, data, bounds in slices(texts):
+        tokens, first = _tokens(data, bounds)
+        starts, of = _blocks(first)
+        if not len(starts):
+            continue
+        block, word, counts = _matrix(bench, tokens, starts)
+        # Of two neighbouring blocks the first stands for both; too light ones can't share enough.
+        weight = np.bincount(block, bench.idf[word], minlength=len(starts) + 1)
+        joined = np.append(of[1:] == of[:-1], False)
+        heavy = weight[:-1] + np.where(joined, weight[1:], 0) >= SHARED * bench.weights.min()
+        heavy, joined = np.flatnonzero(heavy), joined[heavy]
+        x = np.log1p(counts).astype(np.float32)
+        used = np.zeros(len(starts) + 1, bool)
+        used[heavy] = used[heavy + 1] = True
+        inside = used[block]
+        place = np.cumsum(used) - 1
+        one = _projected(bench.basis, word[inside], x[inside], place[block[inside]], int(used.sum()))
+        two = one[place[heavy]] + one[place[heavy + 1]] * joined[:, None]
+        cosine = np.maximum(_unit(one[place[heavy]]) @ bench.pieces.T, _unit(two) @ bench.pieces.T)
+        at, piece = np.nonzero(cosine >= COSINE)
+        close, at, joined = cosine[at, piece], heavy[at], joined[at]
+        near = bench.shared(piece, at, block, word)
+        near[joined] += bench.shared(piece[joined], at[joined] + 1, block, word)
+        good = near >= SHARED
+        best: dict[tuple[int, int], tuple[int, bool, float]] = {}
+        for b, p, c in zip(at[good].tolist(), piece[good].tolist(), close[good].tolist(), strict=True):
+            k, row = int(bench.owner[p]), int(of[b])
+            item = bench.items[k]
+            reach = len(item.tokens)
+            x = max(starts[b] - reach, first[row])
+            y = min(starts[b] + 2 * BLOCK + reach, first[row + 1])
+            found = _verified(bench, item, tokens[x:y])
+            if found and found[0] > best.get((row, k), (0,))[0]:
+                best[row, k] = (*found, c)
+        for (row, k), (n, answer, c) in best.items():
+            yield lo + row, bench.items[k], n, answer, c
+
+
+def _rounds(docs: DataFrame, benchmark: DataFrame, rank: int):
+    """The benchmark ITEMS items at a time, learnt on all of docs, as broadcast variables."""
+    spark, text = docs.sparkSession, docs.select("text")
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    rounds = -(-items.count() // ITEMS)
+    for k in range(rounds):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k).distinct()
+        bench = Benchmark(sorted((r["item_id"] or 0, r["text"]) for r in mine.collect()))
+        if bench.items:
+            bench.weigh(*_document_frequencies(text, spark.sparkContext.broadcast(bench)))
+            bench.direct(_directions(text, spark.sparkContext.broadcast(bench), rank))
+            yield spark.sparkContext.broadcast(bench)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
@@ -281,23 +329,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
     document, repeated rows leak alike, an empty table gives no rows. Whole texts are
     searched. The benchmark goes to every task, ITEMS items a round.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, common long, item_words long, answer boolean, cosine double"
-    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
-    rounds = -(-items.count() // ITEMS)
-    out = spark.createDataFrame([], schema)
-    for k in range(rounds):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == k)
-        bench = Benchmark(sorted((r["item_id"], r["text"]) for r in mine.collect()))
-        if not bench.items:
-            continue
-        text = docs.select("text")
-        bench.weigh(*_document_frequencies(text, spark.sparkContext.broadcast(bench)))
-        bench.direct(_directions(text, spark.sparkContext.broadcast(bench), rank))
-        shared = spark.sparkContext.broadcast(bench)
-        found = docs.select("doc_id", "text").mapInArrow(lambda b, s=shared: _search(s, b), schema)
-        out = found if rounds == 1 else out.union(found)
+    out = None
+    for shared in _rounds(docs, benchmark, rank):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                found = list(_found(shared.value, batch.column(1)))
+                rows, items, common, answers, cosines = zip(*found, strict=True) if found else [()] * 5
+                yield pa.record_batch(
+                    [
+                        batch.column(0).take(pa.array(rows, pa.int64())),
+                        pa.array([i.item_id for i in items], pa.int64()), pa.array(common, pa.int64()),
+                        pa.array([len(i.tokens) for i in items], pa.int64()),
+                        pa.array(answers, pa.bool_()), pa.array(cosines, pa.float64()),
+                    ],
+                    ["doc_id", "item_id", "common", "item_words", "answer", "cosine"],
+                )
+
+        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        out = part if out is None else out.union(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
+    """The rows of docs into which no item leaked, by the rules of leaks(); all columns stay."""
+    where = docs.columns.index("text")
+    out = docs
+    for shared in _rounds(docs, benchmark, rank):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, *_ in _found(shared.value, batch.column(where)):
+                    keep[row] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
     return out
 
 

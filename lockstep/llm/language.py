@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lockstep.llm.common import held_out, table
 
@@ -206,35 +207,38 @@ def fit(training: DataFrame) -> Model:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns doc_id and text with lang_pred and score, from the whole text alone.
+    """docs with two more columns, lang_pred and score, from the whole text alone.
 
     A text that is null or has no letter is `und` with score 0, and so is every text if no language was
     learnt. Ties go to the language that sorts first. Rows are independent: repeated ones agree,
-    other columns are ignored, no rows give no rows.
+    other columns stay as they are except that ones called lang_pred or score are replaced; no rows
+    give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.drop("lang_pred", "score")
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*docs.schema.fields, *more])
+    where = docs.columns.index("text")
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi, counts in _blocks(texts):
-                names, scores = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)
-                if m.languages:
-                    p = m.probabilities(_weighed(counts, m.idf)).astype(float)
-                    some = counts.any(1)
-                    best = p.argmax(1)
-                    names = [m.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
-                    scores = np.where(some, np.clip(p.max(1), 0.0, 1.0), 0.0)
-                yield pa.record_batch(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(scores)],
-                    ["doc_id", "text", "lang_pred", "score"],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, text string, lang_pred string, score double"
-    )
+            names, scores = [], []
+            for lo, hi, counts in _blocks(batch.column(where).to_pylist()):
+                if not m.languages:
+                    names += [UNKNOWN] * (hi - lo)
+                    scores += [0.0] * (hi - lo)
+                    continue
+                p = m.probabilities(_weighed(counts, m.idf)).astype(float)
+                some, best = counts.any(1), p.argmax(1)
+                names += [m.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
+                scores += np.where(some, np.clip(p.max(1), 0.0, 1.0), 0.0).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                names=schema.names,
+            )
+
+    return docs.mapInArrow(run, schema)
 
 
 def learn(docs: DataFrame) -> Model:
@@ -245,5 +249,5 @@ def learn(docs: DataFrame) -> Model:
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    found = predict(docs, learn(docs))
+    found = predict(docs.select("doc_id", "text"), learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "lang_pred", "score")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lockstep.llm import sketch
-from lockstep.llm.common import settle, table
+from lockstep.llm.common import settle, small, table
 from lockstep.llm.rolling import Roll, changes, mixed, slices, words
 
 WORDS, SIMILARITY = 5, 0.8
@@ -33,6 +33,8 @@ REGISTERS = BANDS * ROWS
 # One bit per register: similar texts agree in 90 % of them at least, 86 of 96; 26 differences are 5.6
 # standard deviations off.
 MOST_DIFFERENT_BITS = 26
+# Ids that go are broadcast up to this many.
+GONE_ROWS = 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -288,6 +290,19 @@ def _merged(comps: DataFrame, linked: DataFrame) -> DataFrame:
     return settle(kept.union(found.join(comps, "node", "left_anti")))
 
 
+def _classified(docs: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    named = settle(rows.mapInArrow(_named, f"doc_id {kind}, node binary, n_words long"))
+    of = named.join(_links(rows), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of = settle(of)
+    least = of.where("n_words > 0").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    return of.join(least, "comp", "left").select(
+        "doc_id", "node", "comp", "n_words",
+        F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+    )
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, n_words, class_id of every row of docs (doc_id, text).
 
@@ -297,42 +312,37 @@ def classes(docs: DataFrame) -> DataFrame:
     never the least unless all are null. Repeated rows share a class; other columns are
     ignored; no rows give no rows.
     """
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    named = settle(rows.mapInArrow(_named, f"doc_id {kind}, node binary, n_words long"))
-    of = named.join(_links(rows), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    of = settle(of)
-    least = of.where("n_words > 0").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return of.join(least, "comp", "left").select(
-        "doc_id", "node", "n_words",
-        F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
-    )
+    return _classified(docs).drop("comp")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: one with the least doc_id. All columns stay.
 
-    Rows without words all stay. Among rows with the same doc_id and words one stays.
+    Rows without words all stay. Where an id has several rows, they are told apart by their words,
+    and of rows that agree in id and text one stays.
     """
-    found = settle(classes(docs))
-    gone = found.where((F.col("n_words") > 0) & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
-    again = found.where("n_words > 0").groupBy("doc_id", "class_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.limit(1).count():
+    found = settle(_classified(docs))
+    if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return _one_each(docs, found)
+    gone = found.where((F.col("n_words") > 0) & ~F.col("doc_id").eqNullSafe(F.col("class_id")))
+    gone = small(settle(gone.select(F.col("doc_id").alias("__id"))), GONE_ROWS)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """dedup() where ids repeat: rows are told apart by their words as well."""
+    """dedup() where ids repeat."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = docs.select("doc_id", "text").distinct().mapInArrow(_texted, f"__id {kind}, __text string, __node binary")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
     best = (
-        found.where("n_words > 0").groupBy("class_id").agg(
-            F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("node")
-        )
+        found.where((F.col("n_words") > 0) & first)
+        .groupBy("comp")
+        .agg(F.min("node").alias("node"), F.first("class_id").alias("id"))
+        .drop("comp")
+    )
+    names = docs.select("doc_id", "text").distinct().mapInArrow(
+        _texted, f"__id {kind}, __text string, __node binary"
     )
-    kept = names.join(best, F.col("__id").eqNullSafe(best["class_id"]) & (F.col("__node") == best["node"]))
+    kept = names.join(best, F.col("__id").eqNullSafe(F.col("id")) & (F.col("__node") == F.col("node")))
     one = kept.groupBy("__id", "__node").agg(F.min("__text").alias("__text")).drop("__node")
     blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text") == F.col("__text"))
