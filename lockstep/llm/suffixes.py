@@ -2,8 +2,9 @@
 
 A string of WINDOW bytes is found by its anchor, the run of ANCHOR bytes of least hash inside. Stretches
 of windows with one anchor form segments; a merged sketch of anchors tells which segments
-may share a window with another place. Those segments meet by anchor, equal ones folded, and a
-suffix array of each bucket brings equal windows together:
+may share a window with another place. Their hashes meet by anchor, equal ones folded; where an anchor
+has several different segments, their bytes meet too, and a suffix array of each bucket brings
+equal windows together:
 
 * suffixes smaller than their successors are sorted directly,
 * the rest is induced from them by scanning the buckets of first bytes from left to right,
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.llm import sketch
-from lockstep.llm.common import partitions, table
+from lockstep.llm.common import partitions, settle, table
 from lockstep.llm.rolling import Roll, anchors, changes, mixed, slices
 
 WINDOW, ANCHOR = 50, 20
@@ -34,6 +35,9 @@ BYTES_PER_KEY = 16
 BUCKET_BYTES = 1_000_000
 BREAK = 0xFF  # in no UTF-8 text
 NO_ID = 2**63 - 1
+# An anchor with more different segments than this is settled window by window.
+HOT = 50_000
+OWNERS = "__id long, print long, bits binary"
 
 
 # --- suffix array ----------------------------------------------------------------------
@@ -201,20 +205,48 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = sketch.repeated(rows.select("text"), keys_of, size // BYTES_PER_KEY)
     shared = spark.sparkContext.broadcast(found)
 
+    def flagged(batch):
+        """Anchor, print, id, first and last window and bytes of the segments that may repeat."""
+        ids = batch.column(0).fill_null(NO_ID).to_numpy()
+        for lo, _, data, bounds in slices(batch.column(1)):
+            keys, a, b = _segments(data, bounds, window, anchor)
+            hit = shared.value.may(keys)
+            keys, a, b = keys[hit], a[hit], b[hit]
+            of = ids[lo + np.searchsorted(bounds, a, "right") - 1]
+            yield keys, _prints(data, a, b, window), of, a, b, data
+
     def suspects(batches):
         for batch in batches:
-            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            for keys, prints, of, *_ in flagged(batch):
+                first = _least(keys, prints, of)
+                yield pa.record_batch(
+                    [pa.array(c[first].view(np.int64)) for c in (keys, prints, of)],
+                    ["anchor", "print", "doc_id"],
+                )
+
+    # Who has the segments of each anchor: one print alone is its least id's; others are compared.
+    by_anchor = settle(
+        rows.mapInArrow(suspects, "anchor long, print long, doc_id long")
+        .repartition(partitions(spark), "anchor")
+        .groupBy("anchor", "print")
+        .agg(F.min("doc_id").alias("doc_id"))
+        .groupBy("anchor")
+        .agg(F.count("*").alias("n"), F.first("print").alias("print"), F.first("doc_id").alias("__id"))
+    )
+    many, hot = by_anchor.agg(F.count_if(F.col("n") > 1), F.count_if(F.col("n") > HOT)).first()
+    several = spark.sparkContext.broadcast(_members(by_anchor.where("n > 1").select("anchor"), many))
+    crowded = spark.sparkContext.broadcast(_members(by_anchor.where(F.col("n") > HOT).select("anchor"), hot))
+
+    def segments(batches):
+        for batch in batches:
             least: dict[bytes, tuple[int, int, int]] = {}
-            for lo, hi, data, bounds in slices(batch.column(1)):
-                keys, a, b = _segments(data, bounds, window, anchor)
-                hit = shared.value.may(keys)
-                keys, a, b = keys[hit], a[hit], b[hit]
-                prints = _prints(data, a, b, window).view(np.int64).tolist()
-                of = ids[lo + np.searchsorted(bounds, a, "right") - 1].tolist()
+            for keys, prints, of, a, b, data in flagged(batch):
+                pick = np.flatnonzero(several.value.may(keys) & ~crowded.value.may(keys))
                 raw = data.tobytes()
                 for x, y, key, mark, i in zip(
-                    a.tolist(), (b + window).tolist(), keys.view(np.int64).tolist(), prints, of, strict=True
-                ):
+                    a[pick].tolist(), (b[pick] + window).tolist(), keys[pick].view(np.int64).tolist(),
+                    prints[pick].view(np.int64).tolist(), of[pick].tolist(), strict=True,
+                ):
                     segment = raw[x:y]
                     had = least.get(segment)
                     if had is None or i < had[2]:
@@ -243,15 +275,18 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         if segments:
             yield _answers(anchors_, prints, ids, segments, window)
 
-    folded = (
-        rows.mapInArrow(suspects, "anchor long, print long, doc_id long, segment binary")
+    owners = by_anchor.where("n = 1").select("__id", "print", F.lit(b"").alias("bits"))
+    owners = owners.union(
+        rows.mapInArrow(segments, "anchor long, print long, doc_id long, segment binary")
         .repartition(partitions(spark), "anchor")
         .groupBy("anchor", "segment")
         .agg(F.min("print").alias("print"), F.min("doc_id").alias("doc_id"))
         .select("anchor", "print", "doc_id", "segment")
         .sortWithinPartitions("anchor")
+        .mapInArrow(own, OWNERS)
     )
-    owners = folded.mapInArrow(own, "__id long, print long, bits binary")
+    if hot:
+        owners = owners.union(_owners_by_window(rows, flagged, crowded, window))
     told = owners.groupBy("__id").agg(F.collect_list(F.struct("print", "bits")).alias("own"))
     joined = rows.join(
         told, F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("__id"), "left"
@@ -295,6 +330,58 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return joined.mapInArrow(keep, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def _least(keys, prints, of) -> np.ndarray:
+    """For each different key and print the place of the least id."""
+    order = np.lexsort((of, prints, keys))
+    return order[changes(keys[order], prints[order])]
+
+
+def _members(keys: DataFrame, n: int) -> sketch.Repeated:
+    """A sketch that knows the different keys of a one-column table, and may claim others."""
+
+    def twice(batch):
+        yield np.repeat(batch.column(0).to_numpy().view(np.uint64), 2)
+
+    return sketch.repeated(keys, twice, n)
+
+
+def _owners_by_window(rows, flagged, crowded, window) -> DataFrame:
+    """Owners of the windows of anchors with very many different segments, found by grouping
+    single windows by 128 bits of hash, so that no task sees all segments of such an anchor."""
+
+    def windows(batches):
+        roll, other = _rolls()
+        for batch in batches:
+            for keys, prints, of, a, b, data in flagged(batch):
+                pick = np.flatnonzero(crowded.value.may(keys))
+                pick = pick[_least(keys[pick], prints[pick], of[pick])]
+                n = b[pick] + 1 - a[pick]
+                inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(a[pick], n) + inside
+                yield pa.record_batch(
+                    [
+                        pa.array(roll.spans(roll.of_bytes(data), at, at + window).view(np.int64)),
+                        pa.array(other.spans(other.of_bytes(data), at, at + window).view(np.int64)),
+                        pa.array(np.repeat(of[pick], n)),
+                        pa.array(np.repeat(prints[pick], n).view(np.int64)),
+                        pa.array(inside.astype(np.int32)),
+                    ],
+                    ["one", "two", "__id", "print", "inside"],
+                )
+
+    def bits(batches):
+        for batch in batches:
+            packed = [sum(1 << k for k in set(x)).to_bytes(max(x) // 8 + 1, "little") for x in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["__id", "print", "bits"])
+
+    each = rows.mapInArrow(windows, "one long, two long, __id long, print long, inside int")
+    least = each.groupBy("one", "two").agg(F.min("__id").alias("__least"))
+    mine = each.join(least, ["one", "two"]).where(F.col("__id") == F.col("__least"))
+    return (
+        mine.groupBy("__id", "print").agg(F.collect_set("inside").alias("inside")).mapInArrow(bits, OWNERS)
+    )
+
+
 def _answers(keys, prints, ids, segments, window) -> pa.RecordBatch:
     """Owned windows of each segment; all of them where no other segment has its anchor."""
     keys = np.array(keys, np.int64)
