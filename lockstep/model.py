@@ -86,6 +86,8 @@ RUN_STATE = [
     "source_operation_metrics",
     "target_operation_metrics",
 ]
+# What the receiver records of them.
+RECEIVED = ["sync_time_in_region", "target_operation_metrics"]
 
 COMMITS = struct(
     table_name=STRING,

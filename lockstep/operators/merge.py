@@ -4,7 +4,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lockstep import scratch
@@ -81,21 +80,22 @@ def assign_counter(df: DataFrame, order_by: list[str], start: int, counter: str)
     """Add ``start + 1 .. start + n`` in ``order_by`` order, without gaps.
 
     Rows are range-partitioned and numbered inside their partition; the partition
-    sizes then give each partition its offset. The numbered rows are written to the
-    checkpoint folder in between, so both passes see the same rows even when an
-    executor is lost. The offset table has one row per partition.
+    sizes then give each partition its offset. Ties are broken by where a row stood, so that
+    equal values can be split between partitions. The numbered rows are checkpointed in between,
+    so both passes see the same rows even when an executor is lost. The offset table has one row
+    per partition.
     """
     position = F.monotonically_increasing_id()
     numbered = (
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
+        df.withColumn("_tie", position)
+        .repartitionByRange(*order_by, "_tie")
+        .sortWithinPartitions(*order_by, "_tie")
+        .drop("_tie")
         .withColumn("_part", F.shiftright(position, 33))
         .withColumn("_row", position.bitwiseAND(F.lit((1 << 33) - 1)))
     )
-    path = scratch.new_dir(df.sparkSession, "counter")
-    numbered.write.parquet(path)
-    schema = T.StructType(numbered.schema.fields)
-    numbered = df.sparkSession.read.schema(schema).parquet(path)
+    scratch.checkpoint_root(df.sparkSession)
+    numbered = numbered.checkpoint()
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

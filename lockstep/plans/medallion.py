@@ -28,7 +28,6 @@ def merge_files(
     silver: DataFrame,
     now_ms: int,
     parameters: dict[str, str] | None = None,
-    bucket_count: int = 1024,
 ) -> int:
     """Gold: number the silver rows after the highest counter, then upsert by file name."""
     snapshots.ensure(spark, root, table, GOLD, now_ms)
@@ -37,9 +36,7 @@ def merge_files(
     batch = assign_counter(silver, ["file_name"], start, "merge_counter").withColumn(
         "merge_time", at_millis(F.lit(now_ms))
     )
-    return snapshots.merge(
-        batch.select(*GOLD.names), root, table, ["file_name"], now_ms, parameters, bucket_count
-    )
+    return snapshots.merge(batch.select(*GOLD.names), root, table, ["file_name"], now_ms, parameters)
 
 
 def run_files(

@@ -25,7 +25,7 @@ from lockstep.model import (
     WORKFLOW_TIME,
     struct,
 )
-from lockstep.plans import decide, deliver
+from lockstep.plans import decide, deliver, validate
 from lockstep.scratch import checkpoint_root
 from lockstep.sources import releases, snapshots, state
 from lockstep.sources.logs import append_log, small_frame
@@ -39,6 +39,7 @@ _OUTCOME = struct(
     dst_version=LONG,
     rows=LONG,
     bytes=LONG,
+    layout=STRING,
     error=STRING,
 )
 
@@ -77,7 +78,7 @@ def _numbered(plan: DataFrame, dst_commits: DataFrame) -> DataFrame:
 def _copied_groups(
     spark: SparkSession,
     plan: DataFrame,
-    copy: Callable[[Row], tuple[int, int]],
+    copy: Callable[[Row], tuple[int, int, str]],
     max_workers: int,
     sleep: Callable[[float], None],
     publish_every_s: float,
@@ -95,11 +96,9 @@ def _copied_groups(
         key = (row["workspace_name"], row["group_name"], row["position"], row["table_name"])
         versions = (row["version"], row["dst_version"])
         try:
-            rows, nbytes = retry(lambda: copy(row), row["tries"], sleep)
-            return row, (*key, *versions, rows, nbytes, None)
+            return row, (*key, *versions, *retry(lambda: copy(row), row["tries"], sleep), None)
         except Exception as error:
-            text = f"{type(error).__name__}: {error}"[:2000]
-            return row, (*key, *versions, None, None, text)
+            return row, (*key, *versions, None, None, None, f"{type(error).__name__}: {error}")
 
     open_groups: dict[tuple, list[tuple]] = {}
     finished: list[tuple] = []
@@ -128,7 +127,7 @@ def _publish(spark: SparkSession, root: str, done: list[tuple], at_ms: int) -> D
     """Commit the copied versions, then release their groups; returns the copies."""
     copies = small_frame(spark, done, _OUTCOME)
     snapshots.commit(
-        spark, root, [snapshots.clone_row(o[3], o[5], at_ms, o[4], o[6], o[7]) for o in done]
+        spark, root, [snapshots.clone_row(o[3], o[5], at_ms, *o[4:5], *o[6:9]) for o in done]
     )
     releases.append(
         copies.select(
@@ -192,20 +191,24 @@ def send(
     clock: Callable[[], int] = snapshots.now_millis,
     max_workers: int = 10,
     on_missing: str = "block",
-    changed_only: bool = False,
     publish_every_s: float = 60.0,
     sleep: Callable[[float], None] = time.sleep,
+    declared: DataFrame | None = None,
 ) -> DataFrame:
     """Stage every group due now and return one row per group with its decision.
 
+    With ``declared``, the config's groups, a broken config is an error before anything is read
+    or copied.
+
     The control table lives in the staging location. Data is written first, then the
     commits, then the releases, then the control table, so a run that stops midway
     leaves the previous release of each group in place.
     """
+    if declared is not None:
+        validate.require_valid(workspaces, declared)
     checkpoint_root(spark)
     now = clock() if now_ms is None else now_ms
     commits = snapshots.commits(spark, source_root)
-    state.compact(spark, stage_root)
     control = state.load(spark, stage_root)
     decisions = decide.decide(control, workspaces, commits, runs, now).checkpoint()
     plan = _with_tries(decide.build(decisions, commits, on_missing), workspaces)
@@ -217,9 +220,8 @@ def send(
     if not started.isEmpty():
         retry(lambda: state.record(started, stage_root, "sender", checked=False), sleep=sleep)
 
-    def copy(row: Row) -> tuple[int, int]:
-        how = snapshots.copy_changed if changed_only else snapshots.copy
-        return how(
+    def copy(row: Row) -> tuple[int, int, str]:
+        return snapshots.copy(
             spark, source_root, stage_root, row["table_name"], row["version"], row["dst_version"]
         )
 
@@ -305,10 +307,10 @@ def receive(
     plan = _numbered(plan, snapshots.commits(spark, dst_root)).checkpoint()
     due = plan.filter(F.col("decision") == deliver.DELIVER)
 
-    def copy(row: Row) -> tuple[int, int]:
+    def copy(row: Row) -> tuple[int, int, str]:
         table, version = row["table_name"], row["version"]
-        rows, _ = snapshots.copy(spark, stage_root, dst_root, table, version, row["dst_version"])
-        return rows, snapshots.version_size(spark, stage_root, table, version)
+        rows, _, layout = snapshots.copy(spark, stage_root, dst_root, table, version, row["dst_version"])
+        return rows, snapshots.version_size(spark, stage_root, table, version), layout
 
     def publish(done: list[tuple]) -> None:
         copies = _publish(spark, dst_root, done, clock())

@@ -35,6 +35,17 @@ def _no_tables() -> Column:
     return F.coalesce(F.size("tables"), F.lit(0)) <= 0
 
 
+class ConfigError(ValueError):
+    """A config breaks a rule."""
+
+
+def require_valid(workspaces: DataFrame, groups: DataFrame) -> None:
+    """Fail, naming the broken rules, unless the config keeps all of them."""
+    broken = [tuple(r) for r in violations(workspaces, groups).collect()]
+    if broken:
+        raise ConfigError(f"broken config: {sorted(map(str, broken))}")
+
+
 def violations(workspaces: DataFrame, groups: DataFrame) -> DataFrame:
     """Broken rules as (workspace_name, entity, rule); an empty result is a valid config.
 

@@ -1,5 +1,6 @@
 """Shared scratch space for intermediate tables and checkpoints."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,10 +8,16 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is named."""
+    """The session's checkpoint folder.
+
+    Where none is named, a temporary one serves a local master; on a cluster, whose executors
+    would not share it, that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lockstep-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")

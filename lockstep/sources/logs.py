@@ -25,7 +25,7 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def append_log(df: DataFrame, path: str) -> None:
     """Append a small batch as one file, which makes it visible in one rename."""
-    df.coalesce(1).write.mode("append").parquet(path)
+    df.repartition(1).write.mode("append").parquet(path)
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:

@@ -3,11 +3,13 @@
 A table's version N is the directory ``<root>/<catalog>/<schema>/<table>/v=N``; the
 commits of a root are rows of ``<root>/_commits``. Data is written first and its
 commit row afterwards, so a version without a commit row is never read, and writing
-it again simply replaces it. One writer per root.
+it again simply replaces it. The commit row also holds the version's schema and partition
+columns, so that values are read back and copied as they were written. One writer per table.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from datetime import datetime, timezone
 
@@ -18,11 +20,15 @@ from pyspark.sql import types as T
 from lockstep.functions.names import split_name
 from lockstep.model import CLONE, COMMITS
 from lockstep.operators.history import as_of_time
-from lockstep.sources import buckets
+from lockstep.operators.merge import upsert
+from lockstep.operators.reconcile import diff
 from lockstep.sources.logs import append_log, read_log, small_frame
 from lockstep.sources.paths import size, version_dir
 
 
+LAYOUT = "layout"
+
+
 def now_millis() -> int:
     return int(time.time() * 1000)
 
@@ -64,26 +70,37 @@ def write_version(
     table: str,
     version: int,
     partition_by: list[str] | None = None,
-) -> tuple[int, int]:
-    """Write one version and return (rows, bytes).
+) -> tuple[int, int, str]:
+    """Write one version and return (rows, bytes, layout).
 
     Rows are counted while they are written; bytes come from the file listing, so
-    neither needs a second pass over the data.
+    neither needs a second pass over the data. An empty text in a partition column, which
+    a folder name can't tell from NULL, is an error and leaves the version uncommitted.
     """
-    buckets.clear(df.sparkSession, root, table, version)
-    path = version_dir(root, table, version)
+    path, parts = version_dir(root, table, version), partition_by or []
+    texts = [c for c in parts if df.schema[c].dataType == T.StringType()]
     seen = Observation()
-    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    blank = [F.count_if(F.col(c) == "").alias(f"blank_{i}") for i, c in enumerate(texts)]
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows"), *blank).write.mode("overwrite")
+    if parts:
+        writer = writer.partitionBy(*parts)
     writer.parquet(path)
-    return seen.get["rows"], size(df.sparkSession, [path])
+    if any(seen.get[f"blank_{i}"] for i in range(len(texts))):
+        raise ValueError(f"{table} has empty text in a partition column of {texts}")
+    layout = json.dumps({"schema": json.loads(df.schema.json()), "partition_by": parts})
+    return seen.get["rows"], size(df.sparkSession, [path]), layout
+
+
+def layout_of(spark: SparkSession, root: str, table: str, version: int) -> dict:
+    """Schema and partition columns of a committed version; empty where its commit names none."""
+    log = commits(spark, root).filter((F.col("table_name") == table) & (F.col("version") == version))
+    row = log.select(F.col("operation_parameters")[LAYOUT].alias(LAYOUT)).first()
+    return json.loads(row[LAYOUT]) if row and row[LAYOUT] else {}
 
 
 def version_size(spark: SparkSession, root: str, table: str, version: int) -> int:
-    """Total bytes a committed version consists of."""
-    held = buckets.directories(root, table, buckets.manifest(spark, root, table, version))
-    return size(spark, held or [version_dir(root, table, version)])
+    """Total bytes of a version's files."""
+    return size(spark, [version_dir(root, table, version)])
 
 
 def publish(
@@ -98,9 +115,10 @@ def publish(
     """Replace a table's contents by a new version; older versions stay readable."""
     spark = df.sparkSession
     version = next_version(spark, root, table)
-    rows, nbytes = write_version(df, root, table, version, partition_by)
+    rows, nbytes, layout = write_version(df, root, table, version, partition_by)
     metrics = {"numOutputRows": str(rows), "numOutputBytes": str(nbytes)}
     at = now_millis() if at_ms is None else at_ms
+    parameters = {**(parameters or {}), LAYOUT: layout}
     commit(spark, root, [commit_row(table, version, at, operation, parameters, metrics)])
     return version
 
@@ -148,20 +166,48 @@ def read(
 
 
 def read_version(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
-    """Read a committed version: its own directory, or the directories that hold its buckets."""
-    held = buckets.directories(root, table, buckets.manifest(spark, root, table, version))
-    if held:
-        return buckets.read_directories(spark, held)
-    return spark.read.parquet(version_dir(root, table, version))
+    """A committed version, with the column types and order it was written with."""
+    return _read(spark, version_dir(root, table, version), layout_of(spark, root, table, version))
+
+
+def _read(spark: SparkSession, path: str, layout: dict) -> DataFrame:
+    if not layout:
+        return spark.read.parquet(path)
+    schema = T.StructType.fromJson(layout["schema"])
+    return spark.read.schema(schema).parquet(path).select(*[f"`{name}`" for name in schema.names])
 
 
 def register(spark: SparkSession, root: str, table: str, version: int) -> str:
-    """Point the session view ``<schema>.<table>`` at a version, replacing the old one."""
-    _, schema, name = split_name(table)
+    """Point the session view ``<catalog>__<schema>.<table>`` at a version, replacing the old one.
+
+    The session's own catalog has one level of schemas, so catalog and schema share a name.
+    """
+    catalog, schema, name = split_name(table)
+    if "__" in catalog + "_" or schema.startswith("_"):
+        raise ValueError(f"{table}: a view's schema joins catalog and schema by two underscores")
+    read = layout_of(spark, root, table, version)
+    where = f"{catalog}__{schema}"
     path = version_dir(root, table, version).replace("`", "``")
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{schema}`")
-    spark.sql(f"CREATE OR REPLACE VIEW `{schema}`.`{name}` AS SELECT * FROM parquet.`{path}`")
-    return f"{schema}.{name}"
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{where}`")
+    columns = "*"
+    if read:
+        columns = ", ".join(
+            f"cast(`{f.name}` as {f.dataType.simpleString()}) as `{f.name}`"
+            for f in T.StructType.fromJson(read["schema"])
+        )
+    if read.get("partition_by"):
+        # Folder names would be read as numbers; a table over the folder has the types.
+        held = f"`{where}`.`_{name}_v{version}`"
+        fields = T.StructType.fromJson(read["schema"])
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+        by = ", ".join(f"`{c}`" for c in read["partition_by"])
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {held} ({ddl}) USING parquet PARTITIONED BY ({by}) LOCATION '{path}'")
+        spark.sql(f"MSCK REPAIR TABLE {held}")
+        source = held
+    else:
+        source = f"parquet.`{path}`"
+    spark.sql(f"CREATE OR REPLACE VIEW `{where}`.`{name}` AS SELECT {columns} FROM {source}")
+    return f"{where}.{name}"
 
 
 def copy(
@@ -171,25 +217,26 @@ def copy(
     table: str,
     version: int,
     dst_version: int,
-) -> tuple[int, int]:
+) -> tuple[int, int, str]:
     """Write one source version into the destination without making it visible yet.
 
-    A straight scan-to-write: no shuffle, and the tasks are the source's file splits.
+    A straight scan-to-write that keeps types and partitions: no shuffle, and the tasks are
+    the source's file splits.
     """
-    return write_version(
-        read_version(spark, src_root, table, version), dst_root, table, dst_version
-    )
+    layout = layout_of(spark, src_root, table, version)
+    df = _read(spark, version_dir(src_root, table, version), layout)
+    return write_version(df, dst_root, table, dst_version, layout.get("partition_by"))
 
 
 def clone_row(
-    table: str, version: int, at_ms: int, source_version: int, rows: int, nbytes: int
+    table: str, version: int, at_ms: int, source_version: int, rows: int, nbytes: int, layout: str
 ) -> tuple:
     return commit_row(
         table,
         version,
         at_ms,
         CLONE,
-        {"sourceVersion": str(source_version)},
+        {"sourceVersion": str(source_version), LAYOUT: layout},
         {"sourceTableSize": str(nbytes), "numOutputRows": str(rows)},
     )
 
@@ -202,45 +249,29 @@ def clone(
     version: int | None = None,
     at_ms: int | None = None,
     changed_only: bool = False,
-    keys: list[str] | None = None,
-    bucket_count: int = 1024,
 ) -> int:
-    """Copy a table at a version (latest by default) and commit it; returns the new version."""
+    """Copy a table at a version (latest by default), commit it and return its version.
+
+    With ``changed_only`` a destination whose latest version already has the same rows is
+    left as it is, and that version returned.
+    """
     source_version = resolve(spark, src_root, table, version)
     dst_version = next_version(spark, dst_root, table)
-    if changed_only:
-        rows, nbytes = copy_changed(
-            spark, src_root, dst_root, table, source_version, dst_version, keys, bucket_count
-        )
-    else:
-        rows, nbytes = copy(spark, src_root, dst_root, table, source_version, dst_version)
+    if changed_only and dst_version and _same(spark, src_root, source_version, dst_root, dst_version - 1, table):
+        return dst_version - 1
+    rows, nbytes, layout = copy(spark, src_root, dst_root, table, source_version, dst_version)
     at = now_millis() if at_ms is None else at_ms
-    commit(spark, dst_root, [clone_row(table, dst_version, at, source_version, rows, nbytes)])
+    row = clone_row(table, dst_version, at, source_version, rows, nbytes, layout)
+    commit(spark, dst_root, [row])
     return dst_version
 
 
-def copy_changed(
-    spark: SparkSession,
-    src_root: str,
-    dst_root: str,
-    table: str,
-    version: int,
-    dst_version: int,
-    keys: list[str] | None = None,
-    bucket_count: int = 1024,
-) -> tuple[int, int]:
-    """Write only the buckets that differ from the destination's latest version.
-
-    Rows are bucketed by ``keys``, by all flat columns unless given; the bucket count
-    of the first copy stays in force. Returns (rows, bytes) of the whole new version.
-    """
-    df = read_version(spark, src_root, table, version)
-    keys = keys or buckets.default_keys(df.schema)
-    previous = latest_version(spark, dst_root, table)
-    rows = buckets.copy_changed(df, dst_root, table, previous, dst_version, keys, bucket_count)
-    if rows is None:
-        return copy(spark, src_root, dst_root, table, version, dst_version)
-    return rows, version_size(spark, dst_root, table, dst_version)
+def _same(spark, src_root, src_version, dst_root, dst_version, table) -> bool:
+    """Do two versions have the same columns and, by digest, the same rows?"""
+    src = read_version(spark, src_root, table, src_version)
+    dst = read_version(spark, dst_root, table, dst_version)
+    fields = [[(f.name, f.dataType) for f in df.schema] for df in (src, dst)]
+    return fields[0] == fields[1] and diff(src, dst, src.columns).isEmpty()
 
 
 def merge(
@@ -250,25 +281,18 @@ def merge(
     keys: list[str],
     at_ms: int | None = None,
     parameters: dict[str, str] | None = None,
-    bucket_count: int = 1024,
 ) -> int:
-    """Upsert rows into a table by key and commit; a table not there yet is created.
+    """Upsert rows into a table by key and publish the result; a missing table is created.
 
-    Only the buckets the keys fall into are read and rewritten, the others stay where
-    they are. The bucket count of the first merge stays in force.
+    The new version keeps the table's types and partitions.
     """
     spark = source.sparkSession
     previous = latest_version(spark, root, table)
-    version = 0 if previous is None else previous + 1
     if previous is None:
-        target = spark.createDataFrame([], source.schema)
+        target, parts = spark.createDataFrame([], source.schema), None
     else:
-        target = read_version(spark, root, table, previous)
-    source = source.select(*[F.col(f.name).cast(f.dataType) for f in target.schema])
-    rows = buckets.merge(target, source, root, table, previous, version, keys, bucket_count)
-    if rows is None:
-        rows, _ = write_version(target, root, table, version)
-    metrics = {"numOutputRows": str(rows)}
-    at = now_millis() if at_ms is None else at_ms
-    commit(spark, root, [commit_row(table, version, at, "MERGE", parameters, metrics)])
-    return version
+        layout = layout_of(spark, root, table, previous)
+        target = _read(spark, version_dir(root, table, previous), layout)
+        parts = layout.get("partition_by")
+    source = source.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema])
+    return publish(upsert(target, source, keys), root, table, "MERGE", at_ms, parameters, parts)

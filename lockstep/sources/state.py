@@ -1,90 +1,85 @@
 """The control table: one row per group with its config, watermarks and metrics.
 
-Declarations are published as table versions. What runs record is appended as sparse
-patches, each writer in its own folder, and folded in on reading: a sender and a
-receiver can record at the same time without losing either's update.
+It is joined on reading from two plain tables with one writer each: declarations and what
+the sender records, and what the receiver records. So a sender and a receiver can record
+at the same time without losing either's update.
 """
 
-import time
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.model import GROUP_KEY, LONG, RUN_STATE, STATE, STRING, struct
+from lockstep.model import GROUP_KEY, LONG, RECEIVED, RUN_STATE, STATE, struct
 from lockstep.operators.merge import require_unique
 from lockstep.sources import snapshots
-from lockstep.sources.logs import append_log, read_log
-from lockstep.sources.paths import version_dir
 
 STATE_TABLE = "sync.meta.state"
+RECEIVED_TABLE = "sync.meta.received"
 
-PATCHES = struct(
-    patch_ns=LONG,
-    **{f.name: f.dataType for f in STATE if f.name in GROUP_KEY + RUN_STATE},
-    base_version=LONG,
-    writer=STRING,
+# ``declaration`` tells for which declaration of the group the receiver recorded.
+RECEIVED_ROWS = struct(
+    **{f.name: f.dataType for f in STATE if f.name in GROUP_KEY + RECEIVED}, declaration=LONG
 )
 
 
+def _declaration() -> Column:
+    """Changes exactly when a group's run state is reset."""
+    names = ["workflow_name", "tables", "validated"]
+    return F.xxhash64(*[x for c in names for x in (F.isnull(c), F.col(c))])
+
+
 def create(spark: SparkSession, root: str, at_ms: int | None = None) -> int:
     """Create an empty control table unless it exists."""
     return snapshots.ensure(spark, root, STATE_TABLE, STATE, at_ms)
 
 
+def _sent(spark: SparkSession, root: str) -> DataFrame:
+    return snapshots.read_version(spark, root, STATE_TABLE, create(spark, root))
+
+
+def _received(spark: SparkSession, root: str) -> DataFrame:
+    version = snapshots.latest_version(spark, root, RECEIVED_TABLE)
+    if version is None:
+        return spark.createDataFrame([], RECEIVED_ROWS)
+    return snapshots.read_version(spark, root, RECEIVED_TABLE, version)
+
+
 def load(spark: SparkSession, root: str) -> DataFrame:
     """The control table as of now, created empty when absent."""
-    version = create(spark, root)
-    base = spark.read.schema(STATE).parquet(version_dir(root, STATE_TABLE, version))
-    return patch(base, fold(_patches(spark, root, version)), checked=False)
+    sent = _sent(spark, root).withColumn("declaration", _declaration())
+    return patch(sent, _received(spark, root), [*GROUP_KEY, "declaration"], checked=False)
 
 
 def save(state: DataFrame, root: str, at_ms: int | None = None) -> int:
-    """Publish a new control table version, which takes over all earlier patches."""
+    """Publish new declarations and sender's records; what the receiver recorded stays."""
     columns = [F.col(f.name).cast(f.dataType) for f in STATE]
     return snapshots.publish(state.select(*columns), root, STATE_TABLE, "MERGE", at_ms)
 
 
 def record(patches: DataFrame, root: str, writer: str, checked: bool = True) -> None:
-    """Append patches (group key and any run-state columns) on behalf of one writer.
+    """Set run-state columns of the addressed groups on behalf of the sender or the receiver.
 
-    A patch belongs to the version it was made against. One that misses a version
-    published at the same moment is dropped, and its group is simply due again. Two
-    patches for one group are an error; ``checked=False`` skips looking for them.
+    Two patches for one group are an error; ``checked=False`` skips looking for them.
     """
     if checked:
         require_unique(patches, GROUP_KEY)
     spark = patches.sparkSession
-    version = snapshots.latest_version(spark, root, STATE_TABLE)
-    given = [
-        (F.col(f.name) if f.name in patches.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in PATCHES
-        if f.name in GROUP_KEY + RUN_STATE
-    ]
-    rows = patches.select(F.lit(time.time_ns()).cast("bigint").alias("patch_ns"), *given)
-    append_log(rows, f"{root}/_patches/base_version={version}/writer={writer}")
-
-
-def fold(patches: DataFrame) -> DataFrame:
-    """One patch per group: of every column the latest value supplied."""
-
-    def latest(name: str):
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("patch_ns"))).alias(name)
-
-    return patches.groupBy(*GROUP_KEY).agg(*[latest(c) for c in RUN_STATE])
-
-
-def compact(spark: SparkSession, root: str, limit: int = 500) -> None:
-    """Publish a new version once more than ``limit`` patches have gathered.
-
-    For the one writer that also publishes declarations.
-    """
-    if _patches(spark, root, create(spark, root)).limit(limit + 1).count() > limit:
-        save(load(spark, root), root)
-
-
-def _patches(spark: SparkSession, root: str, version: int) -> DataFrame:
-    log = read_log(spark, f"{root}/_patches", PATCHES)
-    return log.filter(F.col("base_version") == version)
+    if writer == "sender":
+        save(patch(_sent(spark, root), patches, checked=False), root)
+        return
+    known = _sent(spark, root).select(*GROUP_KEY, _declaration().alias("declaration"))
+    new = patches.join(known, GROUP_KEY).select(
+        *[
+            (F.col(f.name) if f.name in [*patches.columns, "declaration"] else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in RECEIVED_ROWS
+        ]
+    )
+    old = _received(spark, root)
+    both = [*GROUP_KEY, "declaration"]
+    values = [F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c) for c in RECEIVED]
+    merged = new.alias("new").join(old.alias("old"), both, "left").select(*both, *values)
+    rest = old.join(new, GROUP_KEY, "left_anti")
+    rows = merged.select(*RECEIVED_ROWS.names).unionByName(rest.select(*RECEIVED_ROWS.names))
+    snapshots.publish(rows, root, RECEIVED_TABLE, "MERGE")
 
 
 def register_view(spark: SparkSession, root: str, view: str = "sync_state") -> None:
@@ -127,16 +122,18 @@ def merge_config(
     ).select(*STATE.names)
 
 
-def patch(state: DataFrame, patches: DataFrame, checked: bool = True) -> DataFrame:
+def patch(
+    state: DataFrame, patches: DataFrame, keys: list[str] = GROUP_KEY, checked: bool = True
+) -> DataFrame:
     """Set the supplied columns of the addressed groups; an absent or NULL field keeps its value.
 
     Two patches for one group are an error; ``checked=False`` skips looking for them.
     """
     if checked:
-        require_unique(patches, GROUP_KEY)
+        require_unique(patches, keys)
     changed = [c for c in RUN_STATE if c in patches.columns]
-    new = patches.select(*GROUP_KEY, *[F.col(c).alias(f"_{c}") for c in changed])
-    return state.join(new, GROUP_KEY, "left").select(
+    new = patches.select(*keys, *[F.col(c).alias(f"_{c}") for c in changed])
+    return state.join(new, keys, "left").select(
         *[
             F.coalesce(F.col(f"_{c}"), F.col(c)).alias(c) if c in changed else F.col(c)
             for c in STATE.names

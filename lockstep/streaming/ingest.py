@@ -45,15 +45,21 @@ def ingest_stream(files: DataFrame, bronze_dir: str, checkpoint: str) -> DataFra
     return files.sparkSession.read.schema(files.schema).parquet(bronze_dir)
 
 
-def applied(spark: SparkSession, root: str, table: str, stream: str, batch_id: int) -> bool:
-    """Has this table already committed this batch of this stream?"""
+def marker(batch: DataFrame, batch_id: int) -> dict[str, str]:
+    """What tells a batch apart: the id that Spark keeps in the stream's checkpoint, and its own.
+
+    Two streams never share an id, nor do a stream and its successor with a new checkpoint.
+    """
+    stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+    return {"stream": stream, "batchId": str(batch_id)}
+
+
+def applied(spark: SparkSession, root: str, table: str, mark: dict[str, str]) -> bool:
+    """Has this table already committed this batch?"""
     log = snapshots.commits(spark, root)
     parameters = log["operation_parameters"]
-    return not log.filter(
-        (log["table_name"] == table)
-        & (parameters["stream"] == stream)
-        & (parameters["batchId"] == str(batch_id))
-    ).isEmpty()
+    same = [parameters[key] == value for key, value in mark.items()]
+    return not log.filter((log["table_name"] == table) & same[0] & same[1]).isEmpty()
 
 
 def run_batches(
@@ -74,25 +80,24 @@ def run_files_stream(
     root: str,
     tables: dict[str, str],
     checkpoint: str,
-    name: str = "files",
     clock: Callable[[], int] = snapshots.now_millis,
 ) -> None:
     """Landed files to bronze, silver and gold, batch by batch.
 
-    A batch replayed after a failure is recognised by its id in the gold commit and
-    not merged twice.
+    A batch replayed after a failure on the same checkpoint is recognised in the gold commit and not
+    merged twice. Under a new checkpoint everything that has landed is merged again, by file name.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if applied(spark, root, tables["gold"], name, batch_id):
+        mark = marker(batch, batch_id)
+        if applied(spark, root, tables["gold"], mark):
             return
         now = clock()
         snapshots.publish(batch, root, tables["bronze"], at_ms=now)
         bronze = snapshots.read(spark, root, tables["bronze"])
         snapshots.publish(parse_files(bronze), root, tables["silver"], at_ms=now)
         silver = snapshots.read(spark, root, tables["silver"])
-        marker = {"stream": name, "batchId": str(batch_id)}
-        merge_files(spark, root, tables["gold"], silver, now, marker)
+        merge_files(spark, root, tables["gold"], silver, now, mark)
 
     run_batches(files, checkpoint, handle)

@@ -3,29 +3,21 @@
 from pyspark.sql import DataFrame
 
 from lockstep.sources import snapshots
-from lockstep.streaming.ingest import applied, run_batches
+from lockstep.streaming.ingest import applied, marker, run_batches
 
 
 def upsert_stream(
-    stream: DataFrame,
-    root: str,
-    table: str,
-    keys: list[str],
-    checkpoint: str,
-    name: str = "upsert",
-    bucket_count: int = 1024,
+    stream: DataFrame, root: str, table: str, keys: list[str], checkpoint: str
 ) -> None:
     """Merge every waiting micro-batch into ``table`` by ``keys`` and stop.
 
-    The commit carries stream name and batch id; a batch replayed after a failure
-    finds them and is skipped.
+    The commit carries the stream's id, which Spark keeps in its checkpoint, and the batch id; a batch
+    replayed after a failure finds them and is skipped. Any other stream's batches are merged.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if applied(spark, root, table, name, batch_id):
-            return
-        marker = {"stream": name, "batchId": str(batch_id)}
-        snapshots.merge(batch, root, table, keys, None, marker, bucket_count)
+        mark = marker(batch, batch_id)
+        if not applied(batch.sparkSession, root, table, mark):
+            snapshots.merge(batch, root, table, keys, None, mark)
 
     run_batches(stream, checkpoint, handle)

@@ -98,9 +98,32 @@ def test_file_stream_to_gold_and_replay(spark, root):
     run(f"{root}/p1")
     assert sorted(r["merge_counter"] for r in gold(spark, tables).values()) == [1, 2]
     version = snapshots.latest_version(spark, tables, NAMES["gold"])
-    # a lost checkpoint replays the same batch ids: nothing is merged twice
-    run(f"{root}/p2")
+    run(f"{root}/p1")
     assert snapshots.latest_version(spark, tables, NAMES["gold"]) == version
+    # a lost checkpoint: what landed is merged again by name, and nothing that came since is lost
+    land(landing, "c.txt", "three")
+    run(f"{root}/p2")
+    land(landing, "d.txt", "four")
+    run(f"{root}/p2")
+    assert {n: r["parsed_data"] for n, r in gold(spark, tables).items()} == {
+        "a.txt": "one", "b.txt": "two", "c.txt": "three", "d.txt": "four"}
+
+
+def test_a_replayed_batch_is_skipped(spark, root):
+    mark = {"stream": "id", "batchId": "3"}
+    rows = spark.createDataFrame([(1, "a")], "k int, v string")
+    snapshots.merge(rows, root, "lake.main.t", ["k"], None, mark)
+    assert ingest.applied(spark, root, "lake.main.t", mark)
+    assert not ingest.applied(spark, root, "lake.main.t", {**mark, "stream": "other"})
+    assert not ingest.applied(spark, root, "lake.main.t", {**mark, "batchId": "4"})
+
+
+def test_two_streams_into_one_table(spark, root):
+    for k in (1, 2):
+        spark.createDataFrame([(k, "v")], "k int, v string").write.parquet(f"{root}/in{k}")
+        stream = spark.readStream.schema("k int, v string").parquet(f"{root}/in{k}")
+        upsert.upsert_stream(stream, root, "lake.main.t", ["k"], f"{root}/progress{k}")
+    assert {r["k"] for r in snapshots.read(spark, root, "lake.main.t").collect()} == {1, 2}
 
 
 def test_upsert_stream(spark, root):

@@ -28,7 +28,7 @@ def test_uncommitted_version_is_invisible_and_replaced(spark, root):
 
 
 def test_rows_and_bytes_are_reported(spark, root):
-    rows, nbytes = snapshots.write_version(spark.range(1000), root, NAME, 0)
+    rows, nbytes, _ = snapshots.write_version(spark.range(1000), root, NAME, 0)
     assert rows == 1000
     assert nbytes == paths.size(spark, [paths.version_dir(root, NAME, 0)]) > 0
 
@@ -48,8 +48,19 @@ def test_partitioned_table_keeps_its_columns(spark, root):
 def test_register_replaces_the_view(spark, root):
     for n in (3, 5):
         version = snapshots.publish(spark.range(n), root, "lake.probe.t")
-        assert snapshots.register(spark, root, "lake.probe.t", version) == "probe.t"
-        assert spark.table("probe.t").count() == n
+        assert snapshots.register(spark, root, "lake.probe.t", version) == "lake__probe.t"
+        assert spark.table("lake__probe.t").count() == n
+
+
+def test_register_keeps_catalogs_apart_and_types(spark, root):
+    for catalog, n in (("one", 2), ("two", 7)):
+        df = spark.range(n).select("id", F.lpad(F.col("id").cast("string"), 3, "0").alias("p"))
+        version = snapshots.publish(df, root, f"{catalog}.sd.t", partition_by=["p"])
+        snapshots.register(spark, root, f"{catalog}.sd.t", version)
+    assert (spark.table("one__sd.t").count(), spark.table("two__sd.t").count()) == (2, 7)
+    assert {r.p for r in spark.table("one__sd.t").collect()} == {"000", "001"}
+    with pytest.raises(ValueError, match="underscores"):
+        snapshots.register(spark, root, "a__b.c.t", 0)
 
 
 def files(path):
@@ -58,70 +69,37 @@ def files(path):
     return {str(p.relative_to(path)) for p in pathlib.Path(path).rglob("*.parquet")}
 
 
-def table(spark, n, changed=()):
-    v = F.when(F.col("id").isin(*changed), -1).otherwise(F.col("id")) if changed else F.col("id")
-    return spark.range(n).select("id", v.alias("v"), F.array("id").alias("_bucket_like"))
-
-
-def clone(spark, src, dst, **kw):
-    return snapshots.clone(spark, src, dst, NAME, changed_only=True, keys=["id"], bucket_count=16, **kw)
-
-
-def same(spark, src, dst):
-    a, b = snapshots.read(spark, src, NAME), snapshots.read(spark, dst, NAME)
-    return a.schema.names == b.schema.names and reconcile.diff(a, b, ["id"], 32).isEmpty()
-
-
-def test_changed_only_copy_equals_full_copy_and_writes_less(spark, root):
-    src, dst = f"{root}/src", f"{root}/dst"
-    snapshots.publish(table(spark, 1000), src, NAME)
-    assert clone(spark, src, dst) == 0
-    assert same(spark, src, dst)
-    snapshots.publish(table(spark, 1000, [5, 6]), src, NAME)
-    assert clone(spark, src, dst) == 1
-    assert same(spark, src, dst)
-    written = {f.split("/")[0] for f in files(f"{dst}/lake/raw/t/v=1")}
-    assert 1 <= len(written) <= 2
-    # the earlier version is still whole
-    assert snapshots.read(spark, dst, NAME, version=0).filter("v = -1").isEmpty()
-    assert snapshots.read(spark, dst, NAME, version=0).count() == 1000
-
-
-def test_changed_only_copy_of_an_unchanged_table_writes_nothing(spark, root):
-    src, dst = f"{root}/src", f"{root}/dst"
-    snapshots.publish(table(spark, 100), src, NAME)
-    clone(spark, src, dst)
-    clone(spark, src, dst)
-    assert files(f"{dst}/lake/raw/t/v=1") == set()
-    assert same(spark, src, dst)
-    sizes = [r["operation_metrics"]["sourceTableSize"] for r in snapshots.commits(spark, dst).collect()]
-    assert sizes[0] == sizes[1]
-
-
-def test_changed_only_copy_of_shrunk_emptied_and_refilled_table(spark, root):
+def test_partition_values_keep_their_type_through_copies(spark, root):
     src, dst = f"{root}/src", f"{root}/dst"
-    for n in (1000, 10, 0, 50):
-        snapshots.publish(table(spark, n), src, NAME)
-        clone(spark, src, dst)
-        assert same(spark, src, dst)
-        assert snapshots.read(spark, dst, NAME).count() == n
+    rows = [(1, "01", 5), (2, "007", None), (3, None, 6)]
+    df = spark.createDataFrame(rows, "id int, p string, q int").select("p", "id", "q")
+    snapshots.publish(df, src, NAME, partition_by=["p"])
+    snapshots.clone(spark, src, dst, NAME)
+    for root_ in (src, dst):
+        got = snapshots.read(spark, root_, NAME)
+        assert got.dtypes == df.dtypes
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((p, i, q) for i, p, q in rows), key=str)
+    assert {f.split("/")[0] for f in files(f"{dst}/lake/raw/t/v=0")} == {
+        "p=01", "p=007", "p=__HIVE_DEFAULT_PARTITION__"}
 
 
-def test_changed_only_copy_after_a_schema_change(spark, root):
-    src, dst = f"{root}/src", f"{root}/dst"
-    snapshots.publish(spark.range(100), src, NAME)
-    clone(spark, src, dst)
-    snapshots.publish(spark.range(100).withColumn("extra", F.lit(None).cast("string")), src, NAME)
-    clone(spark, src, dst)
-    assert same(spark, src, dst)
+def test_empty_text_can_not_be_a_partition(spark, root):
+    df = spark.createDataFrame([(1, "")], "id int, p string")
+    with pytest.raises(ValueError, match="empty text"):
+        snapshots.publish(df, root, NAME, partition_by=["p"])
+    assert snapshots.latest_version(spark, root, NAME) is None
 
 
-def test_changed_only_copy_with_one_key_in_a_third_of_the_rows(spark, root):
+def test_changed_only_clone_copies_what_changed(spark, root):
     src, dst = f"{root}/src", f"{root}/dst"
-    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("id")
-    snapshots.publish(spark.range(3000).select(key, F.col("id").alias("v")), src, NAME)
-    clone(spark, src, dst)
-    assert same(spark, src, dst)
+    clone = lambda: snapshots.clone(spark, src, dst, NAME, changed_only=True)
+    nested = lambda n: spark.range(n).select(F.array("id").alias("only"))
+    snapshots.publish(nested(5), src, NAME)
+    assert (clone(), clone()) == (0, 0)
+    snapshots.publish(nested(4), src, NAME)
+    assert (clone(), clone()) == (1, 1)
+    snapshots.publish(nested(4).withColumn("more", F.lit(1)), src, NAME)
+    assert clone() == 2 and snapshots.read(spark, dst, NAME).columns == ["only", "more"]
 
 
 def test_clone_commit_names_its_source_version(spark, root):
@@ -142,46 +120,31 @@ def test_scratch_uses_the_named_folder(spark):
     assert first != scratch.new_dir(spark, "x")
 
 
-def test_merge_rewrites_only_touched_buckets(spark, root):
+def test_merge_publishes_a_version(spark, root):
     rows = lambda ids, v: spark.createDataFrame([(i, v) for i in ids], "id bigint, v int")
-    merge = lambda df: snapshots.merge(df, root, NAME, ["id"], bucket_count=16)
+    merge = lambda df: snapshots.merge(df, root, NAME, ["id"])
     content = lambda **kw: dict(map(tuple, snapshots.read(spark, root, NAME, **kw).collect()))
     assert merge(rows(range(100), 0)) == 0
     assert merge(rows([3, 200], 1)) == 1
     expected = {**{i: 0 for i in range(100)}, 3: 1, 200: 1}
     assert content() == expected
-    assert len({f.split("/")[0] for f in files(f"{root}/lake/raw/t/v=1")}) <= 2
     assert content(version=0) == {i: 0 for i in range(100)}
     assert merge(rows([], 1)) == 2
     assert content() == expected
 
 
-def test_merge_into_a_table_published_whole(spark, root):
-    snapshots.publish(spark.range(50).withColumn("v", F.lit(0)), root, NAME)
+def test_merge_into_a_published_table_keeps_its_layout(spark, root):
+    snapshots.publish(spark.range(50).withColumn("v", F.lit(0)), root, NAME, partition_by=["v"])
     for v in (1, 2):
         source = spark.range(45, 55).select(F.lit(v).alias("v"), F.col("id").cast("int").alias("id"))
-        snapshots.merge(source, root, NAME, ["id"], bucket_count=4)
-    got = dict(map(tuple, snapshots.read(spark, root, NAME).collect()))
-    assert got == {**{i: 0 for i in range(45)}, **{i: 2 for i in range(45, 55)}}
+        snapshots.merge(source, root, NAME, ["id"])
+    got = snapshots.read(spark, root, NAME)
+    assert dict(map(tuple, got.select("id", "v").collect())) == {
+        **{i: 0 for i in range(45)}, **{i: 2 for i in range(45, 55)}}
+    assert {f.split("/")[0] for f in files(f"{root}/lake/raw/t/v=2")} == {"v=0", "v=2"}
 
 
 def test_merge_of_nothing_into_nothing(spark, root):
     empty = spark.createDataFrame([], "id bigint, v int")
-    snapshots.merge(empty, root, NAME, ["id"], bucket_count=4)
+    snapshots.merge(empty, root, NAME, ["id"])
     assert snapshots.read(spark, root, NAME).count() == 0
-
-
-def test_merged_table_can_be_copied_changed_only(spark, root):
-    src, dst = f"{root}/src", f"{root}/dst"
-    for v in (1, 2):
-        snapshots.merge(spark.range(v * 5, v * 5 + 20).withColumn("v", F.lit(v)), src, NAME, ["id"], bucket_count=4)
-        clone(spark, src, dst)
-        assert same(spark, src, dst)
-
-
-def test_abandoned_bucket_attempt_is_replaced_by_a_whole_copy(spark, root):
-    src, dst = f"{root}/src", f"{root}/dst"
-    snapshots.publish(spark.range(20), src, NAME)
-    snapshots.copy_changed(spark, src, dst, NAME, 0, 0, ["id"], 4)  # never committed
-    snapshots.clone(spark, src, dst, NAME)
-    assert same(spark, src, dst)

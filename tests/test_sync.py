@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lockstep.operators import reconcile
-from lockstep.plans import report, sync
+from lockstep.plans import report, sync, validate
 from lockstep.sources import releases, snapshots, state
 
 T0 = 1_700_000_000_000
@@ -78,7 +78,7 @@ def test_interrupted_load_is_copied_as_of_the_last_finished_run(spark, places):
         at_run_end = snapshots.read(spark, src, name, as_of_ms=T0 + HOUR)
         assert reconcile.diff(at_run_end, df, ["id"], 16).isEmpty()
     assert delivered[A].count() == 100
-    assert spark.table("sales.a").count() == 100
+    assert spark.table("lake__sales.a").count() == 100
 
     row = control(spark, places)["sales"]
     assert (row["last_successful_run_time"], row["sync_status"], row["sync_reason"]) == (
@@ -93,7 +93,7 @@ def test_interrupted_load_is_copied_as_of_the_last_finished_run(spark, places):
     assert send(spark, places, [T0 + HOUR, T0 + 4 * HOUR], T0 + 4 * HOUR)["sales"] == ("workflow_time", "Success")
     receive(spark, places, register=True)
     assert releases.read_group(spark, dst, "w", "sales")[A].count() == 120
-    assert spark.table("sales.a").count() == 120
+    assert spark.table("lake__sales.a").count() == 120
 
 
 def test_failure_between_tables_leaves_the_previous_release(spark, places, monkeypatch):
@@ -148,11 +148,19 @@ def test_groups_sharing_a_table_get_their_own_version(spark, root):
     assert releases.read_group(spark, dst, "w", "scheduled_sync")[A].count() == 20
 
 
-def test_changed_only_send(spark, places):
-    send(spark, places, [T0 + HOUR], T0 + HOUR, changed_only=True)
-    send(spark, places, [T0 + 3 * HOUR], T0 + 3 * HOUR, changed_only=True)
-    receive(spark, places)
-    assert releases.read_group(spark, places[2], "w", "sales")[A].count() == 120
+def test_broken_config_stops_before_any_copy(spark, places):
+    groups = spark.createDataFrame([("w", "g", "", []), ("w", "g", "load", ["a.b.c"])],
+                                   "workspace_name string, group_name string, workflow string, tables array<string>")
+    with pytest.raises(validate.ConfigError):
+        sync.send(spark, full_spaces(spark), runs(spark, T0 + HOUR), places[0], places[1],
+                  now_ms=T0 + HOUR, declared=groups)
+    assert releases.load(spark, places[1]).isEmpty()
+
+
+def full_spaces(spark):
+    fields = [*validate.REQUIRED, "sync_max_retries"]
+    names = list(dict.fromkeys(["workspace_name", *fields]))
+    return spark.createDataFrame([tuple("w" for _ in names)], ", ".join(f"{n} string" for n in names))
 
 
 def test_run_log_keeps_skipped_groups(spark, places):
@@ -215,9 +223,24 @@ def test_sender_and_receiver_record_side_by_side(spark, root):
     seen = lambda: tuple(state.load(spark, root).select(
         "sync_status", "sync_time_to_region", "sync_time_in_region").first())
     assert seen() == ("Success", 6, 5)
-    before = snapshots.latest_version(spark, root, state.STATE_TABLE)
-    state.compact(spark, root, limit=3)
-    assert snapshots.latest_version(spark, root, state.STATE_TABLE) == before
-    state.compact(spark, root, limit=2)
-    assert snapshots.latest_version(spark, root, state.STATE_TABLE) == before + 1
-    assert seen() == ("Success", 6, 5)
+
+
+def test_receivers_record_outlives_a_publish_of_what_was_read_before(spark, root):
+    declare(spark, root, ("g", "1", [A]))
+    before = state.load(spark, root)
+    row = spark.createDataFrame([("w", "g", 5)], "workspace_name string, group_name string, sync_time_in_region bigint")
+    state.record(row, root, "receiver")
+    state.save(before, root)
+    assert state.load(spark, root).first()["sync_time_in_region"] == 5
+    declare(spark, root, ("g", "2", [A, B]))  # another declaration starts anew
+    assert state.load(spark, root).first()["sync_time_in_region"] is None
+
+
+def test_errors_are_kept_whole(spark, places, monkeypatch):
+    def failing(*_):
+        raise OSError("x" * 5000)
+
+    monkeypatch.setattr(snapshots, "copy", failing)
+    out = sync.send(spark, spaces(spark, "1"), runs(spark, T0 + HOUR), places[0], places[1],
+                    now_ms=T0 + HOUR, sleep=lambda s: None)
+    assert {len(r["error"]) for r in out.collect()} == {5000 + len("OSError: ")}

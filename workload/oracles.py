@@ -139,7 +139,7 @@ def _generated() -> str:
     return f"select o_orderkey as id, concat({letters}) as name, {value} % 100 + 1 as value from orders"
 
 
-_ORDERS = "o_orderkey, o_custkey, o_orderstatus"
+_ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_orderpriority"
 
 _ALTERED = """altered as (
   select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount,
@@ -336,22 +336,32 @@ def all_oracles() -> dict[str, str]:
             select * from s union all
             select * from t where o_orderkey not in (select o_orderkey from s)""",
         "q_merge_counter": f"""with s as (
-              select {_ORDERS}, o_totalprice * 2 as o_totalprice from orders where o_orderdate >= '1997-01-01'),
-            top as (select coalesce(max(o_orderkey), 0) as m from orders where o_orderdate < '1999-01-01')
+              select {_ORDERS}, o_totalprice from orders),
+            top as (select coalesce(max(o_orderkey), 0) as m from orders)
             select s.*, m + row_number() over (order by o_totalprice, o_orderkey) as merge_counter
             from s, top""",
-        "q_silver_filter": "select event_id, user_id, event_type, value from events where value > 50",
+        "q_silver_filter": "select * replace (cast(ts as varchar) as ts) from events where value > 50",
         "q_gold_count": "select l_partkey, count(*) as count from lineitem group by l_partkey",
         "q_generate_raw": _generated(),
         "q_medallion_tables": f"""select name, count(*) as count from ({_generated()})
             where value > 50 group by name""",
-        "q_clone_roundtrip": f"""select {_ORDERS}, o_totalprice from orders
-            where o_orderdate < '1998-01-01'""",
+        "q_clone_roundtrip": f"""select {_ORDERS}, o_totalprice,
+            cast(o_orderdate as varchar) as o_orderdate from orders where o_orderdate < '1998-01-01'""",
+        "q_clone_partitioned": """select * replace (cast(l_shipdate as varchar) as l_shipdate),
+            lpad(cast(l_linenumber as varchar), 3, '0') as part from lineitem""",
+        "q_register": """select 'one.sales.t' as table_name, o_orderkey as id from orders
+            union all select 'two.sales.t', c_custkey from customer""",
+        "q_stream_two_sources": """select 'orders' as source, o_orderkey as id from orders
+            union all select 'customer', c_custkey from customer""",
+        "q_stream_new_checkpoint": """select source, cast(sum(length(text) + 1) as bigint) as chars
+            from documents group by source""",
         "q_reconcile": f"""with {_ALTERED}
             select l_orderkey, l_linenumber, cast(sum(s) as bigint) as src_rows,
                    cast(sum(d) as bigint) as dst_rows
             from bodies group by l_orderkey, l_linenumber having bool_or(s <> d)""",
-        "q_reconcile_buckets": "select 0::bigint as differing, cast(null as bigint) as src_rows",
+        "q_reconcile_buckets": f"""with {_ALTERED}
+            select 0 as bucket, cast(sum(s) as bigint) as src_rows, cast(sum(d) as bigint) as dst_rows
+            from marked""",
         "q_changed_only_clone": f"""select {_ORDERS},
             case when o_custkey = 11 then 0.0 else o_totalprice end as o_totalprice from orders""",
         "q_group_sync": """select 'lake.sales.orders' as table_name, count(*) as row_count,

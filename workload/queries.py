@@ -279,10 +279,15 @@ def q_sync_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
     return fx.table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate"
     )
 
 
+def _text(df: DataFrame, *times: str) -> DataFrame:
+    """Zone-less times as text, which every engine prints alike."""
+    return df.withColumns({c: F.col(c).cast("string") for c in times})
+
+
 def _upsert_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Orders up to 1998 as the table, repriced orders from 1997 on as the batch."""
     orders = _orders(spark, sf)
@@ -297,13 +302,13 @@ def q_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_merge_counter(spark: SparkSession, sf: str) -> DataFrame:
-    target, source = _upsert_sides(spark, sf)
-    start = merge.next_counter(target, "o_orderkey")
-    return merge.assign_counter(source, ["o_totalprice", "o_orderkey"], start, "merge_counter")
+    orders = _orders(spark, sf).drop("o_orderdate")
+    start = merge.next_counter(orders, "o_orderkey")
+    return merge.assign_counter(orders, ["o_totalprice", "o_orderkey"], start, "merge_counter")
 
 
 def q_silver_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return medallion.to_silver(fx.table(spark, sf, "events").drop("ts", "props"), "value", 50)
+    return _text(medallion.to_silver(fx.table(spark, sf, "events"), "value", 50), "ts")
 
 
 def q_gold_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,7 +340,30 @@ def q_clone_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     version = snapshots.resolve(spark, roots[0], name, as_of_ms=fx.NOW_MS - 1)
     snapshots.clone(spark, roots[0], roots[1], name, version)
     snapshots.clone(spark, roots[1], roots[2], name)
-    return snapshots.read(spark, roots[2], name).drop("o_orderdate")
+    return _text(snapshots.read(spark, roots[2], name), "o_orderdate")
+
+
+def q_clone_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Stage and deliver a table partitioned by texts that look like numbers."""
+    roots = [scratch.new_dir(spark, f"parts-{i}") for i in range(3)]
+    lines = fx.table(spark, sf, "lineitem").withColumn("part", F.lpad(F.col("l_linenumber").cast("string"), 3, "0"))
+    name = "lake.sales.lines"
+    snapshots.publish(lines, roots[0], name, partition_by=["part"])
+    snapshots.clone(spark, roots[0], roots[1], name)
+    snapshots.clone(spark, roots[1], roots[2], name)
+    return _text(snapshots.read(spark, roots[2], name), "l_shipdate")
+
+
+def q_register(spark: SparkSession, sf: str) -> DataFrame:
+    """Views of two catalogs that hold a table of one name, read back."""
+    root = scratch.new_dir(spark, "views")
+    parts = []
+    for catalog, table, key in (("one", "orders", "o_orderkey"), ("two", "customer", "c_custkey")):
+        name = f"{catalog}.sales.t"
+        version = snapshots.publish(fx.table(spark, sf, table).select(F.col(key).alias("id")), root, name)
+        view = spark.table(snapshots.register(spark, root, name, version))
+        parts.append(view.select(F.lit(name).alias("table_name"), "id"))
+    return parts[0].unionByName(parts[1])
 
 
 def _altered(lineitem: DataFrame) -> DataFrame:
@@ -354,21 +382,22 @@ def q_reconcile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_reconcile_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows on both sides over all differing buckets: equal copies have none."""
+    """Rows on both sides of an altered copy, all keys in one bucket."""
     lineitem = fx.table(spark, sf, "lineitem")
-    same = reconcile.diff(lineitem, lineitem.repartition("l_suppkey"), ["l_orderkey"])
-    return same.agg(F.count(F.lit(1)).alias("differing"), F.sum("src_rows").alias("src_rows"))
+    return reconcile.diff(lineitem, _altered(lineitem), ["l_orderkey"], 1)
 
 
 def q_changed_only_clone(spark: SparkSession, sf: str) -> DataFrame:
-    """Copy, change a few rows at the source, copy only what changed, read the copy."""
+    """Copy, find nothing to copy, change a few rows at the source, copy again, read the copy."""
     src, dst = scratch.new_dir(spark, "src"), scratch.new_dir(spark, "dst")
     orders, name = _orders(spark, sf).drop("o_orderdate"), "lake.sales.orders"
     snapshots.publish(orders, src, name)
-    snapshots.clone(spark, src, dst, name, changed_only=True, keys=["o_orderkey"], bucket_count=64)
+    for _ in range(2):
+        if snapshots.clone(spark, src, dst, name, changed_only=True) != 0:
+            raise AssertionError("an unchanged table was copied")
     priced = F.when(F.col("o_custkey") == 11, 0.0).otherwise(F.col("o_totalprice"))
     snapshots.publish(orders.withColumn("o_totalprice", priced), src, name)
-    snapshots.clone(spark, src, dst, name, changed_only=True, keys=["o_orderkey"], bucket_count=64)
+    snapshots.clone(spark, src, dst, name, changed_only=True)
     return snapshots.read(spark, dst, name)
 
 
@@ -508,9 +537,36 @@ def q_upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
         )
         totals.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(schema).parquet(landing)
-        upsert.upsert_stream(stream, root, name, ["o_custkey"], progress, bucket_count=32)
+        upsert.upsert_stream(stream, root, name, ["o_custkey"], progress)
+    return snapshots.read(spark, root, name)
+
+
+def q_stream_two_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams with checkpoints of their own into one table: both arrive."""
+    root, name = scratch.new_dir(spark, "two"), "lake.main.keys"
+    schema = "source string, id bigint"
+    for table, key in (("orders", "o_orderkey"), ("customer", "c_custkey")):
+        landing = scratch.new_dir(spark, table)
+        fx.table(spark, sf, table).select(F.lit(table).alias("source"), F.col(key).alias("id")).write.parquet(landing)
+        stream = spark.readStream.schema(schema).parquet(landing)
+        upsert.upsert_stream(stream, root, name, ["source", "id"], scratch.new_dir(spark, "progress"))
     return snapshots.read(spark, root, name)
 
 
+def q_stream_new_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    """Landed files, a lost checkpoint, and files that landed since: all are in gold once."""
+    root, landing = scratch.new_dir(spark, "late"), scratch.new_dir(spark, "landing")
+    names = {"bronze": "lake.raw.bronze", "silver": "lake.stage.silver", "gold": "lake.main.gold"}
+    documents = fx.table(spark, sf, "documents").select("source", "text")
+    for late in (False, True):
+        part = documents.where((F.col("source") >= "src5") == late)
+        part.write.mode("append").partitionBy("source").text(landing)
+        stream = ingest.landed(spark, landing, "ws")
+        ingest.run_files_stream(stream, root, names, scratch.new_dir(spark, "progress"))
+    gold = snapshots.read(spark, root, names["gold"])
+    source = F.regexp_extract("file_name", "source=([^/]+)/", 1)
+    return gold.groupBy(source.alias("source")).agg(F.sum(F.length("parsed_data")).alias("chars"))
+
+
 def all_queries():
     return {name: fn for name, fn in globals().items() if name.startswith("q_")}
