@@ -4,13 +4,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lockstep import scratch
 from lockstep.functions.times import at_millis, cutoff_like, micros
 from lockstep.model import GROUP_KEY
 from lockstep.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, list_size, sliced_join
 
-# Above this many cutoffs of one table an as-of join works by time bins of this width.
+# Above this many cutoffs of one table an as-of join sorts commits and cutoffs together.
 MAX_CUTOFFS = 16
-BIN_MS = 10 * 60 * 1000
 
 # Fixed value: one more than the widest 64-bit version, as a decimal.
 _SHIFT = "cast(10000000000000000000 as decimal(20,0))"
@@ -51,8 +51,12 @@ def has_new_commits(groups: DataFrame, commits: DataFrame) -> DataFrame:
     """Per group: does any of its tables have a commit strictly after ``last_ms``?
 
     The log is reduced to one row per table before it meets the groups, so a table
-    with most of the commits costs no more than any other.
+    with most of the commits costs no more than any other. Commits no newer than the least
+    ``last_ms`` are left at the scan; a group without one has nothing new by definition.
     """
+    least = groups.agg(F.min("last_ms")).first()[0]
+    if least is not None:
+        commits = commits.filter(F.col("ts") > cutoff_like(commits, "ts", least))
     members = groups.select(
         *GROUP_KEY, "last_ms", F.explode_outer("tables").alias("table_name")
     )
@@ -100,10 +104,10 @@ def as_of(
     where the history has nothing that early. Equal commit times resolve to the
     greatest version.
 
-    The distinct (table, cutoff) pairs are measured first. With few cutoffs per table
-    they are broadcast while they are small, so that the log is aggregated where it
-    lies; a longer list is joined by table, hot tables being spread over slices. Should
-    a table have many cutoffs, see ``_as_of_binned``.
+    The distinct (table, cutoff) pairs are evaluated once, checkpointed and measured. With few
+    cutoffs per table they are broadcast while they are small, so that the log is aggregated
+    where it lies; a longer list is joined by table, hot tables being spread over slices. Should
+    a table have many cutoffs, see ``_as_of_sorted``.
     """
     extras = extras or {}
     if operation is not None:
@@ -115,11 +119,12 @@ def as_of(
         _rank("ts", "version").alias("_rank"),
         *[c.alias(name) for name, c in extras.items()],
     )
-    asked = targets.select("table_name", F.col(cutoff_col).alias("_cutoff")).distinct()
+    scratch.checkpoint_root(targets.sparkSession)
+    asked = targets.select("table_name", F.col(cutoff_col).alias("_cutoff")).distinct().checkpoint()
     best = [F.max("_rank").alias("_rank"), *[F.max_by(n, "_rank").alias(n) for n in extras]]
     rows, nbytes, most = list_size(asked, "table_name")
     if most > MAX_CUTOFFS:
-        found = _as_of_binned(asked, log, best, list(extras), slice_rows)
+        found = _as_of_sorted(asked, log, list(extras))
     elif rows <= broadcast_rows and nbytes <= BROADCAST_BYTES:
         found = _best_until(log.join(F.broadcast(asked), "table_name"), best)
     else:
@@ -144,34 +149,47 @@ def _best_until(pairs: DataFrame, best: list[Column]) -> DataFrame:
     )
 
 
-def _as_of_binned(
-    asked: DataFrame, log: DataFrame, best: list[Column], extras: list[str], slice_rows: int
-) -> DataFrame:
+def _as_of_sorted(asked: DataFrame, log: DataFrame, extras: list[str]) -> DataFrame:
     """As-of with many cutoffs per table: work grows with their number plus the commits'.
 
-    Time is cut into bins. Each table's commits are reduced to the best one per bin
-    before they are shuffled, and a running maximum over a table's bins answers what
-    lies before a cutoff's bin. Only commits in the very bin of a cutoff are compared
-    with it, hot bins being spread over slices.
+    Commits and cutoffs are sorted by table and time into ranges, so that a table with most of
+    them is cut into many. A running maximum inside each range answers what lies in it; what the
+    table's earlier ranges hold, one row each, is carried over.
     """
-    log = log.withColumn("_bin", F.floor(micros(F.col("ts")) / (BIN_MS * 1000)))
-    asked = asked.withColumn("_bin", F.floor(F.col("_cutoff") / BIN_MS))
-    inside = _best_until(
-        sliced_join(asked, log, ["table_name", "_bin"], ["version"], slice_rows), best
+    at = ["table_name", "_at", "_kind"]
+    tables = asked.select("table_name").distinct()
+    commits = log.join(tables, "table_name", "left_semi").select(
+        "table_name", micros(F.col("ts")).alias("_at"), F.lit(0).alias("_kind"), "_rank", *extras
     )
-    per_bin = log.groupBy("table_name", "_bin").agg(*best)
-    steps = per_bin.join(asked.select("table_name").distinct(), "table_name", "left_semi")
-    steps = steps.unionByName(asked, allowMissingColumns=True)
-    # per table: one row per bin and cutoff
-    earlier = (
-        Window.partitionBy("table_name")
-        .orderBy("_bin")
-        .rangeBetween(Window.unboundedPreceding, -1)
+    cutoffs = asked.filter("_cutoff is not null").select(
+        "table_name", (F.col("_cutoff") * 1000).alias("_at"), F.lit(1).alias("_kind"), "_cutoff"
+    )
+    events = (
+        commits.unionByName(cutoffs, allowMissingColumns=True)
+        .repartitionByRange(*at, "_rank")
+        .withColumn("_part", F.spark_partition_id())
+        .checkpoint()
+    )
+
+    def best(over=None) -> list[Column]:
+        columns = {"_rank": F.max("_rank"), **{n: F.max_by(n, "_rank") for n in extras}}
+        return [(c.over(over) if over else c).alias(f"_b_{n}") for n, c in columns.items()]
+
+    inside = Window.partitionBy("_part", "table_name").orderBy("_at", "_kind")
+    seen = events.select("_part", "table_name", "_kind", "_cutoff", *best(inside)).filter("_kind = 1")
+    parts = events.filter("_kind = 0").groupBy("_part", "table_name").agg(
+        F.max("_rank").alias("_rank"), *[F.max_by(n, "_rank").alias(n) for n in extras]
+    )
+    # One row per range of a table, and one that asks for it where only cutoffs fell into the range.
+    parts = events.select("_part", "table_name").distinct().join(parts, ["_part", "table_name"], "left")
+    earlier = Window.partitionBy("table_name").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("_part", "table_name", F.struct(*best(earlier)).alias("_carried"))
+    names = ["_rank", *extras]
+    chosen = F.when(F.col("_b__rank").isNotNull(), F.struct(*[F.col(f"_b_{n}") for n in names]))
+    chosen = F.coalesce(chosen, F.col("_carried"))
+    return (
+        seen.join(carried, ["_part", "table_name"])
+        .select("table_name", "_cutoff", chosen.alias("_c"))
+        .filter("_c._b__rank is not null")
+        .select("table_name", "_cutoff", *[F.col(f"_c._b_{n}").alias(n) for n in names])
     )
-    before = steps.select(
-        "table_name",
-        "_cutoff",
-        F.max("_rank").over(earlier).alias("_rank"),
-        *[F.max_by(n, "_rank").over(earlier).alias(n) for n in extras],
-    ).filter(F.col("_cutoff").isNotNull() & F.col("_rank").isNotNull())
-    return before.unionByName(inside).groupBy("table_name", "_cutoff").agg(*best)

@@ -5,14 +5,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lockstep import scratch
+
 # A list is broadcast while its checked size stays below both bounds.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 
-# A key is split when it holds more than 1/HOT_SHARE of all rows, so at most
-# HOT_SHARE keys can be hot: that bounds the broadcast below for any data size.
-HOT_SHARE = 256
-MAX_SLICES = 4096
+# The list of hot keys is broadcast while its counted rows stay below this.
+HOT_KEYS = 100_000
 
 
 def width(columns: list[str]) -> Column:
@@ -32,14 +32,13 @@ def list_size(df: DataFrame, key: str) -> tuple[int, int, int]:
 
 def hot_keys(df: DataFrame, keys: list[str], slice_rows: int = 4_000_000) -> DataFrame:
     """Keys too heavy for one task, with the number of slices each should get."""
-    total = df.select(F.count(F.lit(1))).scalar()
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .filter((F.col("_n") > F.lit(slice_rows)) & (F.col("_n") * HOT_SHARE > total))
+        .filter(F.col("_n") > slice_rows)
         .select(
             *keys,
-            F.least(F.ceil(F.col("_n") / slice_rows), F.lit(MAX_SLICES)).cast("int").alias("_slices"),
+            F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"),
         )
     )
 
@@ -57,7 +56,9 @@ def sliced_join(
     ``small`` are repeated once per slice. Other keys take one slice. Every pair
     is produced exactly once, so the result equals the plain join.
     """
-    hot = F.broadcast(hot_keys(big, keys, slice_rows))
+    scratch.checkpoint_root(big.sparkSession)
+    hot = hot_keys(big, keys, slice_rows).checkpoint()
+    hot = F.broadcast(hot) if hot.count() <= HOT_KEYS else hot
     sliced = (
         big.join(hot, keys, "left")
         .withColumn(

@@ -8,7 +8,7 @@ from lockstep.model import GOLD
 from lockstep.operators.generate import sample_rows
 from lockstep.operators.merge import assign_counter, next_counter
 from lockstep.sources import snapshots
-from lockstep.sources.files import has_files, ingest_files
+from lockstep.sources.files import archive, has_files, ingest_files
 
 
 def parse_files(bronze: DataFrame) -> DataFrame:
@@ -46,12 +46,13 @@ def run_files(
     tables: dict[str, str],
     workspace_name: str,
     now_ms: int | None = None,
+    archive_dir: str | None = None,
 ) -> bool:
     """Landed files to bronze, silver and gold in one batch; False when none are waiting.
 
     Each step reads the published table of the one before, so all three agree on the
-    same files even when more arrive meanwhile. To have ingested files archived, feed
-    the same steps from ``streaming.ingest.run_files_stream``.
+    same files even when more arrive meanwhile. With ``archive_dir`` the files of the bronze
+    table move there once gold is published; later ones stay for the next run.
     """
     if not has_files(spark, landing):
         return False
@@ -60,6 +61,8 @@ def run_files(
     bronze = snapshots.read(spark, root, tables["bronze"])
     snapshots.publish(parse_files(bronze), root, tables["silver"], at_ms=now)
     merge_files(spark, root, tables["gold"], snapshots.read(spark, root, tables["silver"]), now)
+    if archive_dir is not None:
+        archive(bronze, landing, archive_dir)
     return True
 
 

@@ -11,23 +11,19 @@ from lockstep.model import GROUP_KEY, NOT_SYNCED, SYNCED
 def build(state: DataFrame, now_ms: int, zone: str = "UTC") -> DataFrame:
     """Per copied table: source and target version and size, lag and sync status.
 
-    Rows come from the source metrics, so a group never copied does not appear. A
-    group's source metrics, target metrics and settings share one control row; the
-    outer match on table name is therefore a lookup inside that row and the report
-    needs no shuffle, however many groups there are.
+    Rows come from the source metrics, so a group never copied does not appear. Source and
+    target metrics are flattened to one row per table and joined on group and table, so the work
+    grows with the tables, however many of them a group has.
     """
     last, now = F.col("last_successful_run_time"), F.lit(now_ms).cast("bigint")
-    rows = (
-        state.filter(F.col("source_operation_metrics").isNotNull())
-        .withColumn("_targets", entries(F.col("target_operation_metrics")))
-        .withColumn("_source", F.explode(entries(F.col("source_operation_metrics"))))
-        .withColumn(
-            "_target",
-            F.try_element_at(
-                F.filter("_targets", lambda t: t["key"] == F.col("_source.key")), F.lit(1)
-            ),
-        )
+    sent = state.filter(F.col("source_operation_metrics").isNotNull())
+    targets = (
+        sent.select(*GROUP_KEY, F.explode(entries(F.col("target_operation_metrics"))).alias("_target"))
+        .withColumn("_table", F.col("_target.key"))
+        .dropDuplicates([*GROUP_KEY, "_table"])
     )
+    rows = sent.withColumn("_source", F.explode(entries(F.col("source_operation_metrics"))))
+    rows = rows.withColumn("_table", F.col("_source.key")).join(targets, [*GROUP_KEY, "_table"], "left")
     source_version = metric(F.col("_source"), "sync_commit_version")
     target_version = metric(F.col("_target"), "sync_commit_version")
     source_size = metric(F.col("_source"), "source_table_size")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lockstep import scratch
 from lockstep.model import CONFIG
 
 
@@ -22,8 +23,12 @@ def parse(texts: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
 
 def flatten(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Unnest workspaces, then groups; a workspace without groups keeps its row."""
-    nested = documents.select("secret_scope", F.inline("workspaces"))
+    """Unnest workspaces, then groups; a workspace without groups keeps its row.
+
+    The documents are read and parsed once, into the checkpoint folder, for both results.
+    """
+    scratch.checkpoint_root(documents.sparkSession)
+    nested = documents.select("secret_scope", F.inline("workspaces")).checkpoint()
     workspaces = nested.drop("sync_groups")
     groups = nested.select("workspace_name", F.inline("sync_groups"))
     return workspaces, groups

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.sources.paths import any_file
+from lockstep.sources.paths import any_file, move
 
 # Columns of the built-in binaryFile source.
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -29,3 +29,12 @@ def ingest_files(spark: SparkSession, directory: str, workspace_name: str) -> Da
     """Every landed file as one row with its content and file metadata."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
     return with_file_columns(files, workspace_name)
+
+
+def archive(files: DataFrame, landing: str, archive_dir: str) -> int:
+    """Move ingested files (column file_name) to the archive, below the folders they had in the
+    landing zone; returns how many. Only their names pass through the driver, one at a time."""
+    moved = 0
+    for row in files.select("file_name").toLocalIterator():
+        moved += move(files.sparkSession, row["file_name"], landing, archive_dir)
+    return moved

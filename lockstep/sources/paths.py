@@ -44,3 +44,16 @@ def size(spark: SparkSession, paths: list[str]) -> int:
         .select("length")
     )
     return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def move(spark: SparkSession, file: str, below: str, to: str) -> int:
+    """Move a file from below one folder to the same place below another; 1 if it was there."""
+    fs, source = _locate(spark, file)
+    root = fs.makeQualified(_locate(spark, below)[1]).toUri().getPath()
+    target = _locate(spark, f"{to}/{source.toUri().getPath()[len(root):].lstrip('/')}")[1]
+    if not fs.exists(source):
+        return 0
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {file} to {target}")
+    return 1

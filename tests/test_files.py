@@ -109,6 +109,18 @@ def test_file_stream_to_gold_and_replay(spark, root):
         "a.txt": "one", "b.txt": "two", "c.txt": "three", "d.txt": "four"}
 
 
+def test_batch_archives_what_it_ingested(spark, root):
+    landing, archive = f"{root}/landing", f"{root}/archive"
+    land(landing, "a.txt", "one")
+    run = lambda: medallion.run_files(spark, landing, f"{root}/t", NAMES, "w", 1000, archive)
+    assert run() is True
+    assert os.listdir(archive) and not os.path.exists(f"{landing}/a.txt")
+    assert run() is False
+    land(landing, "b.txt", "two")
+    assert run() is True
+    assert {n: r["parsed_data"] for n, r in gold(spark, f"{root}/t").items()} == {"a.txt": "one", "b.txt": "two"}
+
+
 def test_a_replayed_batch_is_skipped(spark, root):
     mark = {"stream": "id", "batchId": "3"}
     rows = spark.createDataFrame([(1, "a")], "k int, v string")

@@ -187,9 +187,9 @@ def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def declared_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Control rows of the customers whose balance is below 6000."""
-    c = table(spark, sf_dir, "customer").filter("c_acctbal < 6000")
+def declared_state(spark: SparkSession, sf_dir: str, where: str = "c_acctbal < 6000") -> DataFrame:
+    """Control rows of customers; by default some declared ones have none."""
+    c = table(spark, sf_dir, "customer").filter(where)
     ms = F.lit(NOW_MS) - F.col("c_custkey") * 1000
     return c.select(
         F.concat(F.lit("ws"), F.col("c_nationkey").cast("string")).alias("workspace_name"),

@@ -113,8 +113,7 @@ new as (
          case when c_nationkey = 7 then 'lake.crm.all' else concat('lake.crm.c', c_custkey) end as tables
   from customer where c_acctbal > 0),
 listed as (
-  select distinct concat('lake.crm.c', o_custkey) as table_name from orders
-  where o_orderstatus = 'F' and o_totalprice > 250000)"""
+  select distinct concat('lake.crm.c', o_custkey) as table_name from orders)"""
 
 _MEASURED = f"""source as (select s.*, 1000 + s.version % 3 as size from (
   {_latest("members", "last_ms")}) s where s.version is not null),
@@ -182,6 +181,11 @@ def all_oracles() -> dict[str, str]:
             select {_ROW}, cast(position as bigint) as position, 'lake' as catalog, 'raw' as schema,
                    concat('u', gid * 3 + position) as "table",
                    concat('stage/lake/raw/u', gid * 3 + position) as path from members""",
+        "q_version_as_of_many": f"""with {_COMMITS}
+            select a.table_name, a.ts_us // 1000 + 21600000 as cutoff_ms, max(b.version) as version
+            from commits a join commits b
+              on a.table_name = b.table_name and b.ts_us <= (a.ts_us // 1000 + 21600000) * 1000
+            group by a.table_name, a.ts_us, a.version""",
         "q_new_commits_by_group": f"""with {_COMMITS}, {_STATE}
             select m.workspace_name, m.group_name, coalesce(bool_or(c.ts_us > m.last_ms * 1000), false) as has_new
             from members m left join commits c on c.table_name = m.table_name
@@ -299,7 +303,7 @@ def all_oracles() -> dict[str, str]:
                    cast(null as varchar) as source_operation_metrics,
                    cast(null as varchar) as target_operation_metrics
             from judged""",
-        "q_state_patch": f"""with {_DECLARED}
+        "q_state_patch": f"""with {_DECLARED.replace("where c_acctbal < 6000", "")}
             select o.workspace_name, o.group_name, o.workflow_name, o.workflow_id, o.tables, o.validated,
                    o.last_ms as last_successful_run_time,
                    case when c.c_acctbal > 2000 then 'In Progress' else 'Success' end as sync_status,

@@ -38,6 +38,14 @@ def q_version_as_of_targets(spark: SparkSession, sf: str) -> DataFrame:
     return history.as_of(_members(spark, sf), fx.commits(spark, sf)).drop("position")
 
 
+def q_version_as_of_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The version of its table six hours after every commit: many cutoffs per table."""
+    log = fx.commits(spark, sf)
+    cutoff = F.unix_millis(F.col("ts").cast("timestamp")) + 6 * 3600 * 1000
+    asked = log.select("table_name", cutoff.alias("cutoff_ms"))
+    return history.as_of(asked, log).select("table_name", "cutoff_ms", "version")
+
+
 def q_clone_version_as_of(spark: SparkSession, sf: str) -> DataFrame:
     extras = {"source_version": F.col("operation_parameters")["sourceVersion"].try_cast("bigint")}
     found = history.as_of(
@@ -112,7 +120,9 @@ def q_delivery_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_config_load(spark: SparkSession, sf: str) -> DataFrame:
-    workspaces, groups = config.parse(fx.config_documents(spark, sf), "document")
+    path = scratch.new_dir(spark, "config")
+    fx.config_documents(spark, sf).write.text(path)
+    workspaces, groups = config.load(spark, path, multi_line=False)
     per_space = workspaces.groupBy("workspace_name").agg(
         F.count(F.lit(1)).alias("documents"),
         F.max("sync_interval_mins").cast("bigint").alias("sync_interval_mins"),
@@ -167,8 +177,7 @@ def q_config_changed(spark: SparkSession, sf: str) -> DataFrame:
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     """Listed tables: one per customer with an order."""
-    orders = fx.table(spark, sf, "orders").filter("o_orderstatus = 'F' and o_totalprice > 250000")
-    return orders.select(
+    return fx.table(spark, sf, "orders").select(
         F.concat(F.lit("lake.crm.c"), F.col("o_custkey").cast("string")).alias("table_name")
     ).distinct()
 
@@ -212,7 +221,7 @@ def q_state_patch(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_acctbal") > 2000, "In Progress").alias("sync_status"),
         F.when(F.col("c_acctbal") > 4000, F.lit(fx.NOW_MS)).alias("sync_time_to_region"),
     )
-    patched = state.patch(fx.declared_state(spark, sf), patches)
+    patched = state.patch(fx.declared_state(spark, sf, "true"), patches)
     return patched.withColumn("tables", _joined())
 
 
@@ -517,7 +526,10 @@ def q_ingest_stream(spark: SparkSession, sf: str) -> DataFrame:
 def q_medallion_files(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch.new_dir(spark, "files")
     names = {"bronze": "lake.raw.bronze", "silver": "lake.stage.silver", "gold": "lake.main.gold"}
-    medallion.run_files(spark, _landing(spark, sf), root, names, "ws", fx.NOW_MS)
+    landing, archive = _landing(spark, sf), scratch.new_dir(spark, "archive")
+    medallion.run_files(spark, landing, root, names, "ws", fx.NOW_MS, archive)
+    if medallion.run_files(spark, f"{landing}/source=src0", root, names, "ws", fx.NOW_MS):
+        raise AssertionError("archived files were ingested again")
     gold = snapshots.read(spark, root, names["gold"])
     source = F.regexp_extract("file_name", "source=([^/]+)/", 1)
     return gold.groupBy(source.alias("source"), F.unix_millis("merge_time").alias("merge_ms")).agg(
