@@ -7,10 +7,12 @@ with a probability equal to their probability Jaccard similarity. A shingle's pr
 comes after the last of all registers. Registers are banded; texts that share a band are
 candidates; candidates are verified by the Jaccard similarity of their shingle sets.
 
-Texts with equal words are folded first. In a band, members are compared with a few hubs a round,
-members that are already linked are not compared again, and rounds go on until every two members
-are linked or compared. So a large group costs about a comparison per member,
-and no link is lost to a limit.
+Texts with equal words are folded first. Candidates that bands connect form components, and a component is
+verified in one task: starting from any text, those it is similar to are taken, then those similar to
+these, each compared only with texts that share a band and are not taken yet. So a large group costs about a
+comparison per text. A component too large for a task is verified in rounds of joins instead:
+members of a band are compared with a few hubs a round, those already linked are not compared
+again, and rounds go on until every two members are linked or compared. No link is lost to a limit.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lockstep.llm import sketch
-from lockstep.llm.common import settle, small, table
+from lockstep.llm.common import partitions, settle, small, table
 from lockstep.llm.rolling import Roll, changes, mixed, slices, words
 
 WORDS, SIMILARITY = 5, 0.8
@@ -33,6 +35,9 @@ REGISTERS = BANDS * ROWS
 # One bit per register: similar texts agree in 90 % of them at least, 86 of 96; 26 differences are 5.6
 # standard deviations off.
 MOST_DIFFERENT_BITS = 26
+# Shingles of a component, 4 bytes each, that one task verifies.
+COMPONENT = 16_000_000
+NO_ID = 2**63 - 1
 # Ids that go are broadcast up to this many.
 GONE_ROWS = 1_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -46,8 +51,11 @@ def _rolls() -> tuple[Roll, Roll, Roll]:
 # --- a batch ---------------------------------------------------------------------------
 
 
-def _digests(data, bounds):
-    """Shingles with the text each belongs to, a 16-byte name of each text's words, word counts."""
+def _digests(data, bounds, named: bool = False):
+    """Shingles with the text each belongs to, a 16-byte name of each text's words, word counts.
+
+    With named the shingles are left out.
+    """
     a, b, c = _rolls()
     starts, ends, first = words(data, bounds)
     one = a.spans(a.of_bytes(data), starts, ends)
@@ -56,6 +64,8 @@ def _digests(data, bounds):
     whole = a.prefix(one)
     other = b.prefix(two)
     name = np.stack([a.spans(whole, first[:-1], first[1:]), b.spans(other, first[:-1], first[1:])], 1)
+    if named:
+        return None, None, name, n
     # A text with fewer words than a shingle is one shingle.
     count = np.where(n >= WORDS, n - WORDS + 1, (n > 0).astype(int))
     of = np.repeat(np.arange(len(n)), count)
@@ -113,7 +123,7 @@ def _names(name: np.ndarray) -> pa.Array:
 def _named(batches):
     for batch in batches:
         for lo, hi, data, bounds in slices(batch.column(1)):
-            _, _, name, n = _digests(data, bounds)
+            _, _, name, n = _digests(data, bounds, named=True)
             yield pa.record_batch(
                 [batch.column(0).slice(lo, hi - lo), _names(name), pa.array(n)], ["doc_id", "node", "n_words"]
             )
@@ -156,13 +166,8 @@ def _banded(batches):
 
 def _similar(batches):
     for batch in batches:
-        hit = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-            a, b = (a, b) if len(a) <= len(b) else (b, a)
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            both = int((b[at] == a).sum())
-            hit.append(both >= SIMILARITY * (len(a) + len(b) - both))
+        sets = [[np.frombuffer(x, np.uint32) for x in batch.column(k).to_pylist()] for k in (2, 3)]
+        hit = [_alike(a, b) for a, b in zip(*sets, strict=True)]
         yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
 
@@ -196,40 +201,134 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _payloads(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and shingle set, as sorted 32-bit hashes, of the wanted nodes (column node)."""
+    """node and shingle set, as sorted 32-bit hashes, of the wanted nodes, once or a few times each.
 
-    def low(batch):
+    wanted: node and the least doc_id with its words; a sketch of both picks the rows to read sets from.
+    """
+
+    def picked(batch):
         raw = b"".join(batch.column(0).to_pylist())
-        yield np.repeat(np.frombuffer(raw, np.uint64)[::2], 2)
+        ids = batch.column(1).fill_null(NO_ID).to_numpy()
+        yield np.repeat(_pick(np.frombuffer(raw, np.uint64)[::2], ids), 2)
 
-    n = wanted.count()
-    found = docs.sparkSession.sparkContext.broadcast(sketch.repeated(wanted, low, n))
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    wanted = wanted.select("node", ids)
+    found = docs.sparkSession.sparkContext.broadcast(sketch.repeated(wanted, picked, wanted.count()))
 
     def sets(batches):
-        for shingles, of, _, name in _fresh(batches):
-            pick = found.value.may(name[:, 0])
-            short = (shingles >> np.uint64(32)).astype(np.uint32)
-            new = changes(short, of)
-            short, of = short[new], of[new]
-            ends = np.searchsorted(of, np.arange(len(name) + 1))
-            raw = [short[ends[k] : ends[k + 1]].tobytes() for k in np.flatnonzero(pick)]
-            yield pa.record_batch([_names(name[pick]), pa.array(raw, pa.binary())], ["node", "shingles"])
-
-    return docs.select("text").mapInArrow(sets, "node binary, shingles binary").dropDuplicates(["node"])
-
-
-def _links(docs: DataFrame) -> DataFrame:
-    """node, comp of all texts that are similar to another, directly or through others."""
+        for batch in batches:
+            ids = batch.column(0).fill_null(NO_ID).to_numpy()
+            for lo, hi, data, bounds in slices(batch.column(1)):
+                shingles, of, name, n = _digests(data, bounds)
+                pick = (n > 0) & found.value.may(_pick(name[:, 0], ids[lo:hi]))
+                inside = pick[of]
+                shingles, of, _ = _weighted(shingles[inside], of[inside])
+                short = (shingles >> np.uint64(32)).astype(np.uint32)
+                new = changes(short, of)
+                short, of = short[new], of[new]
+                ends = np.searchsorted(of, np.arange(len(n) + 1))
+                raw = [short[ends[k] : ends[k + 1]].tobytes() for k in np.flatnonzero(pick)]
+                yield pa.record_batch([_names(name[pick]), pa.array(raw, pa.binary())], ["node", "shingles"])
+
+    return docs.select(ids, "text").mapInArrow(sets, "node binary, shingles binary")
+
+
+def _pick(name: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mixed(name ^ mixed(ids.astype(np.int64).view(np.uint64)))
+
+
+def _alike(one: np.ndarray, other: np.ndarray) -> bool:
+    """Are two sorted sets similar enough?"""
+    if len(one) > len(other):
+        one, other = other, one
+    if len(one) < SIMILARITY * len(other):
+        return False
+    both = int((other[np.minimum(np.searchsorted(other, one), len(other) - 1)] == one).sum())
+    return both >= SIMILARITY * (len(one) + len(other) - both)
+
+
+def _linked(bands: list[np.ndarray], bits: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each text of a component the number of the text from which it was reached."""
+    at: dict[int, set[int]] = {}
+    for k, keys in enumerate(bands):
+        for key in keys.tolist():
+            at.setdefault(key, set()).add(k)
+    found = np.full(len(sets), -1)
+    for start in range(len(sets)):
+        if found[start] >= 0:
+            continue
+        found[start], todo = start, [start]
+        while todo:
+            k = todo.pop()
+            near: set[int] = set()
+            for key in bands[k].tolist():
+                at[key].discard(k)
+                near |= at[key]
+            near = np.fromiter(near, np.int64, len(near))
+            near = near[found[near] < 0]
+            near = near[np.bitwise_count(bits[near] ^ bits[k]).sum(1) <= MOST_DIFFERENT_BITS]
+            for j in near.tolist():
+                if _alike(sets[k], sets[j]):
+                    found[j] = start
+                    todo.append(j)
+    return found
+
+
+def _verified(batches):
+    """node and comp of every row, rows of a component being consecutive and in order."""
+    held, of = {}, None
+    for batch in batches:
+        for comp, node, bands, bits1, bits2, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if comp != of:
+                yield from _flushed(held)
+                held, of = {}, comp
+            held[node] = (np.array(bands, np.int64), (bits1, bits2), np.frombuffer(shingles, np.uint32))
+    yield from _flushed(held)
+
+
+def _flushed(held: dict):
+    if held:
+        names = sorted(held)
+        bands, bits, sets = zip(*(held[n] for n in names), strict=True)
+        found = _linked(list(bands), np.array(bits, np.int64), list(sets))
+        comps = [names[k] for k in found.tolist()]
+        yield pa.record_batch([pa.array(names, pa.binary()), pa.array(comps, pa.binary())], ["node", "comp"])
+
+
+def _links(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """node, comp of all texts that share a band with another: comp is one name for all that are
+    similar, directly or through others."""
     spark = docs.sparkSession
     banded = docs.select("text").mapInArrow(_banded, "band long, node binary, bits1 long, bits2 long, size int")
     banded = banded.dropDuplicates(["band", "node"])
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = settle(banded.join(shared, "band", "left_semi"))
-    none = spark.createDataFrame([], "node binary, comp binary")
-    if not members.limit(1).count():
-        return none
-    sets = settle(_payloads(docs, members.select("node").distinct()))
-    comps, tested, expanded, hubs = none, None, None, 1
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
+    members = settle(banded.join(shared.drop("n"), "band"))
+    candidates = components(members.where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    nodes = members.groupBy("node").agg(
+        F.collect_list("band").alias("bands"), F.first("bits1").alias("bits1"), F.first("bits2").alias("bits2"),
+        F.first("size").alias("size"),
+    )
+    nodes = settle(nodes.join(candidates, "node"))
+    least = named.where("n_words > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = _payloads(docs, settle(least.join(nodes.select("node"), "node", "left_semi")))
+    heavy = nodes.groupBy("comp").agg(F.sum("size").alias("n")).where(F.col("n") > COMPONENT).select("comp")
+    heavy = settle(heavy)
+    rows = nodes.join(sets, "node").select("comp", "node", "bands", "bits1", "bits2", "shingles")
+    if not heavy.limit(1).count():
+        rows = rows.repartition(partitions(spark), "comp").sortWithinPartitions("comp")
+        return rows.mapInArrow(_verified, "node binary, comp binary")
+    light = rows.join(heavy, "comp", "left_anti").repartition(partitions(spark), "comp")
+    found = light.sortWithinPartitions("comp").mapInArrow(_verified, "node binary, comp binary")
+    large = settle(nodes.join(heavy, "comp", "left_semi").select("node"))
+    sets = settle(sets.join(large, "node", "left_semi").dropDuplicates(["node"]))
+    return found.union(_links_in_rounds(settle(members.join(large, "node", "left_semi")), sets))
+
+
+def _links_in_rounds(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same for components of any size; members: band, node, bits1, bits2, size; sets: node, shingles."""
+    spark = members.sparkSession
+    comps = spark.createDataFrame([], "node binary, comp binary")
+    tested, expanded, hubs = None, None, 1
     while True:
         # Members that have not been a hub of their band yet, in bands where two are not linked.
         rest = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -294,7 +393,7 @@ def _classified(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     named = settle(rows.mapInArrow(_named, f"doc_id {kind}, node binary, n_words long"))
-    of = named.join(_links(rows), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    of = named.join(_links(rows, named), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     of = settle(of)
     least = of.where("n_words > 0").groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     return of.join(least, "comp", "left").select(
@@ -352,7 +451,7 @@ def _one_each(docs: DataFrame, found: DataFrame) -> DataFrame:
 def _texted(batches):
     for batch in batches:
         for lo, hi, data, bounds in slices(batch.column(1)):
-            name = _digests(data, bounds)[2]
+            name = _digests(data, bounds, named=True)[2]
             yield pa.record_batch(
                 [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), _names(name)],
                 ["__id", "__text", "__node"],

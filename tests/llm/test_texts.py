@@ -49,7 +49,9 @@ def test_classes_of_whole_documents(spark):
     assert got == classes_brute(texts)
 
 
-def test_a_chain_of_edits_is_one_class(spark):
+@pytest.mark.parametrize("component", [near_duplicates.COMPONENT, 1])
+def test_a_chain_of_edits_is_one_class(spark, monkeypatch, component):
+    monkeypatch.setattr(near_duplicates, "COMPONENT", component)
     w = prose(9, 100).split()
     chain = {}
     for k in range(14):  # each is similar to its neighbours, hardly to those further on
