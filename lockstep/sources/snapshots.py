@@ -70,11 +70,12 @@ def write_version(
     table: str,
     version: int,
     partition_by: list[str] | None = None,
-) -> tuple[int, int, str]:
+    sized: bool = True,
+) -> tuple[int, int | None, str]:
     """Write one version and return (rows, bytes, layout).
 
     Rows are counted while they are written; bytes come from the file listing, so
-    neither needs a second pass over the data. An empty text in a partition column, which
+    neither needs a second pass over the data. Without ``sized`` bytes are not looked up. An empty text in a partition column, which
     a folder name can't tell from NULL, is an error and leaves the version uncommitted.
     """
     path, parts = version_dir(root, table, version), partition_by or []
@@ -88,7 +89,7 @@ def write_version(
     if any(seen.get[f"blank_{i}"] for i in range(len(texts))):
         raise ValueError(f"{table} has empty text in a partition column of {texts}")
     layout = json.dumps({"schema": json.loads(df.schema.json()), "partition_by": parts})
-    return seen.get["rows"], size(df.sparkSession, [path]), layout
+    return seen.get["rows"], size(df.sparkSession, [path]) if sized else None, layout
 
 
 def layout_of(spark: SparkSession, root: str, table: str, version: int) -> dict:
@@ -111,12 +112,13 @@ def publish(
     at_ms: int | None = None,
     parameters: dict[str, str] | None = None,
     partition_by: list[str] | None = None,
+    sized: bool = True,
 ) -> int:
     """Replace a table's contents by a new version; older versions stay readable."""
     spark = df.sparkSession
     version = next_version(spark, root, table)
-    rows, nbytes, layout = write_version(df, root, table, version, partition_by)
-    metrics = {"numOutputRows": str(rows), "numOutputBytes": str(nbytes)}
+    rows, nbytes, layout = write_version(df, root, table, version, partition_by, sized)
+    metrics = {"numOutputRows": str(rows)} | ({"numOutputBytes": str(nbytes)} if sized else {})
     at = now_millis() if at_ms is None else at_ms
     parameters = {**(parameters or {}), LAYOUT: layout}
     commit(spark, root, [commit_row(table, version, at, operation, parameters, metrics)])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lockstep.model import GROUP_KEY, LONG, RECEIVED, RUN_STATE, STATE, struct
 from lockstep.operators.merge import require_unique
 from lockstep.sources import snapshots
+from lockstep.sources.paths import version_dir
 
 STATE_TABLE = "sync.meta.state"
 RECEIVED_TABLE = "sync.meta.received"
@@ -33,14 +34,14 @@ def create(spark: SparkSession, root: str, at_ms: int | None = None) -> int:
 
 
 def _sent(spark: SparkSession, root: str) -> DataFrame:
-    return snapshots.read_version(spark, root, STATE_TABLE, create(spark, root))
+    return spark.read.schema(STATE).parquet(version_dir(root, STATE_TABLE, create(spark, root)))
 
 
 def _received(spark: SparkSession, root: str) -> DataFrame:
     version = snapshots.latest_version(spark, root, RECEIVED_TABLE)
     if version is None:
         return spark.createDataFrame([], RECEIVED_ROWS)
-    return snapshots.read_version(spark, root, RECEIVED_TABLE, version)
+    return spark.read.schema(RECEIVED_ROWS).parquet(version_dir(root, RECEIVED_TABLE, version))
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
@@ -52,7 +53,7 @@ def load(spark: SparkSession, root: str) -> DataFrame:
 def save(state: DataFrame, root: str, at_ms: int | None = None) -> int:
     """Publish new declarations and sender's records; what the receiver recorded stays."""
     columns = [F.col(f.name).cast(f.dataType) for f in STATE]
-    return snapshots.publish(state.select(*columns), root, STATE_TABLE, "MERGE", at_ms)
+    return snapshots.publish(state.select(*columns), root, STATE_TABLE, "MERGE", at_ms, sized=False)
 
 
 def record(patches: DataFrame, root: str, writer: str, checked: bool = True) -> None:
@@ -79,7 +80,7 @@ def record(patches: DataFrame, root: str, writer: str, checked: bool = True) ->
     merged = new.alias("new").join(old.alias("old"), both, "left").select(*both, *values)
     rest = old.join(new, GROUP_KEY, "left_anti")
     rows = merged.select(*RECEIVED_ROWS.names).unionByName(rest.select(*RECEIVED_ROWS.names))
-    snapshots.publish(rows, root, RECEIVED_TABLE, "MERGE")
+    snapshots.publish(rows, root, RECEIVED_TABLE, "MERGE", sized=False)
 
 
 def register_view(spark: SparkSession, root: str, view: str = "sync_state") -> None:
