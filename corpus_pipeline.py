@@ -8,7 +8,7 @@ from lockstep.llm import decontamination, language, mixing, near_duplicates, sha
 from lockstep.llm.common import settle, table
 
 # A document whose language is less likely than this is rejected.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

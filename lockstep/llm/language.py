@@ -28,8 +28,8 @@ PER_LANGUAGE, SAMPLE, CALIBRATE_EVERY = 500, 20_000, 5
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 LEAST_TEMPERATURE = 0.5
 UNKNOWN = "und"
-# Texts whose counters are held at once.
-BLOCK = 256
+# Texts, and characters of them, whose counters are made at once; a longer text is alone.
+BLOCK, BLOCK_CHARS = 256, 500_000
 
 
 @cache
@@ -39,9 +39,14 @@ def _letters() -> np.ndarray:
 
 def _blocks(texts: list[str | None]):
     """First and last row and counters of a few texts at a time."""
-    for lo in range(0, len(texts), BLOCK):
-        part = [(t or "").lower() for t in texts[lo : lo + BLOCK]]
-        yield lo, lo + len(part), _counters(part)
+    lo = size = 0
+    for k, text in enumerate(texts):
+        if k > lo and (k - lo == BLOCK or size + len(text or "") > BLOCK_CHARS):
+            yield lo, k, _counters([(t or "").lower() for t in texts[lo:k]])
+            lo, size = k, 0
+        size += len(text or "")
+    if texts:
+        yield lo, len(texts), _counters([(t or "").lower() for t in texts[lo:]])
 
 
 def _counters(texts: list[str]) -> np.ndarray:
