@@ -177,10 +177,17 @@ def _similar(batches):
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the least node that the edges (a, b) connect each node with.
 
-    Nodes take the least label among their neighbours and then their label's label, until
-    none changes.
+    First every node keeps one edge, to its least neighbour, and hands its other neighbours on to
+    that one, which leaves the connections as they are and about an edge per node. Then nodes take the
+    least label among their neighbours and their label's label, until none changes.
     """
-    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    down = settle(
+        edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    )
+    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    handed = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    kept = least.select("a", F.col("m").alias("b")).union(handed.distinct())
+    both = settle(kept.union(kept.select("b", "a")).distinct())
     labels = settle(both.groupBy("a").agg(F.min("b").alias("l")).select(F.col("a").alias("node"), F.least("a", "l").alias("comp")))
     while True:
         near = (
