@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Batches are worked on in slices of about this many bytes; a longer text is a slice by itself.
-SLICE_BYTES = 1_500_000
+# Batches are worked on in slices of about this many bytes, so that arrays of eight bytes for each stay
+# in the cache; a longer text is a slice by itself.
+SLICE_BYTES = 250_000
 # Low bits that hold a position where hash and position are compared as one number.
 PLACE_BITS = np.uint64(30)
 PLACE = np.uint64((1 << 30) - 1)
