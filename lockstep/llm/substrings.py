@@ -73,31 +73,34 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def suspects(batches):
         a, b, _, d = _rolls()
         for batch in batches:
-            ids, marks = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, data, bounds in slices(batch.column(2)):
+            marks, parts = batch.column(1).to_numpy(zero_copy_only=False), []
+            for lo, _, data, bounds in slices(batch.column(2)):
                 _, _, first, (wide, other) = _hashed(data, bounds, (a, b))
                 at, keys, _ = _windows(wide, first, window, anchor)
                 at = at[shared.value.may(keys)]
-                if not len(at):
-                    continue
-                one = a.runs(a.prefix(wide), window)[at]
-                two = d.runs(d.prefix(other), window)[at]
-                order = np.lexsort((two, one))
-                new = changes(one[order], two[order])
-                n = np.minimum(np.diff(np.append(new, len(order))), 2)
-                pick = order[new]
-                row = np.searchsorted(first, at[pick], "right") - 1
-                yield pa.record_batch(
-                    [
-                        pa.array(one[pick].view(np.int64)),
-                        pa.array(two[pick].view(np.int64)),
-                        pa.array(n.astype(np.int32)),
-                        ids.take(pa.array(lo + row)),
-                        pa.array(marks[lo + row]),
-                        pa.array((at[pick] - first[row]).astype(np.int32)),
-                    ],
-                    ["one", "two", "n", "doc_id", "mark", "at"],
-                )
+                row = np.searchsorted(first, at, "right") - 1
+                one, two = a.runs(a.prefix(wide), window), d.runs(d.prefix(other), window)
+                parts.append((one[at], two[at], lo + row, at - first[row]))
+            if not parts:
+                continue
+            one, two, row, at = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((two, one))
+            new = changes(one[order], two[order])
+            n = np.minimum(np.diff(np.append(new, len(order))), 2)
+            # In the order of the texts again, so that equal ids stand together and compress.
+            again = np.argsort(order[new])
+            pick, n = order[new][again], n[again]
+            yield pa.record_batch(
+                [
+                    pa.array(one[pick].view(np.int64)),
+                    pa.array(two[pick].view(np.int64)),
+                    pa.array(n.astype(np.int32)),
+                    batch.column(0).take(pa.array(row[pick])),
+                    pa.array(marks[row[pick]]),
+                    pa.array(at[pick].astype(np.int32)),
+                ],
+                ["one", "two", "n", "doc_id", "mark", "at"],
+            )
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     marked = rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
