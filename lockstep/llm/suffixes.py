@@ -217,11 +217,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def suspects(batches):
         for batch in batches:
-            for keys, prints, of, *_ in flagged(batch):
-                first = _least(keys, prints, of)
+            parts = [(keys, prints, of) for keys, prints, of, *_ in flagged(batch)]
+            if parts:
+                columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+                first = np.sort(_least(*columns))
                 yield pa.record_batch(
-                    [pa.array(c[first].view(np.int64)) for c in (keys, prints, of)],
-                    ["anchor", "print", "doc_id"],
+                    [pa.array(c[first].view(np.int64)) for c in columns], ["anchor", "print", "doc_id"]
                 )
 
     # Who has the segments of each anchor: one print alone is its least id's; others are compared.
