@@ -6,6 +6,10 @@ gives RANK latent directions. Every block and every two neighbouring blocks are
 piece of the benchmark by cosine there, the benchmark being the stated query set. Pairs that come
 close are verified on the tokens themselves: by the longest common subsequence with the item, and for paraphrases
 also by whether the item's answer, its last sentence, is found.
+
+A second way to the same check is exact, whatever lies outside the leading directions. A leak lacks at
+most n - PARAPHRASE n of an item's n tokens, so it holds one of any n - PARAPHRASE n + 1 of them, the rarest too. Every
+token of a text that is among these is looked at, with all spans around it.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 STRETCH, SLACK = 1.3, 4
 # Items compared at a time; a larger benchmark takes several rounds.
 ITEMS = 5_000
+# Tokens around rare words that are counted at once, and the cells of an item's filter, a power of 2.
+AROUND, CELLS = 2_000_000, 1024
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -65,6 +71,8 @@ class Item:
         self.answer = answer if len(answer) >= 3 else self.tokens[-5:]
         self.masks, self.answer_masks = _masks(self.tokens), _masks(self.answer)
         self.words = set(self.tokens)
+        self.width = int(len(self.tokens) * STRETCH) + SLACK
+        self.least = max(1, int(np.ceil(PARAPHRASE * len(self.tokens) - 1e-9)))
 
 
 def _masks(tokens: list[int]) -> dict[int, int]:
@@ -99,6 +107,7 @@ class Benchmark:
 
     def weigh(self, df: np.ndarray, n: int) -> None:
         """Keep the words that tell something and weigh them by inverse document frequency."""
+        self._find_rare(df)
         keep = df <= MOST_COMMON * n
         for item in self.items:
             at = np.unique(self.places(np.array(item.tokens, np.uint64)))
@@ -106,6 +115,59 @@ class Benchmark:
         self.vocabulary = self.vocabulary[keep]
         self.idf = np.log((n + 1) / (df[keep] + 1)).astype(np.float32) + np.float32(0.1)
 
+    def _find_rare(self, df: np.ndarray) -> None:
+        """The rarest tokens of each item, so many that every leak holds one; and a filter of its tokens."""
+        pairs, self.filter = [], np.zeros((len(self.items), CELLS), bool)
+        for k, item in enumerate(self.items):
+            tokens = np.array(item.tokens, np.uint64)
+            self.filter[k, tokens & np.uint64(CELLS - 1)] = True
+            at = self.places(tokens)
+            rare = at[np.argsort(df[at], kind="stable")[: len(at) - item.least + 1]]
+            pairs += [(w, k) for w in np.unique(rare).tolist()]
+        word, self.rare_items = np.array(sorted(pairs), np.int64).T
+        new = changes(word)
+        self.rare_words, self.rare_first = self.vocabulary[word[new]], np.append(new, len(word))
+        self.width = np.array([item.width for item in self.items])
+        self.least = np.array([item.least for item in self.items])
+
+    def around(self, tokens: np.ndarray, first: np.ndarray):
+        """Tokens that are rare ones of an item, the item, and first and last token of the spans around
+        each; of those alone where a span may hold enough of the item's tokens."""
+        at = np.minimum(np.searchsorted(self.rare_words, tokens), len(self.rare_words) - 1)
+        hit = np.flatnonzero(self.rare_words[at] == tokens)
+        lo, n = self.rare_first[at[hit]], np.diff(self.rare_first)[at[hit]]
+        place = np.repeat(hit, n)
+        item = self.rare_items[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        text = np.searchsorted(first, place, "right") - 1
+        x = np.maximum(place - self.width[item] + 1, first[text])
+        y = np.minimum(place + self.width[item], first[text + 1])
+        low = (tokens & np.uint64(CELLS - 1)).astype(np.int64)
+        size, good = np.cumsum(y - x), np.zeros(len(place), bool)
+        a = 0
+        while a < len(place):
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + AROUND, "right")))
+            good[a:b] = self._dense(low, item[a:b], x[a:b], y[a:b])
+            a = b
+        return place[good], item[good], x[good], y[good], text[good]
+
+    def _dense(self, low, item, x, y) -> np.ndarray:
+        """Whether a span from x to y of the item's width may hold enough of its tokens."""
+        n = y - x
+        ends = np.cumsum(n)
+        pair = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(ends[-1]) - (ends - n)[pair]
+        total = np.zeros(len(pair) + 1, np.int32)
+        np.cumsum(self.filter[item[pair], low[inside + x[pair]]], out=total[1:])
+        last = np.minimum(np.arange(len(pair)) + self.width[item][pair], ends[pair])
+        held = total[last] - total[:-1]
+        return np.maximum.reduceat(held, ends - n) >= self.least[item]
+
+    def cosine(self, k: int, tokens: np.ndarray) -> float:
+        """The best cosine of one of an item's pieces with the tokens."""
+        at, counts = np.unique(self.places(tokens), return_counts=True)
+        x = np.log1p(counts[at >= 0]).astype(np.float32) @ self.basis[at[at >= 0]]
+        return float((_unit(x[None]) @ self.pieces[self.owner == k].T).max())
+
     def direct(self, basis: np.ndarray) -> None:
         """Take the latent directions and place every piece of every item there."""
         self.basis = (basis * self.idf[:, None]).astype(np.float32)
@@ -251,7 +313,7 @@ def _verified(bench: Benchmark, item: Item, near: np.ndarray) -> tuple[int, bool
     """Common subsequence and whether the answer is there, in the densest span of the tokens near."""
     tokens = near.tolist()
     held = np.array([t in item.words for t in tokens], np.int64)
-    width = int(len(item.tokens) * STRETCH) + SLACK
+    width = item.width
     total = np.concatenate([[0], np.cumsum(held)])
     last = max(len(tokens) - width, 0)
     dense = total[np.minimum(np.arange(last + 1) + width, len(tokens))] - total[: last + 1]
@@ -302,6 +364,16 @@ def _found(bench: Benchmark, texts: pa.Array):
             found = _verified(bench, item, tokens[x:y])
             if found and found[0] > best.get((row, k), (0,))[0]:
                 best[row, k] = (*found, c)
+        for t, k, x, y, row in zip(*(c.tolist() for c in bench.around(tokens, first)), strict=True):
+            item, known = bench.items[k], best.get((row, k), (0,))
+            if known[0] == len(item.tokens):
+                continue
+            found = _verified(bench, item, tokens[x:y])
+            if found and found[0] > known[0]:
+                b = starts[np.searchsorted(starts, t, "right") - 1]
+                near = [tokens[max(lo, first[row]) : min(lo + n, first[row + 1])]
+                        for lo, n in ((b - BLOCK, 2 * BLOCK), (b, BLOCK), (b, 2 * BLOCK))]
+                best[row, k] = (*found, max(bench.cosine(k, part) for part in near))
         for (row, k), (n, answer, c) in best.items():
             yield lo + row, bench.items[k], n, answer, c
 
@@ -325,7 +397,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK) -> DataFrame:
 
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. A document leaks an item if
     VERBATIM of the item's tokens follow each other in it, others between allowed, or
-    PARAPHRASE of them and its answer. Null and empty texts leak nothing, an item without tokens is in no
+    PARAPHRASE of them and its answer; cosine is that of the place where it was found, and no condition. Null and empty texts leak nothing, an item without tokens is in no
     document, repeated rows leak alike, an empty table gives no rows. Whole texts are
     searched. The benchmark goes to every task, ITEMS items a round.
     """

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,27 @@ def test_leaks_of_paraphrases_and_awkward_rows(spark):
     assert decontamination.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_leaks_outside_the_latent_directions_are_found():
+    items = [(k, " ".join(f"{w}{k}" for w in prose(k, 20).split())) for k in range(12)]
+    texts = [prose(50 + k, 70) + " " + text + " " + prose(80 + k, 70) for k, text in items]
+    for k, text in items:  # paraphrases: every sixth word replaced, one put in after every third
+        w = [x if j % 6 else "other" for j, x in enumerate(text.split())]
+        texts.append(prose(20 + k, 9) + " " + " ".join(" ".join([*w[j : j + 3], "more"]) for j in range(0, 20, 3)))
+    bench = decontamination.Benchmark(items)
+    bench.weigh(np.full(len(bench.vocabulary), 2), 1000)
+    bench.direct(np.zeros((len(bench.vocabulary), 1)))  # no block is close to any piece
+    got = sorted((row, item.item_id) for row, item, *_ in decontamination._found(bench, pa.array(texts)))
+    assert got == [(row, row % 12) for row in range(24)]
+
+
+def test_every_place_with_an_item_word_for_word_is_found(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    hard = {1382: 174, 4484: 94, 5005: 71, 7405: 193, 8785: 28, 9095: 28, 9855: 67}
+    got = decontamination.leaks(docs, table(spark, "/root/testdata/sf0.1", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in got.where(F.col("doc_id").isin(list(hard))).collect()}
+    assert set(hard.items()) <= got
+
+
 def test_common_subsequence():
     def table_of(a, b):
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
