@@ -7,6 +7,10 @@ with a probability equal to their probability Jaccard similarity. A shingle's pr
 comes after the last of all registers. Registers are banded; texts that share a band are
 candidates; candidates are verified by the Jaccard similarity of their shingle sets.
 
+That one can be high where probability Jaccard is low, if texts differ in what they repeat. So texts with
+repeated shingles have second registers, all weights 1, whose agreement is the set similarity itself. The bands of
+both make candidates; the bits that tell hopeless pairs come from those of weight 1 alone.
+
 Texts with equal words are folded first. Candidates that bands connect form components, and a component is
 verified in one task: starting from any text, those it is similar to are taken, then those similar to
 these, each compared only with texts that share a band and are not taken yet. So a large group costs about a
@@ -145,19 +149,35 @@ def _fresh(batches):
             yield (*_weighted(shingles[inside], place[of[inside]]), name[fresh])
 
 
+def _registers(shingles: np.ndarray, of: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The registers of n texts with all weights 1, then weighted ones of texts that repeat a shingle; and whose each are."""
+    again = np.flatnonzero(np.bincount(of, weights > 1, minlength=n))
+    row = np.full(n, -1)
+    row[again] = n + np.arange(len(again))
+    more = row[of] >= 0
+    who = prob_min_hash(
+        np.concatenate([shingles, shingles[more]]), np.concatenate([of, row[of[more]]]),
+        np.concatenate([np.ones(len(of)), weights[more]]), n + len(again),
+    )
+    return who, np.concatenate([np.arange(n), again])
+
+
 def _banded(batches):
     for shingles, of, weights, name in _fresh(batches):
         n = len(name)
         if not n:
             continue
-        who = prob_min_hash(shingles, of, weights, n)
-        bits = np.packbits(mixed(who) >> np.uint64(63) == 1, axis=1)
+        who, text = _registers(shingles, of, weights, n)
+        bits = np.packbits(mixed(who[:n]) >> np.uint64(63) == 1, axis=1)
         bits = np.concatenate([bits, np.zeros((n, 16 - bits.shape[1]), np.uint8)], 1).view(np.int64)
         size = np.bincount(of, minlength=n)
-        row = np.repeat(np.arange(n), BANDS)
+        keys = _band_keys(who)
+        new = np.ones(keys.shape, bool)
+        new[n:] = keys[n:] != keys[text[n:]]
+        row = np.repeat(text, BANDS)[new.ravel()]
         yield pa.record_batch(
             [
-                pa.array(_band_keys(who).ravel().view(np.int64)), _names(name).take(pa.array(row)),
+                pa.array(keys[new].view(np.int64)), _names(name).take(pa.array(row)),
                 pa.array(bits[row, 0]), pa.array(bits[row, 1]), pa.array(size[row].astype(np.int32)),
             ],
             ["band", "node", "bits1", "bits2", "size"],

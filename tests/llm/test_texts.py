@@ -63,6 +63,19 @@ def test_a_chain_of_edits_is_one_class(spark, monkeypatch, component):
     assert got == classes_brute(chain) and set(got.values()) == {100}
 
 
+@pytest.mark.parametrize("component", [near_duplicates.COMPONENT, 1])
+def test_copies_with_a_line_repeated_are_one_class(spark, monkeypatch, component):
+    monkeypatch.setattr(near_duplicates, "COMPONENT", component)
+    texts = {}
+    for k in range(12):
+        w = [f"{x}{k}" for x in prose(k, 204).split()]
+        texts[2 * k] = " ".join(w)
+        texts[2 * k + 1] = " ".join(w[:100] + 20 * w[50:100] + w[100:])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_duplicates.classes(docs).collect()}
+    assert got == classes_brute(texts) == {i: i // 2 * 2 for i in texts}
+
+
 def test_classes_of_awkward_rows(spark):
     docs = awkward(spark)
     got = near_duplicates.classes(docs).collect()
