@@ -3,7 +3,8 @@
 Markup is stripped to lines, one per block, and elements that never belong to an article go with
 what they contain. The lengths of the remaining text, links not counted, are summed over sliding
 windows of lines. Where the sum surges an article begins, where it dives to nothing it ends; what
-lies between is kept. On a page that marks its article, lines outside of it have no weight.
+lies between is kept. Where it never surges, the run of lines with the most text is kept, if that is
+more than a word. On a page that marks its article, all lines in it are kept and no others.
 """
 
 from __future__ import annotations
@@ -42,38 +43,67 @@ _INLINE = {
     "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 _MARKS = {"article", "main"}
-# Words of a class, id or role that name what is not the article.
-_HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|"
-    r"comments?|disqus|replies|respond|sidebar|side-?bar|menu|nav|navigation|navbar|breadcrumbs?|"
-    r"footer|site-?header|masthead|social|share|sharing|related|recommend\w*|newsletter|subscribe|"
-    r"popup|modal|overlay|widget|toolbar|pagination|pager|login|signup|search|skip|complementary|"
-    r"contentinfo)(?=$|[\s_-])",
+# Words of a class, id or role that name what is not the article; a name counts if the others
+# in it say only where or what kind of box it is, so not in has-sidebar or search-results.
+_COMMENT = re.compile(r"comments?|disqus|repl(?:y|ies)|respond", re.I)
+_HINT = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|"
+    r"sidebar|menu|nav|navigation|navbar|breadcrumbs?|footer|siteheader|masthead|social|share|sharing|related|"
+    r"recommend\w*|newsletter|subscribe|popup|modal|overlay|widget|toolbar|pagination|pager|login|signup|"
+    r"search|skip|complementary|contentinfo",
     re.I,
 )
+_BOX = re.compile(
+    r"site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|header|area|box|bar|block|list|items?|"
+    r"links?|buttons?|icons?|container|wrapper|wrap|section|panel|inner|outer|body|form|thread|title|posts?|"
+    r"articles?|stories|text|media|to|us|user|the|div|id|\d+|",
+    re.I,
+)
+
+
+def _tells(name: str, hint: re.Pattern) -> bool:
+    parts = re.split("[_-]+", re.sub("(?i)(side)-(?=bar)|(site)-(?=header)", r"\1\2", name))
+    known = all(_COMMENT.fullmatch(x) or _HINT.fullmatch(x) or _BOX.fullmatch(x) for x in parts)
+    return known and any(hint.fullmatch(x) for x in parts)
+
+
+def _names(attributes: str) -> list[str]:
+    return [name for m in _HINTED.findall(attributes) for name in m.strip("\"'").split()]
 
 
 def _unwanted(tag: str, attributes: str, marked: bool) -> bool:
+    """Does the element go whatever it holds?"""
     if tag in _DROPPED or tag == "header" and not marked:
         return True
-    if tag in ("html", "body", *_MARKS) and not _comment(attributes):
-        return False
-    if not attributes:
+    if tag in ("html", "body") or not attributes:
         return False
-    if _HIDDEN.search(attributes):
+    if tag not in _MARKS and _HIDDEN.search(attributes):
         return True
-    return any(_HINTS.search(m.strip("\"'")) for m in _HINTED.findall(attributes))
+    return any(_tells(name, _COMMENT) for name in _names(attributes))
 
 
-def _comment(attributes: str) -> bool:
-    return any(re.search(r"(?:^|[\s_-])(?:comments?|reply)", m.strip("\"'"), re.I) for m in _HINTED.findall(attributes))
+def _doubtful(tag: str, attributes: str) -> bool:
+    """Does the element go unless it holds the page's main text?"""
+    if tag in ("html", "body", *_MARKS) or not attributes:
+        return False
+    return any(_tells(name, _HINT) for name in _names(attributes))
+
+
+def _holds_main(page: str, at: int, end: int, total: int) -> bool:
+    """Does a part of the page hold a marked article, or on a page without one half of the text?"""
+    inside = lines(page[at:end], False)
+    return any(m for *_, m in inside) or total >= 0 and 2 * sum(length for _, length, _ in inside) > total
 
 
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """Text, length without links and whether it lies in a marked article, for each block."""
+def lines(page: str, doubt: bool = True) -> list[tuple[str, int, bool]]:
+    """Text, length without links and whether it lies in a marked article, for each block.
+
+    Without doubt, elements stay that only their names speak against, comments apart.
+    """
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     links = marks = in_link = 0
+    total = None  # text without links on a page that marks no article, else -1
     at, end = 0, len(page)
 
     def flush():
@@ -101,6 +131,16 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 flush()
             at = _beyond(page, at, tag)
             continue
+        if doubt and not closing and tag not in _VOID and _doubtful(tag, attributes):
+            if total is None:
+                whole = lines(page, False)
+                total = -1 if any(m for *_, m in whole) else sum(length for _, length, _ in whole)
+            beyond = _beyond(page, at, tag)
+            if not _holds_main(page, at, beyond, total):
+                if tag not in _INLINE:
+                    flush()
+                at = beyond
+                continue
         if tag == "a":
             in_link = 0 if closing else 1
         elif tag not in _INLINE:
@@ -131,20 +171,31 @@ def main_text(page: str | None) -> str:
     found = lines(page or "")
     if not found:
         return ""
-    marked = any(inside for _, _, inside in found)
-    weight = np.array([length if inside or not marked else 0 for _, length, inside in found])
+    if any(inside for _, _, inside in found):
+        return " ".join(text for text, _, inside in found if inside)
+    weight = np.array([length for _, length, _ in found])
     padded = np.concatenate([weight, np.zeros(THICKNESS - 1, int)])
     sums = np.convolve(padded, np.ones(THICKNESS, int), "valid")
-    surge = 0 if marked else SURGE
-    kept, open_ = [], False
-    for k, (text, _, inside) in enumerate(found):
+    kept = _runs(found, weight, sums, SURGE)
+    if not kept:
+        runs = _runs(found, weight, sums, 0)
+        most = max(runs, key=lambda run: weight[run].sum(), default=[])
+        kept = [most] if sum(len(found[k][0].split()) for k in most) > 1 else []
+    return " ".join(found[k][0] for run in kept for k in run)
+
+
+def _runs(found: list, weight: np.ndarray, sums: np.ndarray, surge: int) -> list[list[int]]:
+    """The numbers of the blocks from each surge to the dive after it."""
+    out, open_ = [], False
+    for k in range(len(found)):
         if not open_ and sums[k] > surge and weight[k]:
             open_ = True
+            out.append([])
         elif open_ and not sums[k]:
             open_ = False
-        if open_ and (inside or not marked):
-            kept.append(text)
-    return " ".join(kept)
+        if open_:
+            out[-1].append(k)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -187,6 +187,30 @@ def test_main_text_of_other_markup(spark):
     assert extraction.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single comments-closed"><div>{}</div></body>',
+        '<article class="post comments-open">{}</article>',
+        '<article class="post"><h2><a href=x>{}</a></h2><p>text</p></article>',
+        *(f'<div class="{c}">{{}}</div>' for c in ("content has-sidebar", "no-sidebar", "content-with-nav", "search-results")),
+        '<div class="widget">{}</div><div class="sidebar">other words</div>',
+        '<div class="widget"><main>{}</main></div><p>' + "not the article " * 20 + "</p>",
+    ],
+)
+@pytest.mark.parametrize("text", ["a short article", "many words of a long article " * 9])
+def test_articles_in_wrappers_with_telling_names_and_short_ones_stay(page, text):
+    want = text.strip() + " text" * ("<h2>" in page)
+    assert extraction.main_text("<html>" + page.format(text)) == want
+
+
+def test_comments_and_boxes_go():
+    article = "many words of a long article " * 9
+    for name in ("comments", "comments-area", "site-footer", "related-posts", "cookie-banner", "widget_area", "nav"):
+        assert extraction.main_text(f'<p>{article}<div class="x {name}"><p>{"no " * 60}</div>') == article.strip()
+    assert extraction.main_text(f'<article>{article}</article><article class="comment">no</article>') == article.strip()
+
+
 @pytest.mark.parametrize("name", queries.all_oracles())
 def test_query_equals_its_sql(spark, name):
     db = duckdb.connect()
