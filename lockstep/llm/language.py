@@ -4,7 +4,7 @@ Letters are lower-cased, everything between them is one space, and runs of one t
 characters are hashed to FEATURES counters. Counts are damped, weighted by inverse document
 frequency over all training texts, and scaled to length one. The weights are learnt by following the
 regularised leader (FTRL-proximal, with L1 and L2 penalties) from at most SAMPLE labelled
-texts; a temperature fitted on others of them calibrates the probabilities.
+texts, an equal quota for each language; a temperature fitted on others of them calibrates the probabilities.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lockstep.llm.common import held_out, table
+from lockstep.llm.common import held_out, settle, table
 
 GRAMS = 3
 FEATURE_BITS = 14
@@ -27,6 +27,8 @@ FEATURES = 1 << FEATURE_BITS
 PER_LANGUAGE, SAMPLE, CALIBRATE_EVERY = 500, 20_000, 5
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.01
 LEAST_TEMPERATURE = 0.5
+# Values that a text's hash takes in the draw.
+DRAWS = 1 << 52
 UNKNOWN = "und"
 # Texts, and characters of them, whose counters are made at once; a longer text is alone.
 BLOCK, BLOCK_CHARS = 256, 500_000
@@ -169,14 +171,20 @@ def _features(batches):
             )
 
 
+def _by_language(values: dict):
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def fit(training: DataFrame) -> Model:
     """A model from training's text and non-null lang; without any it knows no language.
 
-    Document frequencies come from all texts; the classifier sees a sample of about PER_LANGUAGE per
-    language, chosen by hash, and SAMPLE in all.
+    Document frequencies come from all texts; the classifier sees a sample of PER_LANGUAGE different texts per
+    language, chosen by hash, or an equal quota of SAMPLE, but one at least; all if a language has fewer.
     """
     rows = training.where(F.col("lang").isNotNull()).select("text", "lang")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(DRAWS)))
+    keys = settle(rows.select("lang", "h").distinct())
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.ones(FEATURES, np.float32), np.zeros((FEATURES, 0)), np.zeros(0))
@@ -188,10 +196,15 @@ def fit(training: DataFrame) -> Model:
     idf = (np.log((total + 1) / (df + 1)) + 1).astype(np.float32)
 
     each = max(1, min(PER_LANGUAGE, SAMPLE // len(languages)))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, each / sizes[lang])])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    sample = rows.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang", F.xxhash64("text").alias("h"))
-    seen = sample.orderBy("lang", "h").limit(SAMPLE).select("text", "lang").mapInArrow(
+    # So many are drawn that a language misses its quota by six standard deviations only; the least hashes stay.
+    drawn = each + 6 * each**0.5 + 10
+    few = keys.where(F.col("h") < F.element_at(_by_language({x: drawn / n * DRAWS for x, n in sizes.items()}), F.col("lang")))
+    drawn = {}
+    for r in few.collect():
+        drawn.setdefault(r["lang"], []).append(r["h"])
+    last = {lang: float(sorted(hashes)[:each][-1]) for lang, hashes in drawn.items()}
+    sample = rows.where(F.col("h") <= F.element_at(_by_language(last), F.col("lang"))).dropDuplicates(["lang", "h"])
+    seen = sample.orderBy("lang", "h").select("text", "lang").mapInArrow(
         _features, "lang string, at binary, counts binary"
     ).collect()
     number = {lang: k for k, lang in enumerate(languages)}

@@ -26,6 +26,21 @@ def test_language_is_learnt(spark):
     assert sum(r.lang_pred == truth[r.doc_id] for r in tested) >= 0.98 * len(tested)
 
 
+def test_every_language_has_its_quota_of_different_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 48)
+    monkeypatch.setattr(language, "CALIBRATE_EVERY", 10**9)
+    seen = []
+    monkeypatch.setattr(
+        language, "_ftrl", lambda rows, n: seen.extend(rows) or (np.zeros((language.FEATURES, n)), np.zeros(n))
+    )
+    rows = [(f"text {chr(97 + j)} of {chr(97 + k)}", f"l{k:02}") for k in range(24) for j in range(10)]
+    rows += [(text, lang) for text, lang in rows[:10] for _ in range(100)]  # any draw meets a text with copies
+    rows.append(("one text alone", "zz"))
+    language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    # 25 languages share 48 texts, one each.
+    assert Counter(label for *_, label in seen) == dict.fromkeys(range(25), 1)
+
+
 def test_language_of_awkward_rows(spark):
     docs = awkward(spark).withColumnRenamed("n_chars", "score")
     found = language.predict(docs, language.fit(docs)).collect()
