@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lockstep.llm import decontamination, language, mixing, near_duplicates, sharding
 from lockstep.llm.common import settle, table
 
-# A document whose language is less likely than this is rejected.
-LEAST_SCORE = 0.3
+# The least share of the way from what a language gets without any evidence to certainty.
+LEAST_MARGIN = 0.12
+
+
+def least_scores(model: language.Model) -> dict[str, float]:
+    """For each language the score below which a document is rejected; more than its prior, whatever their number."""
+    if not model.languages:
+        return {}
+    prior = model.probabilities(np.zeros((1, language.FEATURES), np.float32))[0]
+    return {x: float(p + LEAST_MARGIN * (1 - p)) for x, p in zip(model.languages, prior, strict=True)}
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language (operator 1): those without letters or of no clear language go."""
-    found = language.predict(docs, language.learn(docs))
-    kept = found.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= LEAST_SCORE))
+    model = language.learn(docs)
+    found = language.predict(docs, model)
+    least = [F.lit(x) for pair in least_scores(model).items() for x in pair] or [F.lit(language.UNKNOWN), F.lit(1.0)]
+    clear = found["score"] >= F.element_at(F.create_map(*least), found["lang_pred"])
+    kept = found.where((found["lang_pred"] != language.UNKNOWN) & clear)
     return kept.select(docs.columns)
 
 

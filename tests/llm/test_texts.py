@@ -271,6 +271,15 @@ def test_mix_comes_near_its_targets(spark):
         assert r["count"] == pytest.approx(want[r.source], rel=0.03)
 
 
+@pytest.mark.parametrize("languages", [["de", "en"], ["de", "en", "es", "fr"]])
+def test_texts_of_unlearnt_languages_go_and_short_ones_stay(spark, languages):
+    docs = table(spark, SF, "documents").where(F.col("lang").isin(languages)).select("doc_id", "text", "lang")
+    strange = ["Это предложение на русском языке и оно не выучено", "这是一个没有学过的句子", "これは日本語の文です"]
+    planted = [(-1 - k, x, None) for k, x in enumerate([*strange, "the", "der und"])]
+    kept = corpus_pipeline.identify(spark, docs.union(spark.createDataFrame(planted, docs.schema)), SF)
+    assert {r.doc_id for r in kept.where("doc_id < 0").collect()} == {-4, -5}
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
