@@ -3,14 +3,17 @@
 from lockstep.llm import (
     decontamination,
     extraction,
+    fingerprints,
     language,
     mixing,
     near_duplicates,
     quality,
     sharding,
+    spelling,
     substrings,
     suffix_tree_lm,
     suffixes,
+    token_alignment,
 )
 
 
@@ -26,6 +29,9 @@ def all_queries() -> dict:
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_mixing": mixing.op9_mixing,
         "op10_quality": quality.op10_quality,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_fingerprints": fingerprints.op13_fingerprints,
     }
 
 
