@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from lockstep import scratch
 from lockstep.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, width
 
+
 class DuplicateKeyError(ValueError):
-    """A merge source has several rows for one key."""
+    """A merge source has several rows for one key, or for one key and place in its sequence."""
 
 
 def _any_null(keys: list[str]) -> Column:
@@ -71,6 +72,60 @@ def upsert(
     return result.unionByName(again.select(*target.columns))
 
 
+def newest(source: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """The row of the highest ``sequence`` of every key; rows with a NULL in the key all stay.
+
+    Two rows of a key at one place in the sequence, or none, are an error, also below the highest. Rows are first counted by
+    key and place, which spreads a key with most of the updates over all tasks; of the counted
+    ones each task keeps one row per key before these meet.
+    """
+    rest = [c for c in source.columns if c not in keys]
+    known = source.filter(~_any_null(keys))
+    placed = known.groupBy(*keys, F.col(sequence).alias("_at")).agg(
+        F.first(F.struct(*rest)).alias("_row"), F.count(F.lit(1)).alias("_n")
+    )
+    scratch.checkpoint_root(source.sparkSession)
+    best = (
+        placed.groupBy(*keys)
+        .agg(
+            F.max_by("_row", "_at").alias("_row"),
+            F.max("_n").alias("_n"),
+            F.count_if(F.col("_at").isNull()).alias("_unplaced"),
+        )
+        .checkpoint()
+    )
+    seen = best.agg(F.max("_n"), F.max("_unplaced")).first()
+    if (seen[0] or 0) > 1 or seen[1]:
+        raise DuplicateKeyError(f"source has rows of one key {keys} with equal or no {sequence}")
+    found = best.select(*keys, "_row.*").select(*source.columns)
+    return found.unionByName(source.filter(_any_null(keys)))
+
+
+def upsert_newest(
+    target: DataFrame,
+    source: DataFrame,
+    keys: list[str],
+    sequence: str,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Upsert several updates of a key in any order: the highest ``sequence`` wins.
+
+    The target's own sequence is the mark that a source row has to exceed, so rows that come late, or again, lose.
+    Beyond that as ``upsert``. A NULL mark in the target loses to everything.
+    """
+    batch = newest(source.select(*target.columns), keys, sequence)
+    asked = batch.select(*keys).filter(~_any_null(keys))
+    marks = (
+        target.select(*keys, F.col(sequence).alias("_mark"))
+        .join(asked, keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.max("_mark").alias("_mark"))
+    )
+    ahead = F.col("_mark").isNull() | (F.col(sequence) > F.col("_mark"))
+    winners = batch.join(marks, keys, "left").filter(ahead).select(*target.columns).checkpoint()
+    return upsert(target, winners, keys, broadcast_rows)
+
+
 def next_counter(target: DataFrame, counter: str) -> int:
     """Highest counter in use, 0 for an empty table."""
     return target.agg(F.coalesce(F.max(counter), F.lit(0)).alias("top")).first()["top"]

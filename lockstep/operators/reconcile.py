@@ -23,7 +23,7 @@ def bucket_digests(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     )
 
 
-def _unequal(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def unequal(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys whose digests disagree or exist on one side only; NULL keys compare equal."""
     a = left.select(*keys, F.struct(*DIGEST).alias("src")).alias("a")
     b = right.select(*keys, F.struct(*DIGEST).alias("dst")).alias("b")
@@ -37,7 +37,7 @@ def _unequal(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def diff(src: DataFrame, dst: DataFrame, keys: list[str], buckets: int = 1024) -> DataFrame:
     """Buckets whose contents differ, with the row count on each side."""
-    return _unequal(
+    return unequal(
         bucket_digests(src, keys, buckets), bucket_digests(dst, keys, buckets), ["bucket"]
     )
 
@@ -58,4 +58,4 @@ def diff_keys(src: DataFrame, dst: DataFrame, keys: list[str], buckets: int = 10
         narrowed = hashed.join(suspects, "bucket", "left_semi")
         return narrowed.groupBy(*keys).agg(*digest_aggregates("_h"))
 
-    return _unequal(by_key(src), by_key(dst), keys)
+    return unequal(by_key(src), by_key(dst), keys)

@@ -27,7 +27,7 @@ from lockstep.model import (
 )
 from lockstep.plans import decide, deliver, validate
 from lockstep.scratch import checkpoint_root
-from lockstep.sources import releases, snapshots, state
+from lockstep.sources import changesets, releases, snapshots, state
 from lockstep.sources.logs import append_log, small_frame
 
 _OUTCOME = struct(
@@ -194,11 +194,12 @@ def send(
     publish_every_s: float = 60.0,
     sleep: Callable[[float], None] = time.sleep,
     declared: DataFrame | None = None,
+    keys: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Stage every group due now and return one row per group with its decision.
 
     With ``declared``, the config's groups, a broken config is an error before anything is read
-    or copied.
+    or copied. Tables with ``keys`` are staged as change sets where that is less than the table.
 
     The control table lives in the staging location. Data is written first, then the
     commits, then the releases, then the control table, so a run that stops midway
@@ -221,9 +222,10 @@ def send(
         retry(lambda: state.record(started, stage_root, "sender", checked=False), sleep=sleep)
 
     def copy(row: Row) -> tuple[int, int, str]:
-        return snapshots.copy(
-            spark, source_root, stage_root, row["table_name"], row["version"], row["dst_version"]
-        )
+        table, versions = row["table_name"], (row["version"], row["dst_version"])
+        if keys and table in keys:
+            return changesets.stage(spark, source_root, stage_root, table, keys[table], *versions)
+        return snapshots.copy(spark, source_root, stage_root, table, *versions)
 
     def publish(done: list[tuple]) -> None:
         done_ms = clock()
@@ -309,7 +311,7 @@ def receive(
 
     def copy(row: Row) -> tuple[int, int, str]:
         table, version = row["table_name"], row["version"]
-        rows, _, layout = snapshots.copy(spark, stage_root, dst_root, table, version, row["dst_version"])
+        rows, _, layout = changesets.deliver(spark, stage_root, dst_root, table, version, row["dst_version"])
         return rows, snapshots.version_size(spark, stage_root, table, version), layout
 
     def publish(done: list[tuple]) -> None:

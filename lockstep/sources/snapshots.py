@@ -5,6 +5,9 @@ commits of a root are rows of ``<root>/_commits``. Data is written first and its
 commit row afterwards, so a version without a commit row is never read, and writing
 it again simply replaces it. The commit row also holds the version's schema and partition
 columns, so that values are read back and copied as they were written. One writer per table.
+
+A version may hold only what changed since an earlier version of the same root, which its
+commit names along with the keys (see ``changesets``). Reading it gives the whole table.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from pyspark.sql import types as T
 
 from lockstep.functions.names import split_name
 from lockstep.model import CLONE, COMMITS
+from lockstep.operators.changes import GONE, put
 from lockstep.operators.history import as_of_time
-from lockstep.operators.merge import upsert
+from lockstep.operators.merge import newest, upsert, upsert_newest
 from lockstep.operators.reconcile import diff
 from lockstep.sources.logs import append_log, read_log, small_frame
 from lockstep.sources.paths import size, version_dir
@@ -99,6 +103,13 @@ def layout_of(spark: SparkSession, root: str, table: str, version: int) -> dict:
     return json.loads(row[LAYOUT]) if row and row[LAYOUT] else {}
 
 
+def row_count(spark: SparkSession, root: str, table: str, version: int) -> int | None:
+    """Rows of a committed version as its commit counted them; None where it did not."""
+    log = commits(spark, root).filter((F.col("table_name") == table) & (F.col("version") == version))
+    row = log.select(F.col("operation_metrics")["numOutputRows"].try_cast("bigint").alias("n")).first()
+    return row["n"] if row else None
+
+
 def version_size(spark: SparkSession, root: str, table: str, version: int) -> int:
     """Total bytes of a version's files."""
     return size(spark, [version_dir(root, table, version)])
@@ -169,16 +180,26 @@ def read(
 
 def read_version(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
     """A committed version, with the column types and order it was written with."""
-    return _read(spark, version_dir(root, table, version), layout_of(spark, root, table, version))
+    return _read(spark, root, table, version, layout_of(spark, root, table, version))
 
 
-def _read(spark: SparkSession, path: str, layout: dict) -> DataFrame:
+def _read(spark: SparkSession, root: str, table: str, version: int, layout: dict) -> DataFrame:
+    if "base" in layout:
+        before = read_version(spark, root, table, layout["base"])
+        return put(before, read_change(spark, root, table, version, layout), layout["keys"])
+    path = version_dir(root, table, version)
     if not layout:
         return spark.read.parquet(path)
     schema = T.StructType.fromJson(layout["schema"])
     return spark.read.schema(schema).parquet(path).select(*[f"`{name}`" for name in schema.names])
 
 
+def read_change(spark: SparkSession, root: str, table: str, version: int, layout: dict) -> DataFrame:
+    """The rows and gone keys that a version holds which is a change set."""
+    schema = T.StructType.fromJson(layout["schema"]).add(GONE, T.BooleanType())
+    return spark.read.schema(schema).parquet(version_dir(root, table, version))
+
+
 def register(spark: SparkSession, root: str, table: str, version: int) -> str:
     """Point the session view ``<catalog>__<schema>.<table>`` at a version, replacing the old one.
 
@@ -188,6 +209,8 @@ def register(spark: SparkSession, root: str, table: str, version: int) -> str:
     if "__" in catalog + "_" or schema.startswith("_"):
         raise ValueError(f"{table}: a view's schema joins catalog and schema by two underscores")
     read = layout_of(spark, root, table, version)
+    if "base" in read:
+        raise ValueError(f"{table}: version {version} is a change set; deliver it before it is registered")
     where = f"{catalog}__{schema}"
     path = version_dir(root, table, version).replace("`", "``")
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{where}`")
@@ -226,7 +249,7 @@ def copy(
     the source's file splits.
     """
     layout = layout_of(spark, src_root, table, version)
-    df = _read(spark, version_dir(src_root, table, version), layout)
+    df = _read(spark, src_root, table, version, layout)
     return write_version(df, dst_root, table, dst_version, layout.get("partition_by"))
 
 
@@ -283,10 +306,12 @@ def merge(
     keys: list[str],
     at_ms: int | None = None,
     parameters: dict[str, str] | None = None,
+    sequence: str | None = None,
 ) -> int:
     """Upsert rows into a table by key and publish the result; a missing table is created.
 
-    The new version keeps the table's types and partitions.
+    The new version keeps the table's types and partitions. Without ``sequence`` a key may come once; with it the row
+    of the highest one wins, over the table's own as well.
     """
     spark = source.sparkSession
     previous = latest_version(spark, root, table)
@@ -294,7 +319,13 @@ def merge(
         target, parts = spark.createDataFrame([], source.schema), None
     else:
         layout = layout_of(spark, root, table, previous)
-        target = _read(spark, version_dir(root, table, previous), layout)
+        target = _read(spark, root, table, previous, layout)
         parts = layout.get("partition_by")
     source = source.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema])
-    return publish(upsert(target, source, keys), root, table, "MERGE", at_ms, parameters, parts)
+    if sequence is None:
+        result = upsert(target, source, keys)
+    elif previous is None:
+        result = newest(source, keys, sequence)
+    else:
+        result = upsert_newest(target, source, keys, sequence)
+    return publish(result, root, table, "MERGE", at_ms, parameters, parts)

@@ -162,6 +162,9 @@ marked as (
 bodies as (
   select l_orderkey, l_linenumber, body, sum(s) as s, sum(d) as d from marked group by all)"""
 
+_NEWEST = """select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type,
+  arg_max(value, event_id) as value from events group by user_id"""
+
 _BY_SOURCE = """select source, cast(sum(strlen(text) + 1) as bigint) as bytes,
        cast(sum(length(text) + 1) as bigint) as chars from documents group by source"""
 
@@ -366,6 +369,23 @@ def all_oracles() -> dict[str, str]:
         "q_reconcile_buckets": f"""with {_ALTERED}
             select 0 as bucket, cast(sum(s) as bigint) as src_rows, cast(sum(d) as bigint) as dst_rows
             from marked""",
+        "q_change_set": f"""with {_ALTERED}
+            select * replace (case when l_orderkey % 1000 = 1 then 0.5 else l_tax end as l_tax,
+                              cast(l_shipdate as varchar) as l_shipdate) from altered""",
+        "q_change_set_rows": f"""with {_ALTERED},
+            changed as (
+              select cast(sum(d) as bigint) as d from bodies group by l_orderkey, l_linenumber
+              having bool_or(s <> d))
+            select 0::bigint as version, count(*) as staged_rows, count(*) as table_rows from lineitem
+            union all select 1, (select cast(sum(greatest(d, 1)) as bigint) from changed),
+                   (select count(*) from altered)
+            union all select 2, count(*), (select count(*) from altered) from altered where l_orderkey % 1000 = 1""",
+        "q_reconcile_tree": f"""with {_ALTERED}
+            select l_orderkey, l_linenumber, cast(sum(s) as bigint) as src_rows,
+                   cast(sum(d) as bigint) as dst_rows
+            from bodies group by l_orderkey, l_linenumber having bool_or(s <> d)""",
+        "q_upsert_newest": _NEWEST,
+        "q_upsert_stream_newest": _NEWEST,
         "q_changed_only_clone": f"""select {_ORDERS},
             case when o_custkey = 11 then 0.0 else o_totalprice end as o_totalprice from orders""",
         "q_group_sync": """select 'lake.sales.orders' as table_name, count(*) as row_count,

@@ -11,7 +11,7 @@ from lockstep.functions.names import qualify
 from lockstep.model import GROUP_KEY
 from lockstep.operators import generate, history, merge, reconcile, runs
 from lockstep.plans import decide, deliver, medallion, report, sync, validate
-from lockstep.sources import catalog, config, files, releases, snapshots, state
+from lockstep.sources import catalog, changesets, config, digests, files, releases, snapshots, state
 from lockstep.streaming import ingest, upsert
 from workload import fixtures as fx
 
@@ -410,6 +410,51 @@ def q_changed_only_clone(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.read(spark, dst, name)
 
 
+_LINE = ["l_orderkey", "l_linenumber"]
+
+
+def _shipped(spark: SparkSession, sf: str) -> tuple[str, str, str]:
+    """A table staged and delivered whole, then as it was altered, then with some orders' lines changed."""
+    src, stage, dst = (scratch.new_dir(spark, x) for x in ("src", "stage", "dst"))
+    lineitem, name = fx.table(spark, sf, "lineitem"), "lake.sales.lines"
+    altered = _altered(lineitem)
+    taxed = F.when(F.col("l_orderkey") % 1000 == 1, 0.5).otherwise(F.col("l_tax"))
+    for n, state_of in enumerate((lineitem, altered, altered.withColumn("l_tax", taxed))):
+        snapshots.publish(state_of, src, name)
+        changesets.stage_table(spark, src, stage, name, _LINE)
+        if n != 1:  # the second change set waits, so that the destination takes two at once
+            changesets.deliver_table(spark, stage, dst, name)
+    return src, stage, dst
+
+
+def q_change_set(spark: SparkSession, sf: str) -> DataFrame:
+    """A destination that was brought up to date by change sets alone."""
+    _, _, dst = _shipped(spark, sf)
+    return _text(snapshots.read(spark, dst, "lake.sales.lines"), "l_shipdate")
+
+
+def q_change_set_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that each staged copy holds, against the rows of the table it stands for."""
+    src, stage, _ = _shipped(spark, sf)
+    staged = snapshots.commits(spark, stage).select(
+        F.col("operation_parameters")["sourceVersion"].cast("bigint").alias("version"),
+        F.col("operation_metrics")["numOutputRows"].cast("bigint").alias("staged_rows"),
+    )
+    whole = snapshots.commits(spark, src).select(
+        "version", F.col("operation_metrics")["numOutputRows"].cast("bigint").alias("table_rows")
+    )
+    return whole.join(staged, "version")
+
+
+def q_reconcile_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that differ between two versions, by their kept digest trees."""
+    root, name = scratch.new_dir(spark, "trees"), "lake.sales.lines"
+    lineitem = fx.table(spark, sf, "lineitem")
+    snapshots.publish(lineitem, root, name)
+    snapshots.publish(_altered(lineitem), root, name)
+    return digests.diff_versions(spark, (root, name, 0), (root, name, 1), _LINE)
+
+
 def _group_roots(spark: SparkSession, sf: str):
     """A source with a finished and an unfinished load of two groups, synced once."""
     src, stage, dst = [scratch.new_dir(spark, f"sync-{i}") for i in range(3)]
@@ -553,6 +598,30 @@ def q_upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.read(spark, root, name)
 
 
+def _backlog(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of users as updates of their row."""
+    return fx.events(spark, sf).select("user_id", "event_id", "event_type", "value")
+
+
+def q_upsert_newest(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows as of even events, then all odd ones at once: the latest event of each user stands."""
+    log = _backlog(spark, sf)
+    before = merge.newest(log.filter("event_id % 2 = 0"), ["user_id"], "event_id")
+    return merge.upsert_newest(before, log.filter("event_id % 2 = 1"), ["user_id"], "event_id")
+
+
+def q_upsert_stream_newest(spark: SparkSession, sf: str) -> DataFrame:
+    """A backlog with many updates per key, the later half of it first: late rows lose."""
+    root, landing, name = scratch.new_dir(spark, "newest"), scratch.new_dir(spark, "backlog"), "lake.main.users"
+    log, progress = _backlog(spark, sf), scratch.new_dir(spark, "progress")
+    middle = log.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    for part in (log.filter(F.col("event_id") > middle), log.filter(F.col("event_id") <= middle)):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(log.schema).parquet(landing)
+        upsert.upsert_stream(stream, root, name, ["user_id"], progress, "event_id")
+    return snapshots.read(spark, root, name)
+
+
 def q_stream_two_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Two streams with checkpoints of their own into one table: both arrive."""
     root, name = scratch.new_dir(spark, "two"), "lake.main.keys"
