@@ -9,9 +9,9 @@ def at_millis(ms: Column) -> Column:
     return F.timestamp_millis(ms.cast("bigint"))
 
 
-def cutoff_like(df: DataFrame, column: str, ms: int) -> Column:
-    """A literal instant in the type of a time column, so that a comparison is pushed to the scan."""
-    return at_millis(F.lit(ms)).cast(df.schema[column].dataType)
+def cutoff_like(df: DataFrame, column: str, ms: int | Column) -> Column:
+    """A literal instant, or a scalar subquery's, in the type of a time column, so that a comparison is pushed to the scan."""
+    return at_millis(ms if isinstance(ms, Column) else F.lit(ms)).cast(df.schema[column].dataType)
 
 
 def micros(col: Column) -> Column:

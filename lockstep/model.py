@@ -98,12 +98,9 @@ COMMITS = struct(
     operation_metrics=STRING_MAP,
 )
 
-RELEASES = struct(
-    workspace_name=STRING,
-    group_name=STRING,
-    release_ms=LONG,
-    members=T.ArrayType(struct(table_name=STRING, version=LONG)),
-)
+MEMBERS = T.ArrayType(struct(table_name=STRING, version=LONG))
+
+RELEASES = struct(workspace_name=STRING, group_name=STRING, release_ms=LONG, members=MEMBERS)
 
 JOBS = struct(job_id=STRING, name=STRING, listing_pos=LONG)
 

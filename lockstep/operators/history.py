@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lockstep import scratch
+from lockstep.functions.pruning import since, until
 from lockstep.functions.times import at_millis, cutoff_like, micros
 from lockstep.model import GROUP_KEY
 from lockstep.operators.skew import BROADCAST_BYTES, BROADCAST_ROWS, list_size, sliced_join
@@ -52,11 +53,10 @@ def has_new_commits(groups: DataFrame, commits: DataFrame) -> DataFrame:
 
     The log is reduced to one row per table before it meets the groups, so a table
     with most of the commits costs no more than any other. Commits no newer than the least
-    ``last_ms`` are left at the scan; a group without one has nothing new by definition.
+    ``last_ms`` are left at the scan, and days before it are not opened; a group without one has nothing new by definition.
     """
-    least = groups.agg(F.min("last_ms")).first()[0]
-    if least is not None:
-        commits = commits.filter(F.col("ts") > cutoff_like(commits, "ts", least))
+    least = groups.agg(F.min("last_ms").alias("least")).scalar()
+    commits = since(commits, least).filter(F.col("ts") > cutoff_like(commits, "ts", least))
     members = groups.select(
         *GROUP_KEY, "last_ms", F.explode_outer("tables").alias("table_name")
     )
@@ -74,7 +74,7 @@ def as_of_time(commits: DataFrame, cutoff_ms: int, operation: str | None = None)
     The cutoff reaches the scan as a pushed filter and the rest is a single
     partially aggregated shuffle.
     """
-    eligible = commits.filter(F.col("ts") <= cutoff_like(commits, "ts", cutoff_ms))
+    eligible = until(commits, F.lit(cutoff_ms)).filter(F.col("ts") <= cutoff_like(commits, "ts", cutoff_ms))
     if operation is not None:
         eligible = eligible.filter(F.col("operation") == operation)
     return (
@@ -104,7 +104,8 @@ def as_of(
     where the history has nothing that early. Equal commit times resolve to the
     greatest version.
 
-    The distinct (table, cutoff) pairs are evaluated once, checkpointed and measured. With few
+    The distinct (table, cutoff) pairs are evaluated once, checkpointed and measured; days of the log after the
+    last cutoff are not opened. With few
     cutoffs per table they are broadcast while they are small, so that the log is aggregated
     where it lies; a longer list is joined by table, hot tables being spread over slices. Should
     a table have many cutoffs, see ``_as_of_sorted``.
@@ -112,6 +113,11 @@ def as_of(
     extras = extras or {}
     if operation is not None:
         commits = commits.filter(F.col("operation") == operation)
+    scratch.checkpoint_root(targets.sparkSession)
+    asked = targets.select("table_name", F.col(cutoff_col).alias("_cutoff")).distinct().checkpoint()
+    rows, nbytes, most, last = list_size(asked, "table_name", "_cutoff")
+    if last is not None:
+        commits = until(commits, F.lit(last))
     log = commits.select(
         "table_name",
         "ts",
@@ -119,10 +125,7 @@ def as_of(
         _rank("ts", "version").alias("_rank"),
         *[c.alias(name) for name, c in extras.items()],
     )
-    scratch.checkpoint_root(targets.sparkSession)
-    asked = targets.select("table_name", F.col(cutoff_col).alias("_cutoff")).distinct().checkpoint()
     best = [F.max("_rank").alias("_rank"), *[F.max_by(n, "_rank").alias(n) for n in extras]]
-    rows, nbytes, most = list_size(asked, "table_name")
     if most > MAX_CUTOFFS:
         found = _as_of_sorted(asked, log, list(extras))
     elif rows <= broadcast_rows and nbytes <= BROADCAST_BYTES:

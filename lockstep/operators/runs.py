@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lockstep.functions.pruning import since
 from lockstep.model import RUN_SUCCESS
 
 
@@ -23,6 +24,17 @@ def last_success(runs: DataFrame) -> DataFrame:
     )
 
 
+def recent(watermarks: DataFrame, runs: DataFrame) -> DataFrame:
+    """The runs that can matter to any watermark ``last_ms``: all, if there is a row without one.
+
+    The bound is a scalar subquery: it is pushed to the scan, and days before it are not opened.
+    """
+    unbounded = F.lit(-1).cast("bigint")
+    mark = F.when(F.count_if(F.col("last_ms").isNull()) == 0, F.min("last_ms")).otherwise(unbounded)
+    least = watermarks.agg(mark.alias("least")).scalar()
+    return since(runs, least).filter(F.col("end_time_ms") > least)
+
+
 def latest_success(watermarks: DataFrame, runs: DataFrame) -> DataFrame:
     """Add ``run_end_ms``: the latest successful end after ``last_ms``, else NULL.
 

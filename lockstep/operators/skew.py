@@ -21,13 +21,13 @@ def width(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, [s.cast("bigint") for s in sizes])
 
 
-def list_size(df: DataFrame, key: str) -> tuple[int, int, int]:
-    """Rows, bytes, and the most rows of one key of a list. Runs it once to find out."""
+def list_size(df: DataFrame, key: str, value: str) -> tuple[int, int, int, int | None]:
+    """Rows, bytes, the most rows of one key, and the highest value of a list. Runs it once to find out."""
     counted = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(width(df.columns)).alias("bytes")
+        F.count(F.lit(1)).alias("n"), F.sum(width(df.columns)).alias("bytes"), F.max(value).alias("top")
     )
-    seen = counted.agg(F.sum("n"), F.sum("bytes"), F.max("n")).first()
-    return tuple(value or 0 for value in seen)
+    rows, nbytes, most, top = counted.agg(F.sum("n"), F.sum("bytes"), F.max("n"), F.max("top")).first()
+    return rows or 0, nbytes or 0, most or 0, top
 
 
 def hot_keys(df: DataFrame, keys: list[str], slice_rows: int = 4_000_000) -> DataFrame:

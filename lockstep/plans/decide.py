@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 from lockstep.functions.times import elapsed_exceeds
 from lockstep.model import GROUP_KEY, SCHEDULE_TIME, THRESHOLD_TIME, WORKFLOW_TIME
 from lockstep.operators.history import as_of, group_tables, has_new_commits
-from lockstep.operators.runs import latest_success
+from lockstep.operators.runs import latest_success, recent
 
 # Reasons for leaving a group alone.
 NO_NEW_COMMITS = "skip:no_new_commits"
@@ -37,7 +37,7 @@ def decide(
     groups = state.join(intervals, "workspace_name").join(
         has_new_commits(state, commits), GROUP_KEY
     )
-    groups = latest_success(groups.withColumn("job_id", F.col("workflow_id")), runs)
+    groups = latest_success(groups.withColumn("job_id", F.col("workflow_id")), recent(state, runs))
 
     now, last = F.lit(now_ms).cast("bigint"), F.col("last_ms")
     first = last.isNull() | F.col("sync_status").isNull()

@@ -129,15 +129,10 @@ def _publish(spark: SparkSession, root: str, done: list[tuple], at_ms: int) -> D
     snapshots.commit(
         spark, root, [snapshots.clone_row(o[3], o[5], at_ms, *o[4:5], *o[6:9]) for o in done]
     )
-    releases.append(
-        copies.select(
-            *GROUP_KEY,
-            F.lit(at_ms).cast("bigint").alias("release_ms"),
-            "table_name",
-            F.col("dst_version").alias("version"),
-        ),
-        root,
-    )
+    groups: dict[tuple[str, str], list[tuple[str, int]]] = {}
+    for o in done:
+        groups.setdefault(o[:2], []).append((o[3], o[5]))
+    releases.append(spark, groups, root, at_ms)
     return copies
 
 

@@ -28,11 +28,12 @@ MOST_STEPS = 20
 
 def held_version(spark: SparkSession, root: str, table: str, version: int | None) -> int | None:
     """Which source version a copy holds (its latest version by default)."""
-    log = snapshots.commits(spark, root).filter(F.col("table_name") == table)
+    log = snapshots.commits_of(spark, root, table)
     if version is not None:
         log = log.filter(F.col("version") == version)
     held = F.when(F.col("operation") == CLONE, F.col("operation_parameters")["sourceVersion"].try_cast("bigint"))
-    return log.agg(F.max_by(held, "version")).first()[0]
+    row = log.select(held.alias("held"), "version").orderBy(F.desc("version")).first()
+    return row["held"] if row else None
 
 
 def between(

@@ -3,24 +3,22 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lockstep.functions.pruning import about
 from lockstep.model import GROUP_KEY, RELEASES
 from lockstep.sources import snapshots
-from lockstep.sources.logs import append_log, read_log
+from lockstep.sources.logs import append_dealt, read_dealt, small_frame
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
-    return read_log(spark, f"{root}/_releases", RELEASES)
+    """All releases of a root, kept by day and by group."""
+    return read_dealt(spark, f"{root}/_releases", RELEASES)
 
 
-def append(members: DataFrame, root: str) -> None:
-    """Release groups from rows of (group, release_ms, table_name, version).
-
-    The collected array is one group's declared tables.
-    """
-    rows = members.groupBy(*GROUP_KEY, "release_ms").agg(
-        F.array_sort(F.collect_list(F.struct("table_name", "version"))).alias("members")
-    )
-    append_log(rows.select(*RELEASES.names), f"{root}/_releases")
+def append(spark: SparkSession, groups: dict[tuple[str, str], list[tuple[str, int]]], root: str, at_ms: int) -> None:
+    """Release groups, each with the (table, version) pairs of its declared tables, at one time."""
+    rows = [(*key, at_ms, [{"table_name": t, "version": v} for t, v in sorted(of)]) for key, of in groups.items()]
+    log = small_frame(spark, rows, RELEASES)
+    append_dealt(log, f"{root}/_releases", F.col("release_ms"), F.col("group_name"))
 
 
 def latest(releases: DataFrame) -> DataFrame:
@@ -35,10 +33,9 @@ def read_group(
     spark: SparkSession, root: str, workspace_name: str, group_name: str
 ) -> dict[str, DataFrame]:
     """The tables of a group, all as of the same release."""
-    members = latest(load(spark, root)).filter(
-        (F.col("workspace_name") == workspace_name) & (F.col("group_name") == group_name)
-    )
+    ours = about(load(spark, root), "group_name", group_name).filter(F.col("workspace_name") == workspace_name)
+    newest = ours.select("release_ms", "members").orderBy(F.desc("release_ms")).first()
     return {
         m["table_name"]: snapshots.read_version(spark, root, m["table_name"], m["version"])
-        for m in members.collect()  # one group's tables
+        for m in (newest["members"] if newest else [])  # one group's tables
     }

@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lockstep.functions.names import split_name
+from lockstep.functions.pruning import about
 from lockstep.model import CLONE, COMMITS
 from lockstep.operators.changes import GONE, put
 from lockstep.operators.history import as_of_time
 from lockstep.operators.merge import newest, upsert, upsert_newest
 from lockstep.operators.reconcile import diff
-from lockstep.sources.logs import append_log, read_log, small_frame
+from lockstep.sources.logs import append_dealt, read_dealt, small_frame
 from lockstep.sources.paths import size, version_dir
 
 
@@ -38,7 +39,13 @@ def now_millis() -> int:
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
-    return read_log(spark, f"{root}/_commits", COMMITS)
+    """The commits of a root, kept by day and by table."""
+    return read_dealt(spark, f"{root}/_commits", COMMITS)
+
+
+def commits_of(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The commits of one table; other parts of the log are not read."""
+    return about(commits(spark, root), "table_name", table)
 
 
 def commit_row(
@@ -55,12 +62,13 @@ def commit_row(
 
 def commit(spark: SparkSession, root: str, rows: list[tuple]) -> None:
     """Make written versions visible, all rows in one append."""
-    append_log(small_frame(spark, rows, COMMITS), f"{root}/_commits")
+    log = small_frame(spark, rows, COMMITS)
+    append_dealt(log, f"{root}/_commits", F.unix_millis("ts"), F.col("table_name"))
 
 
 def latest_version(spark: SparkSession, root: str, table: str) -> int | None:
-    log = commits(spark, root).filter(F.col("table_name") == table)
-    return log.agg(F.max("version")).first()[0]
+    row = commits_of(spark, root, table).select("version").orderBy(F.desc("version")).first()
+    return row["version"] if row else None
 
 
 def next_version(spark: SparkSession, root: str, table: str) -> int:
@@ -98,16 +106,20 @@ def write_version(
 
 def layout_of(spark: SparkSession, root: str, table: str, version: int) -> dict:
     """Schema and partition columns of a committed version; empty where its commit names none."""
-    log = commits(spark, root).filter((F.col("table_name") == table) & (F.col("version") == version))
-    row = log.select(F.col("operation_parameters")[LAYOUT].alias(LAYOUT)).first()
-    return json.loads(row[LAYOUT]) if row and row[LAYOUT] else {}
+    rows = _commit_of(spark, root, table, version).select(F.col("operation_parameters")[LAYOUT].alias(LAYOUT)).collect()
+    return json.loads(rows[0][LAYOUT]) if rows and rows[0][LAYOUT] else {}
+
+
+def _commit_of(spark: SparkSession, root: str, table: str, version: int) -> DataFrame:
+    """The one commit of a version."""
+    return commits_of(spark, root, table).filter(F.col("version") == version)
 
 
 def row_count(spark: SparkSession, root: str, table: str, version: int) -> int | None:
     """Rows of a committed version as its commit counted them; None where it did not."""
-    log = commits(spark, root).filter((F.col("table_name") == table) & (F.col("version") == version))
-    row = log.select(F.col("operation_metrics")["numOutputRows"].try_cast("bigint").alias("n")).first()
-    return row["n"] if row else None
+    n = F.col("operation_metrics")["numOutputRows"].try_cast("bigint").alias("n")
+    rows = _commit_of(spark, root, table, version).select(n).collect()
+    return rows[0]["n"] if rows else None
 
 
 def version_size(spark: SparkSession, root: str, table: str, version: int) -> int:
@@ -124,10 +136,14 @@ def publish(
     parameters: dict[str, str] | None = None,
     partition_by: list[str] | None = None,
     sized: bool = True,
+    version: int | None = None,
 ) -> int:
-    """Replace a table's contents by a new version; older versions stay readable."""
+    """Replace a table's contents by a new version; older versions stay readable.
+
+    A caller that has just looked up the latest version, as the table's one writer, names the next one.
+    """
     spark = df.sparkSession
-    version = next_version(spark, root, table)
+    version = next_version(spark, root, table) if version is None else version
     rows, nbytes, layout = write_version(df, root, table, version, partition_by, sized)
     metrics = {"numOutputRows": str(rows)} | ({"numOutputBytes": str(nbytes)} if sized else {})
     at = now_millis() if at_ms is None else at_ms
@@ -143,7 +159,7 @@ def ensure(
     latest = latest_version(spark, root, table)
     if latest is not None:
         return latest
-    return publish(spark.createDataFrame([], schema), root, table, "CREATE", at_ms)
+    return publish(spark.createDataFrame([], schema), root, table, "CREATE", at_ms, version=0)
 
 
 def resolve(
@@ -154,14 +170,13 @@ def resolve(
     as_of_ms: int | None = None,
 ) -> int:
     """The version a read should use; an unknown version or time is an error."""
-    log = commits(spark, root).filter(F.col("table_name") == table)
     if version is not None:
-        found = None if log.filter(F.col("version") == version).isEmpty() else version
+        found = None if _commit_of(spark, root, table, version).isEmpty() else version
     elif as_of_ms is not None:
-        row = as_of_time(log, as_of_ms).first()
+        row = as_of_time(commits_of(spark, root, table), as_of_ms).first()
         found = row["version"] if row else None
     else:
-        found = log.agg(F.max("version")).first()[0]
+        found = latest_version(spark, root, table)
     if found is None:
         raise LookupError(f"no such version of {table} in {root}: {version=}, {as_of_ms=}")
     return found
@@ -328,4 +343,5 @@ def merge(
         result = newest(source, keys, sequence)
     else:
         result = upsert_newest(target, source, keys, sequence)
-    return publish(result, root, table, "MERGE", at_ms, parameters, parts)
+    version = 0 if previous is None else previous + 1
+    return publish(result, root, table, "MERGE", at_ms, parameters, parts, version=version)

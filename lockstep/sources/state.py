@@ -33,27 +33,31 @@ def create(spark: SparkSession, root: str, at_ms: int | None = None) -> int:
     return snapshots.ensure(spark, root, STATE_TABLE, STATE, at_ms)
 
 
-def _sent(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(STATE).parquet(version_dir(root, STATE_TABLE, create(spark, root)))
+def _sent(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """What the sender wrote, and its version."""
+    version = create(spark, root)
+    return spark.read.schema(STATE).parquet(version_dir(root, STATE_TABLE, version)), version
 
 
-def _received(spark: SparkSession, root: str) -> DataFrame:
+def _received(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
+    """What the receiver wrote, and its version; -1 before its first record."""
     version = snapshots.latest_version(spark, root, RECEIVED_TABLE)
     if version is None:
-        return spark.createDataFrame([], RECEIVED_ROWS)
-    return spark.read.schema(RECEIVED_ROWS).parquet(version_dir(root, RECEIVED_TABLE, version))
+        return spark.createDataFrame([], RECEIVED_ROWS), -1
+    return spark.read.schema(RECEIVED_ROWS).parquet(version_dir(root, RECEIVED_TABLE, version)), version
 
 
 def load(spark: SparkSession, root: str) -> DataFrame:
     """The control table as of now, created empty when absent."""
-    sent = _sent(spark, root).withColumn("declaration", _declaration())
-    return patch(sent, _received(spark, root), [*GROUP_KEY, "declaration"], checked=False)
+    sent = _sent(spark, root)[0].withColumn("declaration", _declaration())
+    return patch(sent, _received(spark, root)[0], [*GROUP_KEY, "declaration"], checked=False)
 
 
-def save(state: DataFrame, root: str, at_ms: int | None = None) -> int:
+def save(state: DataFrame, root: str, at_ms: int | None = None, version: int | None = None) -> int:
     """Publish new declarations and sender's records; what the receiver recorded stays."""
     columns = [F.col(f.name).cast(f.dataType) for f in STATE]
-    return snapshots.publish(state.select(*columns), root, STATE_TABLE, "MERGE", at_ms, sized=False)
+    rows = state.select(*columns)
+    return snapshots.publish(rows, root, STATE_TABLE, "MERGE", at_ms, sized=False, version=version)
 
 
 def record(patches: DataFrame, root: str, writer: str, checked: bool = True) -> None:
@@ -65,22 +69,23 @@ def record(patches: DataFrame, root: str, writer: str, checked: bool = True) ->
         require_unique(patches, GROUP_KEY)
     spark = patches.sparkSession
     if writer == "sender":
-        save(patch(_sent(spark, root), patches, checked=False), root)
+        sent, version = _sent(spark, root)
+        save(patch(sent, patches, checked=False), root, version=version + 1)
         return
-    known = _sent(spark, root).select(*GROUP_KEY, _declaration().alias("declaration"))
+    known = _sent(spark, root)[0].select(*GROUP_KEY, _declaration().alias("declaration"))
     new = patches.join(known, GROUP_KEY).select(
         *[
             (F.col(f.name) if f.name in [*patches.columns, "declaration"] else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in RECEIVED_ROWS
         ]
     )
-    old = _received(spark, root)
+    old, version = _received(spark, root)
     both = [*GROUP_KEY, "declaration"]
     values = [F.coalesce(F.col(f"new.{c}"), F.col(f"old.{c}")).alias(c) for c in RECEIVED]
     merged = new.alias("new").join(old.alias("old"), both, "left").select(*both, *values)
     rest = old.join(new, GROUP_KEY, "left_anti")
     rows = merged.select(*RECEIVED_ROWS.names).unionByName(rest.select(*RECEIVED_ROWS.names))
-    snapshots.publish(rows, root, RECEIVED_TABLE, "MERGE", sized=False)
+    snapshots.publish(rows, root, RECEIVED_TABLE, "MERGE", sized=False, version=version + 1)
 
 
 def register_view(spark: SparkSession, root: str, view: str = "sync_state") -> None:

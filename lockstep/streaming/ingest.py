@@ -56,10 +56,10 @@ def marker(batch: DataFrame, batch_id: int) -> dict[str, str]:
 
 def applied(spark: SparkSession, root: str, table: str, mark: dict[str, str]) -> bool:
     """Has this table already committed this batch?"""
-    log = snapshots.commits(spark, root)
+    log = snapshots.commits_of(spark, root, table)
     parameters = log["operation_parameters"]
     same = [parameters[key] == value for key, value in mark.items()]
-    return not log.filter((log["table_name"] == table) & same[0] & same[1]).isEmpty()
+    return not log.filter(same[0] & same[1]).isEmpty()
 
 
 def run_batches(

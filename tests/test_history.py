@@ -104,7 +104,7 @@ def test_as_of_extras_belong_to_the_chosen_commit(spark, monkeypatch, max_cutoff
 def test_many_cutoffs_of_one_table(spark):
     rows = [("hot", i, T0 + i * 60_000) for i in range(40)]
     asked = [("hot", T0 + i * 60_000) for i in range(40)]
-    assert list_size(targets(spark, asked), "table_name")[::2] == (40, 40)
+    assert list_size(targets(spark, asked), "table_name", "cutoff_ms")[::2] == (40, 40)
     assert as_of(spark, rows, asked) == {("hot", T0 + i * 60_000): i for i in range(40)}
 
 

@@ -193,6 +193,11 @@ def all_oracles() -> dict[str, str]:
             select m.workspace_name, m.group_name, coalesce(bool_or(c.ts_us > m.last_ms * 1000), false) as has_new
             from members m left join commits c on c.table_name = m.table_name
             group by m.workspace_name, m.group_name""",
+        "q_new_commits_stored": f"""with {_COMMITS}, {_STATE}
+            select m.workspace_name, m.group_name, coalesce(bool_or(
+                     c.ts_us > (1705276800000 + m.last_ms % 86400000) * 1000), false) as has_new
+            from members m left join commits c on c.table_name = m.table_name
+            group by m.workspace_name, m.group_name""",
         "q_latest_success": f"""with {_STATE}
             select cast(s.gid as varchar) as job_id, s.last_ms, max(epoch_us(e.ts) // 1000) as run_end_ms
             from state s left join events e

@@ -12,6 +12,7 @@ from lockstep.model import GROUP_KEY
 from lockstep.operators import generate, history, merge, reconcile, runs
 from lockstep.plans import decide, deliver, medallion, report, sync, validate
 from lockstep.sources import catalog, changesets, config, digests, files, releases, snapshots, state
+from lockstep.sources.logs import append_dealt
 from lockstep.streaming import ingest, upsert
 from workload import fixtures as fx
 
@@ -64,6 +65,15 @@ def q_new_commits_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return history.has_new_commits(groups, fx.commits(spark, sf))
 
 
+def q_new_commits_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over a stored log, of which only the days after the least watermark are opened."""
+    log, root = fx.commits(spark, sf), scratch.new_dir(spark, "log")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    append_dealt(log.withColumn("ts", F.col("ts").cast("timestamp")), f"{root}/_commits", ms, F.col("table_name"), small=False)
+    late = fx.state(spark, sf).withColumn("last_ms", F.lit(fx.CUTOFF_MS) + F.col("last_successful_run_time") % fx.DAY_MS)
+    return history.has_new_commits(late, snapshots.commits(spark, root))
+
+
 def q_latest_success(spark: SparkSession, sf: str) -> DataFrame:
     marks = fx.state(spark, sf).select(
         F.col("workflow_id").alias("job_id"), F.col("last_successful_run_time").alias("last_ms")
