@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -27,7 +28,7 @@ from lockstep.model import (
 )
 from lockstep.plans import decide, deliver, validate
 from lockstep.scratch import checkpoint_root
-from lockstep.sources import changesets, releases, snapshots, state
+from lockstep.sources import changesets, releases, snapshots, sqltables, state
 from lockstep.sources.logs import append_log, small_frame
 
 _OUTCOME = struct(
@@ -290,8 +291,8 @@ def receive(
 ) -> DataFrame:
     """Deliver every staged group and return one row per pending group.
 
-    Readers of the destination see a group change when its release row appears, or
-    its session views are repointed, after all of its tables have been written.
+    Readers of the destination see a group change when its release row appears, after all of its
+    tables have been written; with ``register`` SQL readers of the session's views do, too.
     """
     checkpoint_root(spark)
     started_ms = clock()
@@ -310,10 +311,13 @@ def receive(
         return rows, snapshots.version_size(spark, stage_root, table, version), layout
 
     def publish(done: list[tuple]) -> None:
+        if register:  # before the release, so that its row is all that changes what readers see
+            for o in done:
+                sqltables.add_version(spark, dst_root, o[3], o[5], json.loads(o[8]))
         copies = _publish(spark, dst_root, done, clock())
         if register:
-            for outcome in done:
-                snapshots.register(spark, dst_root, outcome[3], outcome[5])
+            for o in done:
+                sqltables.released_view(spark, dst_root, *o[:2], o[3], json.loads(o[8]))
         patches = _target_patches(copies, due, started_ms)
         retry(lambda: state.record(patches, stage_root, "receiver", checked=False), sleep=sleep)
 

@@ -29,13 +29,16 @@ def latest(releases: DataFrame) -> DataFrame:
     )
 
 
+def members(spark: SparkSession, root: str, workspace_name: str, group_name: str) -> dict[str, int]:
+    """Tables and versions of a group's latest release."""
+    ours = about(load(spark, root), "group_name", group_name).filter(F.col("workspace_name") == workspace_name)
+    newest = ours.select("release_ms", "members").orderBy(F.desc("release_ms")).first()
+    return {m["table_name"]: m["version"] for m in (newest["members"] if newest else [])}
+
+
 def read_group(
     spark: SparkSession, root: str, workspace_name: str, group_name: str
 ) -> dict[str, DataFrame]:
     """The tables of a group, all as of the same release."""
-    ours = about(load(spark, root), "group_name", group_name).filter(F.col("workspace_name") == workspace_name)
-    newest = ours.select("release_ms", "members").orderBy(F.desc("release_ms")).first()
-    return {
-        m["table_name"]: snapshots.read_version(spark, root, m["table_name"], m["version"])
-        for m in (newest["members"] if newest else [])  # one group's tables
-    }
+    found = members(spark, root, workspace_name, group_name)
+    return {table: snapshots.read_version(spark, root, table, version) for table, version in found.items()}

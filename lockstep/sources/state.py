@@ -22,15 +22,22 @@ RECEIVED_ROWS = struct(
 )
 
 
+# What a group declares.
+DECLARED = ["workflow_name", "tables", "validated"]
+
+
 def _declaration() -> Column:
     """Changes exactly when a group's run state is reset."""
-    names = ["workflow_name", "tables", "validated"]
-    return F.xxhash64(*[x for c in names for x in (F.isnull(c), F.col(c))])
+    return F.xxhash64(*[x for c in DECLARED for x in (F.isnull(c), F.col(c))])
 
 
 def create(spark: SparkSession, root: str, at_ms: int | None = None) -> int:
-    """Create an empty control table unless it exists."""
-    return snapshots.ensure(spark, root, STATE_TABLE, STATE, at_ms)
+    """Create an empty control table unless it exists; returns the version of what the sender wrote."""
+    version = snapshots.latest_version(spark, root, STATE_TABLE)
+    if version is not None:
+        return version
+    snapshots.ensure(spark, root, RECEIVED_TABLE, RECEIVED_ROWS, at_ms)
+    return snapshots.publish(spark.createDataFrame([], STATE), root, STATE_TABLE, "CREATE", at_ms, version=0)
 
 
 def _sent(spark: SparkSession, root: str) -> tuple[DataFrame, int]:

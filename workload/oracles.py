@@ -398,6 +398,26 @@ def all_oracles() -> dict[str, str]:
             union all select 'lake.sales.lines', count(*), cast(sum(l_orderkey) as bigint)
             from lineitem where l_shipdate < '1998-01-01'
             union all select 'lake.crm.customer', count(*), cast(sum(c_custkey) as bigint) from customer""",
+        "q_group_switch": """with seen(moment, early) as (values ('released', true), ('between', true), ('switched', false))
+            select moment, 'lake.sales.orders' as table_name, count(*) as row_count,
+                   cast(sum(o_orderkey) as bigint) as key_sum
+            from seen, orders where not early or o_orderdate < '1998-01-01' group by moment
+            union all select moment, 'lake.sales.lines', count(*), cast(sum(l_orderkey) as bigint)
+            from seen, lineitem where not early or l_shipdate < '1998-01-01' group by moment""",
+        "q_sql_time_travel": """select 'at' as asked, o_orderstatus, count(*) as n from orders
+              where o_orderdate < '1996-01-01' group by o_orderstatus
+            union all select 'as_of', o_orderstatus, count(*) from orders
+              where o_orderdate < '1998-01-01' group by o_orderstatus
+            union all select 'gained', o_orderstatus, count(*) from orders
+              where o_orderdate >= '1998-01-01' and o_orderdate < '2100-01-01' group by o_orderstatus
+            union all select 'before', '-', 0""",
+        "q_sql_state": f"""with {_DECLARED.replace("where c_acctbal < 6000", "")},
+            held as (
+              select workspace_name, group_name, workflow_name, tables,
+                     case when validated then 1706745600000 else last_ms + 2 end as sync_time_in_region from old)
+            select * from held
+            union all select 'one', group_name, workflow_name, tables, sync_time_in_region
+            from held where group_name = 'Customer#000000001'""",
         "q_group_sync_report": """select * from (values
               ('sales', 'lake.sales.orders', 'workflow_time', 0::bigint, 0::bigint, 'Synced'),
               ('sales', 'lake.sales.lines', 'workflow_time', 0, 0, 'Synced'),

@@ -11,7 +11,7 @@ from lockstep.functions.names import qualify
 from lockstep.model import GROUP_KEY
 from lockstep.operators import generate, history, merge, reconcile, runs
 from lockstep.plans import decide, deliver, medallion, report, sync, validate
-from lockstep.sources import catalog, changesets, config, digests, files, releases, snapshots, state
+from lockstep.sources import catalog, changesets, config, digests, files, releases, snapshots, sqltables, state
 from lockstep.sources.logs import append_dealt
 from lockstep.streaming import ingest, upsert
 from workload import fixtures as fx
@@ -521,6 +521,75 @@ def q_group_sync(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def q_group_switch(spark: SparkSession, sf: str) -> DataFrame:
+    """What SQL reads of a group released once, with newer versions written, and after its next release."""
+    root, early = scratch.new_dir(spark, "switch"), "timestamp_ntz'1998-01-01'"
+    sides = {
+        "lake.sales.orders": (fx.table(spark, sf, "orders"), "o_orderdate", "o_orderkey"),
+        "lake.sales.lines": (fx.table(spark, sf, "lineitem"), "l_shipdate", "l_orderkey"),
+    }
+
+    def write(condition: str) -> None:
+        for name, (df, day, _) in sides.items():
+            version = snapshots.publish(df.filter(condition.format(day)), root, name)
+            sqltables.add_version(spark, root, name, version, snapshots.layout_of(spark, root, name, version))
+
+    def release(version: int) -> None:
+        members = [(name, version) for name in sides]
+        releases.append(spark, {("ws", "sales"): members}, root, fx.NOW_MS + version)
+
+    def seen(moment: str) -> DataFrame:
+        parts = [
+            f"SELECT '{moment}' AS moment, '{name}' AS table_name, count(*) AS row_count, sum({key}) AS key_sum "
+            f"FROM {name.replace('.', '__', 1)}"
+            for name, (_, _, key) in sides.items()
+        ]
+        return spark.sql(" UNION ALL ".join(parts)).checkpoint()
+
+    write(f"{{}} < {early}")
+    release(0)
+    sqltables.register_group(spark, root, "ws", "sales")
+    first = seen("released")
+    write("true")
+    between = seen("between")
+    release(1)
+    return first.unionByName(between).unionByName(seen("switched"))
+
+
+def q_sql_time_travel(spark: SparkSession, sf: str) -> DataFrame:
+    """A table at a version, at a time and before its first commit, in SQL text alone."""
+    root, name = scratch.new_dir(spark, "travel"), "lake.past.orders"
+    orders = _orders(spark, sf)
+    for n, year in enumerate((1996, 1998, 2100)):
+        rows = orders.filter(f"o_orderdate < timestamp_ntz'{year}-01-01'")
+        snapshots.publish(rows, root, name, at_ms=fx.CUTOFF_MS + n * fx.DAY_MS)
+    sqltables.register_time_travel(spark, root, name)
+    half = fx.DAY_MS // 2
+    return spark.sql(f"""
+        SELECT 'at' AS asked, o_orderstatus, count(*) AS n FROM lake__past__orders_at(0) GROUP BY o_orderstatus
+        UNION ALL SELECT 'as_of', o_orderstatus, count(*)
+        FROM lake__past__orders_as_of({fx.CUTOFF_MS + fx.DAY_MS + half}) GROUP BY o_orderstatus
+        UNION ALL SELECT 'gained', n.o_orderstatus, count(*) FROM lake__past__orders_at(2) n
+        LEFT ANTI JOIN lake__past__orders_at(1) o ON n.o_orderkey = o.o_orderkey GROUP BY n.o_orderstatus
+        UNION ALL SELECT 'before', '-', count(*) FROM lake__past__orders_as_of({fx.CUTOFF_MS - 1})""")
+
+
+def q_sql_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The control table, after the receiver recorded deliveries, and one group of it, in SQL text alone."""
+    root = scratch.new_dir(spark, "control")
+    control = fx.declared_state(spark, sf, "true")
+    state.save(control, root)
+    times = control.filter("validated").select(*GROUP_KEY, F.lit(fx.NOW_MS).alias("sync_time_in_region"))
+    state.record(times, root, "receiver")
+    sqltables.register_state(spark, root)
+    return spark.sql("""
+        SELECT workspace_name, group_name, workflow_name, array_join(tables, ',') AS tables, sync_time_in_region
+        FROM sync__meta.state
+        UNION ALL SELECT 'one', group_name, workflow_name, array_join(tables, ','), sync_time_in_region
+        FROM sync__meta__group_state((SELECT min(workspace_name) FROM sync__meta.state WHERE group_name = 'Customer#000000001'),
+                                     'Customer#000000001')""")
+
+
 def q_group_sync_report(spark: SparkSession, sf: str) -> DataFrame:
     """The report after a full run: versions agree and every table is synced."""
     _, stage, _ = _group_roots(spark, sf)
