@@ -1,10 +1,14 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped to lines, one per block, and elements that never belong to an article go with
-what they contain. The lengths of the remaining text, links not counted, are summed over sliding
-windows of lines. Where the sum surges an article begins, where it dives to nothing it ends; what
-lies between is kept. Where it never surges, the run of lines with the most text is kept, if that is
-more than a word. On a page that marks its article, all lines in it are kept and no others.
+what they contain. The lengths of the remaining text, links outside headings not counted, are summed over sliding
+windows of lines. Where the sum surges above SURGE an article begins, with the shorter lines that lead up to it;
+where it dives to nothing it ends; what lies between is kept. After the first surge half of it is enough. Where the sum never surges, the run of lines
+with the most text is kept. Marked articles weigh: where <article> and <main> hold at least a quarter of the text, their lines weigh
+MARKED more, whatever they hold, and lines outside weigh nothing.
+
+A page is cut into tags once. End tags are paired by a stack for each name, and how much text an element holds is
+the difference of two prefix sums, so time is linear in the page.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from lockstep.llm.common import table
 
 THICKNESS = 3
 SURGE = 86
+MARKED, SHARE = SURGE + 1, 0.25
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -30,6 +35,7 @@ _TAG = re.compile(
 _HINTED = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "xmp", "iframe", "noembed"}
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _DROPPED = _RAW | {
     "head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "option",
     "svg", "math", "object", "canvas", "audio", "video", "map", "fieldset", "label", "input",
@@ -43,9 +49,12 @@ _INLINE = {
     "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
 _MARKS = {"article", "main"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Words of a class, id or role that name what is not the article; a name counts if the others
 # in it say only where or what kind of box it is, so not in has-sidebar or search-results.
-_COMMENT = re.compile(r"comments?|disqus|repl(?:y|ies)|respond", re.I)
+_COMMENT = re.compile(
+    r"comments?|disqus|repl(?:y|ies)|respond|responses?|discussions?|reactions?|talkback|guestbook", re.I
+)
 _HINT = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|"
     r"sidebar|menu|nav|navigation|navbar|breadcrumbs?|footer|siteheader|masthead|social|share|sharing|related|"
@@ -89,108 +98,126 @@ def _doubtful(tag: str, attributes: str) -> bool:
     return any(_tells(name, _HINT) for name in _names(attributes))
 
 
-def _holds_main(page: str, at: int, end: int, total: int) -> bool:
-    """Does a part of the page hold a marked article, or on a page without one half of the text?"""
-    inside = lines(page[at:end], False)
-    return any(m for *_, m in inside) or total >= 0 and 2 * sum(length for _, length, _ in inside) > total
-
-
-def lines(page: str, doubt: bool = True) -> list[tuple[str, int, bool]]:
-    """Text, length without links and whether it lies in a marked article, for each block.
-
-    Without doubt, elements stay that only their names speak against, comments apart.
-    """
-    out: list[tuple[str, int, bool]] = []
-    parts: list[str] = []
-    links = marks = in_link = 0
-    total = None  # text without links on a page that marks no article, else -1
-    at, end = 0, len(page)
-
-    def flush():
-        nonlocal links
-        text = " ".join(html.unescape("".join(parts)).split())
-        if text:
-            out.append((text, max(len(text) - links, 0), marks > 0))
-        parts.clear()
-        links = 0
-
-    while at < end:
-        found = _TAG.search(page, at)
-        if found is None:
-            parts.append(page[at:])
-            break
-        if found.start() > at:
-            parts.append(page[at : found.start()])
-            links += (found.start() - at) if in_link else 0
-        at = found.end()
-        closing, tag, attributes = found[1], (found[2] or "").lower(), found[3] or ""
-        if not tag:
-            continue
-        if not closing and tag not in _VOID and _unwanted(tag, attributes, marks > 0):
-            if tag not in _INLINE:
-                flush()
-            at = _beyond(page, at, tag)
-            continue
-        if doubt and not closing and tag not in _VOID and _doubtful(tag, attributes):
-            if total is None:
-                whole = lines(page, False)
-                total = -1 if any(m for *_, m in whole) else sum(length for _, length, _ in whole)
-            beyond = _beyond(page, at, tag)
-            if not _holds_main(page, at, beyond, total):
-                if tag not in _INLINE:
-                    flush()
-                at = beyond
+class _Page:
+    """A page's tags in order, the end of each element, and how much text lies before each tag."""
+
+    def __init__(self, page: str):
+        self.page = page
+        # Start, end, whether it closes, name, attributes; raw text is part of the tag that opens it.
+        self.tags: list[tuple[int, int, bool, str, str]] = []
+        self.ends: list[int] = []
+        open_: dict[str, list[int]] = {}
+        at = 0
+        while found := _TAG.search(page, at):
+            at = found.end()
+            closing, tag, attributes = bool(found[1]), (found[2] or "").lower(), found[3] or ""
+            if tag in _RAW and not closing:
+                end = _END[tag].search(page, at)
+                at = end.end() if end else len(page)
+            k = len(self.tags)
+            self.tags.append((found.start(), at, closing, tag, attributes))
+            self.ends.append(k)
+            if closing and open_.get(tag):
+                self.ends[open_[tag].pop()] = k
+            elif not closing and tag and tag not in _VOID:
+                open_.setdefault(tag, []).append(k)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Sums: of the text up to each tag (one further on), without links and in all, and of marked elements."""
+        self.text, self.all, marks = [0], [0], [0]
+        for _, piece, linked, _ in self._pieces(lambda k: False):
+            size = len(piece.strip()) if piece else 0
+            self.text.append(self.text[-1] + (0 if linked else size))
+            self.all.append(self.all[-1] + size)
+        for k, (_, _, closing, tag, _) in enumerate(self.tags):
+            held = tag in _MARKS and not closing and self.all[self.ends[k] + 1] > self.all[k + 1]
+            marks.append(marks[-1] + held)
+        self.marks = marks
+
+    def _pieces(self, goes):
+        """Number of each tag (and one past the last), the text before it, whether that is a link's, whether it is
+        in a marked element; a dropped element has no text. goes: of doubtful elements, by number."""
+        marks, linked, heading, skip, at = 0, False, 0, -1, 0
+        for k, (start, end, closing, tag, attributes) in enumerate(self.tags):
+            if k <= skip:
+                at = end
+                yield k, "", False, marks > 0
                 continue
-        if tag == "a":
-            in_link = 0 if closing else 1
-        elif tag not in _INLINE:
-            flush()
-        if tag in _MARKS:
-            marks = max(marks - 1, 0) if closing else marks + 1
-    flush()
-    return out
-
-
-def _beyond(page: str, at: int, tag: str) -> int:
-    """The place after an element's end tag; an element that is never closed ends at once,
-    unless nothing but raw text can follow."""
-    if tag in _RAW:
-        found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-        return found.end() if found else len(page)
-    depth = 1
-    for found in _TAG.finditer(page, at):
-        if (found[2] or "").lower() == tag:
-            depth += -1 if found[1] else 1
-            if not depth:
-                return found.end()
-    return at
+            yield k, self.page[at:start], linked and not heading, marks > 0
+            at = end
+            if not closing and tag not in _VOID and tag:
+                if _unwanted(tag, attributes, marks > 0) or _doubtful(tag, attributes) and goes(k):
+                    skip = self.ends[k]
+                    continue
+            if tag == "a":
+                linked = not closing
+            elif tag in _HEADINGS:
+                heading = max(heading - 1, 0) if closing else heading + 1
+            elif tag in _MARKS:
+                marks = max(marks - 1, 0) if closing else marks + 1
+        yield len(self.tags), self.page[at:], linked and not heading, marks > 0
+
+    def _holds_main(self, k: int) -> bool:
+        """Does an element hold a marked one, or on a page without one half of the text?"""
+        end = self.ends[k]
+        if self.marks[-1]:
+            return self.marks[end] > self.marks[k + 1]
+        return 2 * (self.text[end + 1] - self.text[k + 1]) > self.text[-1]
+
+    def lines(self) -> list[tuple[str, int, bool]]:
+        """Text, length without links and whether it lies in a marked element, for each block."""
+        out: list[tuple[str, int, bool]] = []
+        parts: list[str] = []
+        links, inside = 0, False
+        for k, piece, linked, marked in self._pieces(lambda k: not self._holds_main(k)):
+            if piece:
+                parts.append(piece)
+                links += len(piece) if linked else 0
+                inside = inside or marked and not piece.isspace()
+            if k == len(self.tags) or self.tags[k][3] and self.tags[k][3] not in _INLINE:
+                text = " ".join(html.unescape("".join(parts)).split())
+                if text:
+                    out.append((text, max(len(text) - links, 0), inside))
+                parts, links, inside = [], 0, False
+        return out
+
+
+def lines(page: str) -> list[tuple[str, int, bool]]:
+    """Text, length without links and whether it lies in a marked element, for each block that stays."""
+    return _Page(page).lines()
 
 
 def main_text(page: str | None) -> str:
     """Blocks between surge and dive, joined by a space; empty for none."""
     found = lines(page or "")
-    if not found:
-        return ""
-    if any(inside for _, _, inside in found):
-        return " ".join(text for text, _, inside in found if inside)
-    weight = np.array([length for _, length, _ in found])
-    padded = np.concatenate([weight, np.zeros(THICKNESS - 1, int)])
-    sums = np.convolve(padded, np.ones(THICKNESS, int), "valid")
-    kept = _runs(found, weight, sums, SURGE)
+    weight = np.array([length for _, length, _ in found], np.int64)
+    inside = np.array([marked for *_, marked in found], bool)
+    size = np.array([len(text) for text, *_ in found], np.int64)
+    if inside.any() and size[inside].sum() >= SHARE * size.sum():
+        weight = np.where(inside, weight + MARKED, 0)
+    elif not weight.any():
+        weight = size
+    padded = np.concatenate([weight, np.zeros(THICKNESS - 1, np.int64)])
+    sums = np.convolve(padded, np.ones(THICKNESS, np.int64), "valid")
+    kept = _runs(weight, sums, SURGE)
     if not kept:
-        runs = _runs(found, weight, sums, 0)
-        most = max(runs, key=lambda run: weight[run].sum(), default=[])
-        kept = [most] if sum(len(found[k][0].split()) for k in most) > 1 else []
+        runs = _runs(weight, sums, 0)
+        kept = [max(runs, key=lambda run: weight[run].sum())] if runs else []
     return " ".join(found[k][0] for run in kept for k in run)
 
 
-def _runs(found: list, weight: np.ndarray, sums: np.ndarray, surge: int) -> list[list[int]]:
-    """The numbers of the blocks from each surge to the dive after it."""
-    out, open_ = [], False
-    for k in range(len(found)):
-        if not open_ and sums[k] > surge and weight[k]:
+def _runs(weight: np.ndarray, sums: np.ndarray, surge: int) -> list[list[int]]:
+    """The numbers of the blocks from each surge, with the shorter ones that lead up to it, to the dive after it."""
+    out: list[list[int]] = []
+    open_ = False
+    for k in range(len(weight)):
+        if not open_ and sums[k] > (surge / 2 if out else surge) and weight[k]:
             open_ = True
-            out.append([])
+            before = k
+            while before and weight[before - 1] and not (out and out[-1][-1] >= before - 1):
+                before -= 1
+            out.append(list(range(before, k)))
         elif open_ and not sums[k]:
             open_ = False
         if open_:

@@ -2,11 +2,13 @@
 
 import html
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +174,49 @@ def test_main_text_of_pages(spark):
         assert (r.text, r.n_chars) == (text, len(text))
 
 
+def test_the_distribution_alone_finds_every_article():
+    pages = marked_pages()
+    for page, text in pages:
+        assert extraction.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) == text
+
+
+def marked_pages():
+    out = []
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        inside = re.search("<article>(.*)</article>", page, re.S)[1]
+        out.append((page, " ".join(html.unescape(re.sub("<[^>]*>", " ", inside)).split())))
+    return out
+
+
+LONG = "many words of a long article. " * 12
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div><p>{LONG}</p></div><ul><li><a href=1>a</a><li><a href=2>b</a><li><a href=3>c</a></ul>"
+         "<article class=card>a teaser of some other thing</article>", LONG),
+        (f"<h2><a href=x>A linked heading</a></h2><p>{LONG}</p>", f"A linked heading {LONG}"),
+        (f"<p>{LONG}</p><p><a href=1>one</a><p><a href=2>two</a><p><a href=3>three</a><p>{'closing words ' * 5}", f"{LONG} {'closing words ' * 5}"),
+        (f"<p>{LONG}</p><div class=responses><p>{'nice ' * 60}</div>", LONG),
+        (f"<p>{LONG}</p><section id=discussion><p>{'nice ' * 60}</section>", LONG),
+        ("<p>x</p>", "x"), ("x", "x"), ("<a href=x>only</a>", "only"), ("<a href=x>", ""), ("", ""), (None, ""),
+        (f"<article><p>{LONG}<p><a href=x>all linked</a></article><p>{'outside it ' * 9}", f"{LONG} all linked"),
+    ],
+)
+def test_awkward_pages(page, want):
+    got = extraction.main_text(page)
+    links = [x for x in ("one", "two", "three", "a", "b", "c") if f">{x}</a>" in (page or "")]
+    assert " ".join(w for w in got.split() if w not in links or w in want.split()) == " ".join(want.split())
+
+
+@pytest.mark.parametrize("tag", ["<nav>", "<div class=widget>", '<a b="', "<div>x", "<script>", "<!--", "<article>", "</div>", "<p class='x"])
+def test_time_is_linear_in_hostile_pages(tag):
+    began = time.perf_counter()
+    extraction.main_text(tag * 8000)
+    assert time.perf_counter() - began < 2
+
+
 def test_main_text_of_other_markup(spark):
     body = "<p>" + "many words here " * 12 + "</p><p>few</p><p>" + "and more of them " * 12 + "</p>"
     page = (
@@ -180,10 +225,10 @@ def test_main_text_of_other_markup(spark):
         f"<form>{'name ' * 40}</form><footer>end</footer><script>if (a < b) {{}}</script>"
     )
     text = " ".join(re.sub("<[^>]*>", " ", body).split())
-    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>x"), (1, "u", page)]
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "<p>x</p>"), (1, "u", page)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = [(r.page_id, r.text, r.n_chars) for r in extraction.extract(pages).collect()]
-    assert got == [(1, text, len(text)), (2, "", 0), (3, "", 0), (None, "", 0), (1, text, len(text))]
+    assert got == [(1, text, len(text)), (2, "", 0), (3, "", 0), (None, "x", 1), (1, text, len(text))]
     assert extraction.extract(pages.limit(0)).collect() == []
 
 
