@@ -4,8 +4,8 @@ Markup is stripped to lines, one per block, and elements that never belong to an
 what they contain. The lengths of the remaining text, links outside headings not counted, are summed over sliding
 windows of lines. Where the sum surges above SURGE an article begins, with the shorter lines that lead up to it;
 where it dives to nothing it ends; what lies between is kept. After the first surge half of it is enough. Where the sum never surges, the run of lines
-with the most text is kept. Marked articles weigh: where <article> and <main> hold at least a quarter of the text, their lines weigh
-MARKED more, whatever they hold, and lines outside weigh nothing.
+with the most text is kept. Marks weigh: on a page with <main>, or where <article> holds at least a quarter of the text,
+marked lines weigh MARKED more, whatever they hold, and lines outside weigh nothing.
 
 A page is cut into tags once. End tags are paired by a stack for each name, and how much text an element holds is
 the difference of two prefix sums, so time is linear in the page.
@@ -26,6 +26,8 @@ from lockstep.llm.common import table
 THICKNESS = 3
 SURGE = 86
 MARKED, SHARE = SURGE + 1, 0.25
+# Shares of a page's text that an element with a doubtful name has to hold to stay.
+HALF, WHOLE = 0.5, 0.95
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
@@ -62,6 +64,12 @@ _HINT = re.compile(
     r"search|skip|complementary|contentinfo",
     re.I,
 )
+# Names of things that are never an article, however long; the other hints also name parts of a layout.
+_SELLS = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|social|share|sharing|related|"
+    r"recommend\w*|newsletter|subscribe|popup|login|signup",
+    re.I,
+)
 _BOX = re.compile(
     r"site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|header|area|box|bar|block|list|items?|"
     r"links?|buttons?|icons?|container|wrapper|wrap|section|panel|inner|outer|body|form|thread|title|posts?|"
@@ -70,6 +78,9 @@ _BOX = re.compile(
 )
 
 
+_MAIN = re.compile(r"<main[\s>/]", re.I)
+
+
 def _tells(name: str, hint: re.Pattern) -> bool:
     parts = re.split("[_-]+", re.sub("(?i)(side)-(?=bar)|(site)-(?=header)", r"\1\2", name))
     known = all(_COMMENT.fullmatch(x) or _HINT.fullmatch(x) or _BOX.fullmatch(x) for x in parts)
@@ -159,11 +170,12 @@ class _Page:
         yield len(self.tags), self.page[at:], linked and not heading, marks > 0
 
     def _holds_main(self, k: int) -> bool:
-        """Does an element hold a marked one, or on a page without one half of the text?"""
+        """Does an element hold a marked one, or on a page without one half of the text, if its name sells something all?"""
         end = self.ends[k]
         if self.marks[-1]:
             return self.marks[end] > self.marks[k + 1]
-        return 2 * (self.text[end + 1] - self.text[k + 1]) > self.text[-1]
+        sells = any(_tells(name, _SELLS) for name in _names(self.tags[k][4]))
+        return self.text[end + 1] - self.text[k + 1] > (WHOLE if sells else HALF) * self.text[-1]
 
     def lines(self) -> list[tuple[str, int, bool]]:
         """Text, length without links and whether it lies in a marked element, for each block."""
@@ -194,7 +206,7 @@ def main_text(page: str | None) -> str:
     weight = np.array([length for _, length, _ in found], np.int64)
     inside = np.array([marked for *_, marked in found], bool)
     size = np.array([len(text) for text, *_ in found], np.int64)
-    if inside.any() and size[inside].sum() >= SHARE * size.sum():
+    if inside.any() and (_MAIN.search(page) or size[inside].sum() >= SHARE * size.sum()):
         weight = np.where(inside, weight + MARKED, 0)
     elif not weight.any():
         weight = size
