@@ -9,7 +9,8 @@ also by whether the item's answer, its last sentence, is found.
 
 A second way to the same check is exact, whatever lies outside the leading directions. A leak lacks at
 most n - PARAPHRASE n of an item's n tokens, so it holds one of any n - PARAPHRASE n + 1 of them, the rarest too. Every
-token of a text that is among these is looked at, with all spans around it.
+token of a text that is among these is looked at, with all spans around it: of any place that may hold a
+leak every span of the item's width is tried.
 """
 
 from __future__ import annotations
@@ -30,9 +31,8 @@ RANK, EXTRA = 64, 8
 COSINE = 0.45
 # Words in more than this share of all blocks tell little; of each item the RAREST stay even so.
 MOST_COMMON, RAREST = 0.005, 8
-# Share of a piece's weight, then of an item's tokens, that has to be near before the item's
-# subsequence is computed.
-SHARED, OVERLAP = 0.3, 0.5
+# Share of a piece's weight that has to be near before the item's subsequence is computed.
+SHARED = 0.3
 VERBATIM, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 # A span of this many times an item's length is searched for it.
 STRETCH, SLACK = 1.3, 4
@@ -310,22 +310,30 @@ def _directions(text: DataFrame, shared, rank: int) -> np.ndarray:
 
 
 def _verified(bench: Benchmark, item: Item, near: np.ndarray) -> tuple[int, bool] | None:
-    """Common subsequence and whether the answer is there, in the densest span of the tokens near."""
+    """The longest common subsequence of any span of the tokens near that passes, and whether the answer is there.
+
+    Every span of the item's width is considered. One that begins with a token of the item stands for those that
+    begin before it, and a span can't beat the best one if it holds no more of the item's tokens.
+    """
     tokens = near.tolist()
     held = np.array([t in item.words for t in tokens], np.int64)
-    width = item.width
     total = np.concatenate([[0], np.cumsum(held)])
-    last = max(len(tokens) - width, 0)
-    dense = total[np.minimum(np.arange(last + 1) + width, len(tokens))] - total[: last + 1]
-    lo = int(dense.argmax())
-    if dense[lo] < OVERLAP * len(item.tokens):
-        return None
-    span = tokens[lo : lo + width]
-    n = common_subsequence(item.masks, len(item.tokens), span)
-    answer = common_subsequence(item.answer_masks, len(item.answer), span) >= ANSWER * len(item.answer)
-    if n >= VERBATIM * len(item.tokens) or n >= PARAPHRASE * len(item.tokens) and answer:
-        return n, answer
-    return None
+    starts = np.flatnonzero(held)
+    dense = total[np.minimum(starts + item.width, len(tokens))] - total[starts]
+    best: tuple[int, bool] | None = None
+    for lo, most in zip(starts[dense >= item.least].tolist(), dense[dense >= item.least].tolist(), strict=True):
+        if best and most <= best[0]:
+            continue
+        span = tokens[lo : lo + item.width]
+        n = common_subsequence(item.masks, len(item.tokens), span)
+        if n < item.least or best and n <= best[0]:
+            continue
+        answer = common_subsequence(item.answer_masks, len(item.answer), span) >= ANSWER * len(item.answer)
+        if answer or n >= VERBATIM * len(item.tokens):
+            best = n, answer
+            if n == len(item.tokens):
+                break
+    return best
 
 
 def _found(bench: Benchmark, texts: pa.Array):

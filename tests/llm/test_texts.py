@@ -144,12 +144,62 @@ def test_leaks_outside_the_latent_directions_are_found():
     assert got == [(row, row % 12) for row in range(24)]
 
 
-def test_every_place_with_an_item_word_for_word_is_found(spark):
-    docs = table(spark, "/root/testdata/sf0.1", "documents")
-    hard = {1382: 174, 4484: 94, 5005: 71, 7405: 193, 8785: 28, 9095: 28, 9855: 67}
-    got = decontamination.leaks(docs, table(spark, "/root/testdata/sf0.1", "benchmark"))
-    got = {(r.doc_id, r.item_id) for r in got.where(F.col("doc_id").isin(list(hard))).collect()}
-    assert set(hard.items()) <= got
+def leaks_brute(texts, items):
+    """Every (text, item) with a span of the item's width that passes; spans are tried from every token."""
+    out = set()
+    for i, text in texts.items():
+        tokens = decontamination._of_text(text).tolist()
+        for j, raw in items.items():
+            item = decontamination.Item(j, raw)
+            n = len(item.tokens)
+            if len(set(tokens) & item.words) < 0.5 * len(item.words):
+                continue
+            for lo in range(len(tokens)):
+                span = tokens[lo : lo + item.width]
+                common = subsequence(item.tokens, span)
+                if common >= 0.8 * n or common >= 0.6 * n and subsequence(item.answer, span) >= 0.8 * len(item.answer):
+                    out.add((i, j))
+                    break
+    return out
+
+
+def subsequence(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = best[:]
+        for k, y in enumerate(b):
+            best[k + 1] = before[k] + 1 if x == y else max(before[k + 1], best[k])
+    return best[-1]
+
+
+def planted(items, draw):
+    """Items word for word and in other words, alone and beside the same words in another order."""
+    texts, k = {}, 0
+    for j, raw in items.items():
+        body, _, answer = raw.rpartition(". ")
+        changed = [w if draw.random_sample() > 0.3 else f"other{n}" for n, w in enumerate(body.split())]
+        changed = " ".join([*changed, answer])
+        mixed = " ".join(draw.permutation(raw.split()))
+        for text in (raw, changed, f"{mixed} {changed}", f"{changed} {mixed}", f"{mixed} {changed} {mixed}", mixed):
+            texts[k] = f"{prose(k, 40)} {text} {prose(k + 9000, 40)}"
+            k += 1
+    return texts
+
+
+@pytest.mark.parametrize("latent", [True, False])
+def test_every_leak_by_the_rule_is_found(latent):
+    draw = np.random.RandomState(3)
+    items = {j: f"{prose(500 + j, 22)} q{j}. {prose(700 + j, 4)} a{j}." for j in range(8)}
+    texts = planted(items, draw)
+    expected = leaks_brute(texts, items)
+    assert len(expected) > 4 * len(items)
+    bench = decontamination.Benchmark(sorted(items.items()))
+    bench.weigh(np.arange(len(bench.vocabulary)) % 7 + 1, 1000)
+    size = len(bench.vocabulary)
+    bench.direct(np.eye(size) if latent else np.zeros((size, 1)))  # close to its own words, or to nothing
+    column = pa.array([texts[k] for k in sorted(texts)])
+    got = {(row, item.item_id) for row, item, *_ in decontamination._found(bench, column)}
+    assert got == expected
 
 
 def test_common_subsequence():
