@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lockstep.scratch import checkpoint_root
+
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -19,16 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """The same rows from the shared checkpoint folder, with their lineage cut.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a local one is
-    made only where none is set, as in tests.
+    The folder is the one that the cluster names in spark.checkpoint.dir; where none is set, a local
+    master gets a temporary one and a cluster an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="llm-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or checkpoint_root(df.sparkSession))
     return df.checkpoint()
 
 
+def shielded(docs: DataFrame, used: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns renamed but those used, so that none clashes with one that an operator adds,
+    and the way back for a result with the same columns."""
+    names = docs.columns
+    safe = docs.toDF(*[name if name in used else f"__other{k}" for k, name in enumerate(names)])
+    return safe, lambda result: result.toDF(*names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import WORD, as_key, hexdraw, hexdraw_sql, settle, small, table
+from lockstep.llm.common import WORD, as_key, hexdraw, hexdraw_sql, settle, shielded, small, table
 
 MOST = 3
 WEIGHTS = (5, 2, 1)
@@ -118,14 +118,16 @@ def take(light: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source, text and any others) with each row as often as its rate says.
 
-    The columns stay as they are. Rows with the same doc_id draw the same number.
+    The columns stay as they are, whatever the names of the others. Rows with the same doc_id draw the same number.
     """
+    docs, back = shielded(docs, ["doc_id", "source", "text"])
     light = docs.select("source", n_words().alias("size"))
     copies = _copies(as_key(F.col("doc_id")), "1")
     repeated = _joined(docs, source_rates(light)).withColumn("__copies", copies.cast("int"))
-    return repeated.where("__copies > 0").select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")
-    ).drop("__copy")
+    repeated = repeated.where("__copies > 0").select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")
+    )
+    return back(repeated.drop("__copy"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

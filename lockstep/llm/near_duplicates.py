@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lockstep.llm import sketch
-from lockstep.llm.common import partitions, settle, small, table
+from lockstep.llm.common import partitions, settle, shielded, small, table
 from lockstep.llm.rolling import Roll, changes, mixed, slices, words
 
 WORDS, SIMILARITY = 5, 0.8
@@ -445,8 +445,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     """docs with one row of each class: one with the least doc_id. All columns stay.
 
     Rows without words all stay. Where an id has several rows, they are told apart by their words,
-    and of rows that agree in id and text one stays.
+    and of rows that agree in id and text one stays. Other columns may have any name.
     """
+    safe, back = shielded(docs, ["doc_id", "text"])
+    return back(_dedup(safe))
+
+
+def _dedup(docs: DataFrame) -> DataFrame:
     found = settle(_classified(docs))
     if found.groupBy("doc_id").count().where("count > 1").limit(1).count():
         return _one_each(docs, found)

@@ -161,32 +161,35 @@ def estimate(voted: DataFrame) -> tuple[float, dict]:
     """The share of good texts and each rule's vote probabilities, by expectation-maximisation.
 
     It starts from texts with a bad vote being doubtful, and ends when no probability moves by more than
-    TOLERANCE. Each round is one aggregation of the table of patterns; no rows give the prior.
+    TOLERANCE. Texts count only by their pattern of votes, of which there are 3 ** len(RULES) at most however
+    large the corpus: Spark counts these, and the rounds run over their table. No rows give the prior.
     """
     rules = list(RULES)
-    patterns = settle(voted.groupBy(*[f"v_{r}" for r in rules]).agg(F.count("*").alias("n")))
-    against = sum((F.when(F.col(f"v_{r}") == -1, 1).otherwise(0) for r in rules), F.lit(0))
-    good = F.when(against == 0, 0.95).when(against == 1, 0.3).otherwise(0.05)
+    counted = voted.groupBy(*[f"v_{r}" for r in rules]).agg(F.count("*").alias("n")).collect()
+    patterns = sorted((tuple(row)[:-1], row["n"]) for row in counted)
+    good = [(0.95, 0.3, 0.05)[min(votes.count(-1), 2)] for votes, _ in patterns]
     prior, rates = PRIOR_GOOD, None
     for _ in range(MAX_ROUNDS):
-        weighed = patterns.select("*", (F.col("n") * good).alias("g"), (F.col("n") * (1 - good)).alias("b"))
-        sums = [F.coalesce(F.sum(c), F.lit(0.0)) for c in ("g", "b")] + [
-            F.coalesce(F.sum(F.when(F.col(f"v_{r}") == v, F.col(c))), F.lit(0.0))
-            for r in rules for v in (-1, 0, 1) for c in ("g", "b")
-        ]
-        all_good, all_bad, *each = weighed.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
-        new = {}
-        for k, r in enumerate(rules):
-            part = each[6 * k : 6 * k + 6]
-            new[r] = {
-                v: ((part[2 * j] + PSEUDO) / (all_good + 3 * PSEUDO), (part[2 * j + 1] + PSEUDO) / (all_bad + 3 * PSEUDO))
-                for j, v in enumerate((-1, 0, 1))
-            }
+        all_good = sum(n * p for (_, n), p in zip(patterns, good, strict=True))
+        all_bad = sum(n for _, n in patterns) - all_good
+        seen = {(r, v): [PSEUDO, PSEUDO] for r in rules for v in (-1, 0, 1)}
+        for (votes, n), p in zip(patterns, good, strict=True):
+            for cell in zip(rules, votes, strict=True):
+                seen[cell][0] += n * p
+                seen[cell][1] += n * (1 - p)
+        new = {
+            r: {v: (seen[r, v][0] / (all_good + 3 * PSEUDO), seen[r, v][1] / (all_bad + 3 * PSEUDO)) for v in (-1, 0, 1)}
+            for r in rules
+        }
         prior = (all_good + 8 * PSEUDO) / (all_good + all_bad + 10 * PSEUDO)
         moved = max(
             abs(x - y) for r in rules for v in (-1, 0, 1) for x, y in zip(new[r][v], rates[r][v], strict=True)
         ) if rates else 1.0
-        rates, good = new, _posterior(_log_odds(prior, new))
+        rates, odds = new, math.log(prior / (1 - prior))
+        good = []
+        for votes, _ in patterns:
+            against = odds + sum(math.log(new[r][v][0] / new[r][v][1]) for r, v in zip(rules, votes, strict=True))
+            good.append(1 / (1 + math.exp(-max(min(against, 700), -700))))
         if moved < TOLERANCE:
             break
     return prior, rates

@@ -123,6 +123,36 @@ def test_quality_counts(spark):
     assert quality.judge(empty(spark)).collect() == []
 
 
+def test_votes_are_weighed_by_expectation_maximisation(spark):
+    """Votes, and the posterior against the same rounds over single texts."""
+    counts = quality.statistics(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = [r.asDict() for r in quality.votes(counts).collect()]
+    rules = quality.RULES
+    for r in rows:
+        for name, (part, whole, good, fair) in rules.items():
+            x = r[part] / r[whole] if r[whole] and r[part] is not None else None
+            want = 0 if x is None else -1 if not fair[0] <= x <= fair[1] else 1 if good[0] <= x <= good[1] else 0
+            assert r[f"v_{name}"] == want
+    v = np.array([[r[f"v_{name}"] for name in rules] for r in rows])
+    p = np.choose(np.minimum((v == -1).sum(1), 2), [0.95, 0.3, 0.05])
+    before = None
+    for _ in range(quality.MAX_ROUNDS):
+        g, b = p.sum(), (1 - p).sum()
+        rates = np.array([[[(p[v[:, k] == x].sum() + quality.PSEUDO) / (g + 3 * quality.PSEUDO),
+                            ((1 - p)[v[:, k] == x].sum() + quality.PSEUDO) / (b + 3 * quality.PSEUDO)]
+                           for x in (-1, 0, 1)] for k in range(len(rules))])
+        prior = (g + 8 * quality.PSEUDO) / (g + b + 10 * quality.PSEUDO)
+        ratio = np.log(rates[:, :, 0] / rates[:, :, 1])
+        p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sum(ratio[k][v[:, k] + 1] for k in range(len(rules))))))
+        if before is not None and np.abs(rates - before).max() < quality.TOLERANCE:
+            break
+        before = rates
+    posterior = dict(zip([r["doc_id"] for r in rows], p, strict=True))
+    for r in quality.op10_quality(spark, SF).collect():
+        assert r.p_good == pytest.approx(posterior[r.doc_id], abs=1e-9)
+        assert r.kept == (not r.base_failed and r.p_good >= 0.5)
+
+
 def test_quality_verdicts(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

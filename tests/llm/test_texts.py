@@ -375,6 +375,32 @@ def test_texts_of_unlearnt_languages_go_and_short_ones_stay(spark, languages):
     assert {r.doc_id for r in kept.where("doc_id < 0").collect()} == {-4, -5}
 
 
+CLASHES = ["score", "lang_pred", "__id", "__rate", "__copies", "__text", "node", "comp", "class_id", "shard", "size", "n_words"]
+
+
+def test_every_stage_keeps_columns_of_any_name(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = settle(stage(spark, docs, SF))
+        assert kept.schema == docs.schema and kept.count() > 0
+        for row in kept.collect():
+            assert [row[c] for c in CLASHES] == [f"{c} of {row.doc_id}" for c in CLASHES]
+        docs = kept
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_every_stage_takes_awkward_rows_and_none(spark):
+    shared = " ".join(["the", "and", "of", "to", "in", "river", "runs", "through", "old", "town"] * 4)
+    more = [(k, shared, "en", None, None) for k in (60, 61, 61, 62)] + [(None, shared + " again", "en", "a", 1)]
+    for docs in (awkward(spark).union(spark.createDataFrame(more, awkward(spark).schema)), empty(spark)):
+        counts = [docs.count()]
+        for _, stage in corpus_pipeline.STAGES:
+            docs = settle(stage(spark, docs, SF))
+            counts.append(docs.count())
+        assert counts[0] == 0 and not any(counts) or counts[1] > counts[2] > 0 and counts[-1] == counts[-2]
+
+
 def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     texts = {r.doc_id: r.text for r in docs.collect()}
