@@ -1,4 +1,10 @@
-"""From documents to mixed, placed training text, stage by stage."""
+"""From documents to mixed, placed training text, stage by stage.
+
+Every stage but the last returns the columns of documents, with their values, whatever other columns
+there are and what they are called. Null and empty texts, and those without a letter, go with language ID.
+Rows that repeat an id and a text become one; ties go to the least id. A null source is a
+source, a null id an id. No rows give no rows at every stage.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lockstep.llm import decontamination, language, mixing, near_duplicates, sharding
-from lockstep.llm.common import settle, table
+from lockstep.llm.common import settle, shielded, table
 
 # The least share of the way from what a language gets without any evidence to certainty.
 LEAST_MARGIN = 0.12
@@ -24,11 +30,12 @@ def least_scores(model: language.Model) -> dict[str, float]:
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language (operator 1): those without letters or of no clear language go."""
     model = language.learn(docs)
-    found = language.predict(docs, model)
+    safe, back = shielded(docs, ["doc_id", "text", "lang"])
+    found = language.predict(safe, model)
     least = [F.lit(x) for pair in least_scores(model).items() for x in pair] or [F.lit(language.UNKNOWN), F.lit(1.0)]
     clear = found["score"] >= F.element_at(F.create_map(*least), found["lang_pred"])
     kept = found.where((found["lang_pred"] != language.UNKNOWN) & clear)
-    return kept.select(docs.columns)
+    return back(kept.select(safe.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
