@@ -47,6 +47,19 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def least_count(counts: DataFrame, n: str, most_rows: int) -> int:
+    """The least power of two that at most so many rows have as their count n."""
+    power = F.floor(F.log2(n)).cast("int")
+    rows = counts.groupBy(power.alias("power")).agg(F.count("*").alias("rows")).collect()  # 63 at most
+    least, total = 1 << (max((r["power"] for r in rows), default=-1) + 1), 0
+    for r in sorted(rows, reverse=True):
+        total += r["rows"]
+        if total > most_rows:
+            break
+        least = 1 << r["power"]
+    return least
+
+
 def hexdraw(*parts: Column | str) -> Column:
     """A number in (0, 1) that depends on the given texts alone: 52 bits of their MD5."""
     joined = F.concat_ws("/", *[F.lit(p) if isinstance(p, str) else p for p in parts])

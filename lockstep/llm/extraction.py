@@ -170,7 +170,8 @@ class _Page:
         yield len(self.tags), self.page[at:], linked and not heading, marks > 0
 
     def _holds_main(self, k: int) -> bool:
-        """Does an element hold a marked one, or on a page without one half of the text, if its name sells something all?"""
+        """Does an element hold a marked one, or on a page without any half of the text? One whose name sells
+        something has to hold nearly all of it."""
         end = self.ends[k]
         if self.marks[-1]:
             return self.marks[end] > self.marks[k + 1]

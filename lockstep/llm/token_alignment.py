@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.llm.common import table
+from lockstep.llm.common import least_count, table
 from lockstep.scratch import new_dir
 
 # Ranks of the byte-level vocabulary: ids and tokens are those of its .json file, and it is encoded faster.
@@ -366,7 +366,7 @@ def align_corpus(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BP
     highest = pairs.groupBy("b").agg(F.max("n").alias("highest"))  # a row for each id of b at most
     pairs = pairs.join(F.broadcast(highest), "b").select("pair", "a", "b", "n", (F.col("n") == F.col("highest")).alias("best"))
 
-    least = _least(pairs)
+    least = least_count(pairs, "n", HOT_PAIRS)
     hot = pairs.where(F.col("n") >= least).select("pair", "n", "best").toArrow()  # HOT_PAIRS rows at most
     order = np.argsort(hot["pair"].to_numpy())
     known = spark.sparkContext.broadcast(
@@ -444,19 +444,6 @@ def align_corpus(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BP
     return Alignment(measures, pairs.drop("pair"))
 
 
-def _least(pairs: DataFrame) -> int:
-    """The least power of two that at most HOT_PAIRS pairs come as often as."""
-    power = F.floor(F.log2("n")).cast("int")
-    rows = pairs.groupBy(power.alias("power")).agg(F.count("*").alias("rows")).collect()  # 63 at most
-    least, total = 1 << (max((r["power"] for r in rows), default=-1) + 1), 0
-    for r in sorted(rows, reverse=True):
-        total += r["rows"]
-        if total > HOT_PAIRS:
-            break
-        least = 1 << r["power"]
-    return least
-
-
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both tokenizers' tokens of all documents on each other."""
     return align_corpus(table(spark, sf_dir, "documents")).measures

@@ -2,7 +2,7 @@
 
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lockstep.llm import language, quality, suffix_tree_lm
 from lockstep.llm.common import held_out
-from tests.llm.helpers import awkward, empty, words
+from tests.llm.helpers import awkward, empty, prose, words
 
 SF = "/root/testdata/sf0.01"
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -67,23 +67,94 @@ def test_scores_of_whole_documents(spark):
         assert r.n_known == sum(count[w] > 0 for w in ws)
         base = sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in ws)
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
-    # No uniform guess over bytes comes near.
-    assert sum(r.score for r in rows if r.held_out) > sum(
-        -math.log10(256) * len(texts[r.doc_id] or "") for r in rows if r.held_out
-    ) / 2
-
-
-def test_tree_is_a_distribution_and_its_states_are_closed(spark):
-    tree = suffix_tree_lm.grow(spark.read.parquet(f"{SF}/documents.parquet").select("text"))
-    assert len(tree.states[1]) and len(tree.states[3])
-    for k in range(1, suffix_tree_lm.ORDER + 1):
-        mask = np.uint64((1 << (8 * (k - 1))) - 1)
-        assert np.isin(tree.states[k] & mask, tree.states[k - 1]).all()
-    for before in (b" the ", b"\0\0\0\0\n", b"zqxzq", b"ation"):
-        context = int.from_bytes(before, "big")
-        keys = np.array([(context << 8 | c) & (1 << 48) - 1 for c in range(256)], np.uint64)
-        assert tree.probability(keys).sum() == pytest.approx(1.0)
-        assert np.allclose(10 ** tree.log10(keys), tree.probability(keys))
+
+
+def symbols(text):
+    return [0] * suffix_tree_lm.ORDER + [10, *b" ".join(w.translate(LOWER) for w in words(text)), 10]
+
+
+class BruteTree:
+    """Counts in dictionaries, states by the rules, one probability at a time."""
+
+    def __init__(self, texts):
+        m = suffix_tree_lm
+        self.after = defaultdict(Counter)
+        for text in texts:
+            s = symbols(text)
+            for at in range(m.ORDER + 1, len(s)):
+                for k in range(m.ORDER + 1):
+                    self.after[tuple(s[at - k : at])][s[at]] += 1
+        self.states = {()} if self.after else set()
+        for context, seen in self.after.items():
+            total = sum(seen.values())
+            if not context or total < m.LEAST_COUNT:
+                continue
+            if len(context) > m.SHORT:
+                shorter = self.after[context[1:]]
+                below = sum(shorter.values())
+                nats = sum(n * math.log(n / total * below / shorter[c]) for c, n in seen.items())
+                if nats < m.DIVERGENCE:
+                    continue
+            self.states.update(context[k:] for k in range(len(context)))
+
+    def probability(self, before, c):
+        m, p = suffix_tree_lm, 1 / 256
+        for k in range(m.ORDER + 1):
+            context = tuple(before[len(before) - k :])
+            if context not in self.states:
+                break
+            seen = self.after[context]
+            total, more = sum(seen.values()), m.SMOOTH * len(seen)
+            p = (seen[c] + more * p) / (total + more)
+        return p
+
+    def score(self, text):
+        s = symbols(text)
+        return sum(math.log10(self.probability(s[:at], s[at])) for at in range(suffix_tree_lm.ORDER + 1, len(s)))
+
+
+@pytest.mark.parametrize("hot", [1 << 22, 300, 0])
+def test_scores_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_tree_lm, "HOT_GRAMS", hot)
+    monkeypatch.setattr(suffix_tree_lm, "HOT_WORDS", hot)
+    monkeypatch.setattr(suffix_tree_lm, "TASK_GRAMS", 700)
+    texts = [prose(k, 25).replace("kappa", "KAPPA") for k in range(30)] + ["", None, " \t", "É ß", "x", *[prose(3, 25)] * 3]
+    rows = [(k, t, k % 4 == 1) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").withColumn("key", F.lit(1))
+    tree = BruteTree([t for _, t, h in rows if not h])
+    assert sum(len(c) > 3 for c in tree.states) > 20
+    got = {r.doc_id: r for r in suffix_tree_lm.score(docs).collect()}
+    count = Counter(w for _, t, h in rows if not h for w in [*(x.translate(LOWER) for x in words(t)), None])
+    total, kinds = sum(count.values()), len(count)
+    for k, text, _ in rows:
+        ws = [*(x.translate(LOWER) for x in words(text)), None]
+        assert got[k].score == pytest.approx(tree.score(text), abs=1e-9)
+        assert (got[k].n_tokens, got[k].n_known) == (len(ws), sum(count[w] > 0 for w in ws))
+        base = sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in ws)
+        assert got[k].base_score == pytest.approx(base, abs=1e-9)
+
+
+def test_states_are_distributions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", F.lit(False).alias("held_out"))
+    grams = suffix_tree_lm.count_grams(docs).toArrow()
+    keys, n = grams["key"].to_numpy().view(np.uint64), grams["n"].to_numpy().astype(float)
+    low = np.uint64((1 << 24) - 1)
+    after, where = np.unique(keys & low, return_inverse=True)
+    short = suffix_tree_lm.Short(after, np.bincount(where, n))
+    for before in (b" the ", b"\0\0\0\0\0\n", b"zqxzqz", b"nation"):
+        context = int.from_bytes(before[-6:].rjust(6, b"\0"), "big")
+        every = np.array([context << 8 | c for c in range(256)], np.uint64)
+        new = ~np.isin(every, keys)
+        all_keys = np.concatenate([keys, every[new]])
+        value = dict(zip(all_keys.tolist(), suffix_tree_lm.probabilities(all_keys, np.append(n, np.zeros(new.sum())), short).tolist(), strict=True))
+        assert sum(value[k] for k in every.tolist()) == pytest.approx(1.0)
+
+
+def test_held_out_texts_are_likelier_than_by_words_alone(spark):
+    for sf in (SF, "/root/testdata/sf0.1"):
+        rows = suffix_tree_lm.op2_suffix_tree_lm(spark, sf).where("held_out")
+        score, base = rows.agg(F.sum("score"), F.sum("base_score")).first()
+        assert score > base
 
 
 def test_scores_of_awkward_rows(spark):
