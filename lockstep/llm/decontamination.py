@@ -71,6 +71,7 @@ class Item:
         self.answer = answer if len(answer) >= 3 else self.tokens[-5:]
         self.masks, self.answer_masks = _masks(self.tokens), _masks(self.answer)
         self.words = set(self.tokens)
+        self.sorted = np.array(sorted(self.words), np.uint64)
         self.width = int(len(self.tokens) * STRETCH) + SLACK
         self.least = max(1, int(np.ceil(PARAPHRASE * len(self.tokens) - 1e-9)))
 
@@ -309,19 +310,24 @@ def _directions(text: DataFrame, shared, rank: int) -> np.ndarray:
     return left[:, :rank]
 
 
-def _verified(bench: Benchmark, item: Item, near: np.ndarray) -> tuple[int, bool] | None:
-    """The longest common subsequence of any span of the tokens near that passes, and whether the answer is there.
+def _verified(item: Item, near: np.ndarray) -> tuple[int, bool, int] | None:
+    """The longest common subsequence of any span of the tokens near that passes, whether the answer is there, and
+    where the span begins.
 
     Every span of the item's width is considered. One that begins with a token of the item stands for those that
     begin before it, and a span can't beat the best one if it holds no more of the item's tokens.
     """
-    tokens = near.tolist()
-    held = np.array([t in item.words for t in tokens], np.int64)
+    at = np.minimum(np.searchsorted(item.sorted, near), len(item.sorted) - 1)
+    held = item.sorted[at] == near
     total = np.concatenate([[0], np.cumsum(held)])
     starts = np.flatnonzero(held)
-    dense = total[np.minimum(starts + item.width, len(tokens))] - total[starts]
-    best: tuple[int, bool] | None = None
-    for lo, most in zip(starts[dense >= item.least].tolist(), dense[dense >= item.least].tolist(), strict=True):
+    dense = total[np.minimum(starts + item.width, len(near))] - total[starts]
+    enough = dense >= item.least
+    if not enough.any():
+        return None
+    tokens = near.tolist()
+    best: tuple[int, bool, int] | None = None
+    for lo, most in zip(starts[enough].tolist(), dense[enough].tolist(), strict=True):
         if best and most <= best[0]:
             continue
         span = tokens[lo : lo + item.width]
@@ -330,7 +336,7 @@ def _verified(bench: Benchmark, item: Item, near: np.ndarray) -> tuple[int, bool
             continue
         answer = common_subsequence(item.answer_masks, len(item.answer), span) >= ANSWER * len(item.answer)
         if answer or n >= VERBATIM * len(item.tokens):
-            best = n, answer
+            best = n, answer, lo
             if n == len(item.tokens):
                 break
     return best
@@ -362,30 +368,51 @@ def _found(bench: Benchmark, texts: pa.Array):
         near = bench.shared(piece, at, block, word)
         near[joined] += bench.shared(piece[joined], at[joined] + 1, block, word)
         good = near >= SHARED
+        piece, at, close = piece[good], at[good], close[good]
+        k, row = bench.owner[piece], of[at]
+        reach = np.array([len(item.tokens) for item in bench.items])[k]
+        x = np.maximum(starts[at] - reach, first[row])
+        y = np.minimum(starts[at] + 2 * BLOCK + reach, first[row + 1])
+        place, items, left, right, text = bench.around(tokens, first)
+        none = np.full(len(place), -1.0)
+        regions = _regions(
+            np.append(row, text), np.append(k, items), np.append(x, left), np.append(y, right), np.append(close, none)
+        )
         best: dict[tuple[int, int], tuple[int, bool, float]] = {}
-        for b, p, c in zip(at[good].tolist(), piece[good].tolist(), close[good].tolist(), strict=True):
-            k, row = int(bench.owner[p]), int(of[b])
-            item = bench.items[k]
-            reach = len(item.tokens)
-            x = max(starts[b] - reach, first[row])
-            y = min(starts[b] + 2 * BLOCK + reach, first[row + 1])
-            found = _verified(bench, item, tokens[x:y])
-            if found and found[0] > best.get((row, k), (0,))[0]:
-                best[row, k] = (*found, c)
-        for t, k, x, y, row in zip(*(c.tolist() for c in bench.around(tokens, first)), strict=True):
-            item, known = bench.items[k], best.get((row, k), (0,))
-            if known[0] == len(item.tokens):
+        for row, k, x, y, c in regions:
+            known = best.get((row, k), (0,))
+            if known[0] == len(bench.items[k].tokens):
                 continue
-            found = _verified(bench, item, tokens[x:y])
+            found = _verified(bench.items[k], tokens[x:y])
             if found and found[0] > known[0]:
-                b = starts[np.searchsorted(starts, t, "right") - 1]
-                near = [tokens[max(lo, first[row]) : min(lo + n, first[row + 1])]
-                        for lo, n in ((b - BLOCK, 2 * BLOCK), (b, BLOCK), (b, 2 * BLOCK))]
-                best[row, k] = (*found, max(bench.cosine(k, part) for part in near))
+                n, answer, at = found
+                best[row, k] = (n, answer, c if c >= 0 else _cosine_at(bench, k, tokens, x + at, starts, first, row))
         for (row, k), (n, answer, c) in best.items():
             yield lo + row, bench.items[k], n, answer, c
 
 
+def _regions(row: np.ndarray, item: np.ndarray, x: np.ndarray, y: np.ndarray, cosine: np.ndarray):
+    """Places of one item in one text that overlap, as one, with the best cosine found there."""
+    order = np.lexsort((x, item, row))
+    now: list | None = None
+    for r, k, lo, hi, c in zip(*(v[order].tolist() for v in (row, item, x, y, cosine)), strict=True):
+        if now and now[:2] == [r, k] and lo < now[3]:
+            now[3], now[4] = max(now[3], hi), max(now[4], c)
+            continue
+        if now:
+            yield now
+        now = [r, k, lo, hi, c]
+    if now:
+        yield now
+
+
+def _cosine_at(bench: Benchmark, k: int, tokens, at: int, starts, first, row: int) -> float:
+    b = starts[np.searchsorted(starts, at, "right") - 1]
+    near = [tokens[max(lo, first[row]) : min(lo + n, first[row + 1])]
+            for lo, n in ((b - BLOCK, 2 * BLOCK), (b, BLOCK), (b, 2 * BLOCK))]
+    return max(bench.cosine(k, part) for part in near)
+
+
 def _rounds(docs: DataFrame, benchmark: DataFrame, rank: int):
     """The benchmark ITEMS items at a time, learnt on all of docs, as broadcast variables."""
     spark, text = docs.sparkSession, docs.select("text")
