@@ -35,11 +35,11 @@ DIVERGENCE = 1.0
 SMOOTH = 5.0
 ALPHABET = 256
 # Most rows of a broadcast table; runs that a task of the tree holds.
-HOT_GRAMS, HOT_WORDS = 1 << 22, 1 << 22
+HOT_GRAMS, HOT_WORDS = 1 << 21, 1 << 21
 TASK_GRAMS = 2_000_000
 END, SPACE = 0x0A, 0x20
 # Distinct keys a task holds before it sends them.
-HELD_KEYS = 4_000_000
+HELD_KEYS = 2_000_000
 CACHE_BITS = 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
