@@ -35,7 +35,7 @@ DIVERGENCE = 1.0
 SMOOTH = 5.0
 ALPHABET = 256
 # Most rows of a broadcast table; runs that a task of the tree holds.
-HOT_GRAMS, HOT_WORDS = 1 << 21, 1 << 21
+HOT_GRAMS, HOT_WORDS = 1 << 21, 1 << 20
 TASK_GRAMS = 2_000_000
 END, SPACE = 0x0A, 0x20
 # Distinct keys a task holds before it sends them.
