@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import random
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from functools import partial
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -45,20 +48,75 @@ _OUTCOME = struct(
 )
 
 
+# Fixed value: the error of a copy that was ended or not begun because its group had failed.
+GIVEN_UP = "GivenUp: another table of the group failed"
+
+
 def retry(
     fn: Callable,
     tries: int = 3,
     sleep: Callable[[float], None] = time.sleep,
     jitter: Callable[[], float] = lambda: random.uniform(0, 2),
+    stop: Callable[[], bool] = lambda: False,
 ):
-    """Call ``fn`` up to ``tries`` times; waits 10 s more each time, plus up to 2 s."""
+    """Call ``fn`` up to ``tries`` times; waits 10 s more each time, plus up to 2 s.
+
+    Once ``stop`` says so a failure is not followed by another call.
+    """
     for attempt in range(1, tries + 1):
         try:
             return fn()
         except Exception:
-            if attempt == tries:
+            if attempt == tries or stop():
                 raise
             sleep(10 * attempt + jitter())
+            if stop():
+                raise
+
+
+class _Groups:
+    """Which groups of a run have failed; ends the running copies of one that does.
+
+    The jobs of a group's copies carry a tag of its own. Other groups' jobs, and those of other runs, go on.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._context, self._run = spark.sparkContext, uuid.uuid4().hex
+        self._lock, self._tags, self._failed = threading.Lock(), {}, set()
+
+    def tag(self, group: tuple) -> str:
+        with self._lock:
+            return self._tags.setdefault(group, f"lockstep-{self._run}-{len(self._tags)}")
+
+    def failed(self, group: tuple) -> bool:
+        with self._lock:
+            return group in self._failed
+
+    def fail(self, group: tuple) -> bool:
+        """Mark a group and end its other copies; False if it had failed before."""
+        tag = self.tag(group)
+        with self._lock:
+            if group in self._failed:
+                return False
+            self._failed.add(group)
+        self._context.cancelJobsWithTag(tag)
+        return True
+
+
+def _largest_first(plan: DataFrame, commits: DataFrame) -> DataFrame:
+    """The copy list with each version's committed bytes, groups and their tables by size, largest first.
+
+    A long copy that starts last would keep a run waiting for it alone. A group's tables stay together, so that
+    it is complete, and published, early. Versions whose commits tell no size come last.
+    """
+    metrics, key = F.col("operation_metrics"), ["table_name", "version"]
+    nbytes = F.coalesce(metrics["numOutputBytes"], metrics["sourceTableSize"]).try_cast("bigint")
+    sizes = commits.join(plan.select(*key), key, "left_semi").groupBy(*key).agg(F.max(nbytes).alias("nbytes"))
+    sized = plan.join(sizes, key, "left")
+    group = F.coalesce(F.sum("nbytes").over(Window.partitionBy(*GROUP_KEY)), F.lit(0))
+    return sized.withColumn("group_bytes", group).orderBy(
+        F.desc("group_bytes"), *GROUP_KEY, F.desc_nulls_last("nbytes"), "position"
+    )
 
 
 def _numbered(plan: DataFrame, dst_commits: DataFrame) -> DataFrame:
@@ -84,29 +142,45 @@ def _copied_groups(
     sleep: Callable[[float], None],
     publish_every_s: float,
 ) -> Iterator[list[tuple]]:
-    """Run one distributed copy job per planned row, ``max_workers`` at a time.
+    """Run one distributed copy job per planned row, ``max_workers`` at a time, in the plan's order.
 
     Yields the outcomes of finished groups, at most once per ``publish_every_s`` and
     at the end, so that a long run makes groups visible as they complete. Only the
     copy list, one small row per table, reaches the driver. A failed copy becomes an
-    outcome with an error instead of ending the run.
+    outcome with an error instead of ending the run. It ends its group, which can't be published any
+    more: running copies are cancelled, others not begun nor tried again. Where the session
+    schedules fairly, each group has a pool of its own.
     """
+    groups = _Groups(spark)
+    context = spark.sparkContext
+    fair = context.getConf().get("spark.scheduler.mode", "FIFO").upper() == "FAIR"
 
     def one(row: Row) -> tuple[Row, tuple]:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", row["group_name"])
-        key = (row["workspace_name"], row["group_name"], row["position"], row["table_name"])
-        versions = (row["version"], row["dst_version"])
+        group = (row["workspace_name"], row["group_name"])
+        key = (*group, row["position"], row["table_name"], row["version"], row["dst_version"])
+        if groups.failed(group):
+            return row, (*key, None, None, None, GIVEN_UP)
+        tag = groups.tag(group)
+        context.addJobTag(tag)
+        if fair:
+            context.setLocalProperty("spark.scheduler.pool", ".".join(group))
         try:
-            return row, (*key, *versions, *retry(lambda: copy(row), row["tries"], sleep), None)
+            done = retry(lambda: copy(row), row["tries"], sleep, stop=lambda: groups.failed(group))
+            return row, (*key, *done, None)
         except Exception as error:
-            return row, (*key, *versions, None, None, None, f"{type(error).__name__}: {error}")
+            first = groups.fail(group)
+            ended = not first and "CANCELLED" in str(error).upper()
+            return row, (*key, None, None, None, GIVEN_UP if ended else f"{type(error).__name__}: {error}")
+        finally:
+            context.removeJobTag(tag)
 
     open_groups: dict[tuple, list[tuple]] = {}
     finished: list[tuple] = []
     published = time.monotonic()
+    # One target a row: each has local properties of its own, so that no thread sees another's tag.
+    targets = [inheritable_thread_target(spark)(partial(one, row)) for row in plan.toLocalIterator()]
     with ThreadPool(max_workers) as pool:
-        tasks = pool.imap_unordered(inheritable_thread_target(spark)(one), plan.toLocalIterator())
-        for row, outcome in tasks:
+        for row, outcome in pool.imap_unordered(lambda target: target(), targets):
             group = outcome[:2]
             open_groups.setdefault(group, []).append(outcome)
             if len(open_groups[group]) == row["group_size"]:
@@ -154,7 +228,7 @@ def _summarise(
     per_group = (
         small_frame(spark, outcomes, _OUTCOME)
         .groupBy(*GROUP_KEY)
-        .agg(F.max("error").alias("error"))
+        .agg(F.coalesce(F.max(F.when(F.col("error") != GIVEN_UP, F.col("error"))), F.max("error")).alias("error"))
         .withColumn("_copied", F.lit(True))
     )
     copied = F.col("_copied").isNotNull()
@@ -230,7 +304,8 @@ def send(
         retry(lambda: state.record(patches, stage_root, "sender", checked=False), sleep=sleep)
 
     outcomes = []
-    for finished in _copied_groups(spark, due, copy, max_workers, sleep, publish_every_s):
+    ordered = _largest_first(due, commits)
+    for finished in _copied_groups(spark, ordered, copy, max_workers, sleep, publish_every_s):
         outcomes += finished
         done = _complete(finished)
         if done:
@@ -322,7 +397,8 @@ def receive(
         retry(lambda: state.record(patches, stage_root, "receiver", checked=False), sleep=sleep)
 
     outcomes = []
-    for finished in _copied_groups(spark, due, copy, max_workers, sleep, publish_every_s):
+    ordered = _largest_first(due, snapshots.commits(spark, stage_root))
+    for finished in _copied_groups(spark, ordered, copy, max_workers, sleep, publish_every_s):
         outcomes += finished
         done = _complete(finished)
         if done:

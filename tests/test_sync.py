@@ -1,3 +1,6 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +247,70 @@ def test_errors_are_kept_whole(spark, places, monkeypatch):
     out = sync.send(spark, spaces(spark, "1"), runs(spark, T0 + HOUR), places[0], places[1],
                     now_ms=T0 + HOUR, sleep=lambda s: None)
     assert {len(r["error"]) for r in out.collect()} == {5000 + len("OSError: ")}
+
+
+def test_a_failed_table_ends_its_groups_running_copy_alone(spark, places, monkeypatch):
+    real, running, other = snapshots.copy, threading.Event(), threading.Event()
+    calls = []
+
+    def copy(spark, a, b, table, *rest):
+        calls.append(table)
+        if table == A:
+            running.set()
+            spark.range(10**15).select(F.sum(F.hash("id"))).collect()  # for hours
+        if table == C:
+            done = real(spark, a, b, table, *rest)
+            other.set()
+            return done
+        assert running.wait(60) and other.wait(60)
+        while not spark.sparkContext.statusTracker().getActiveJobsIds():
+            time.sleep(0.05)
+        raise OSError("storage went away")
+
+    monkeypatch.setattr(snapshots, "copy", copy)
+    out = sync.send(spark, spaces(spark, "3"), runs(spark, T0 + HOUR), places[0], places[1],
+                    now_ms=T0 + HOUR, sleep=lambda s: None).collect()
+    got = {r["group_name"]: r for r in out}
+    assert got["scheduled_sync"]["sync_status"] == "Success"
+    assert got["sales"]["sync_status"] is None and got["sales"]["error"] == "OSError: storage went away"
+    assert calls.count(A) == 1  # ended, and not tried again
+    assert calls.count(B) == 3  # its own tries are its own
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
+
+
+def test_tags_stay_with_their_group(spark, places, monkeypatch):
+    real, seen, both = snapshots.copy, {}, threading.Barrier(3, timeout=60)
+
+    def copy(spark, a, b, table, *rest):
+        both.wait()  # all three copies hold their tags
+        seen[table] = set(spark.sparkContext.getJobTags())
+        both.wait()
+        return real(spark, a, b, table, *rest)
+
+    monkeypatch.setattr(snapshots, "copy", copy)
+    send(spark, places, [T0 + HOUR], T0 + HOUR, max_workers=3)
+    assert seen[A] == seen[B] != seen[C] and {len(tags) for tags in seen.values()} == {1}
+    assert not spark.sparkContext.getJobTags()
+
+
+def test_tables_of_a_failed_group_are_not_begun(spark, places, monkeypatch):
+    calls = []
+
+    def copy(spark, a, b, table, *rest):
+        calls.append(table)
+        raise OSError("no")
+
+    monkeypatch.setattr(snapshots, "copy", copy)
+    send(spark, places, [T0 + HOUR], T0 + HOUR, max_workers=1)
+    assert len(calls) == 2 and len({A, B} & set(calls)) == 1
+
+
+def test_largest_group_and_table_first(spark):
+    plan = spark.createDataFrame(
+        [("w", "small", 0, "a", 1), ("w", "big", 0, "b", 1), ("w", "big", 1, "c", 2), ("w", "none", 0, "d", 0)],
+        "workspace_name string, group_name string, position int, table_name string, version bigint")
+    commits = spark.createDataFrame(
+        [("a", 1, {"numOutputBytes": "50"}), ("b", 1, {"sourceTableSize": "40"}), ("c", 2, {"numOutputBytes": "60"}),
+         ("c", 1, {"numOutputBytes": "999"}), ("d", 0, {"numOutputBytes": "x"})],
+        "table_name string, version bigint, operation_metrics map<string,string>")
+    assert [r["table_name"] for r in sync._largest_first(plan, commits).collect()] == ["c", "b", "a", "d"]
