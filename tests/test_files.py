@@ -121,6 +121,30 @@ def test_batch_archives_what_it_ingested(spark, root):
     assert {n: r["parsed_data"] for n, r in gold(spark, f"{root}/t").items()} == {"a.txt": "one", "b.txt": "two"}
 
 
+def test_archiving_many_files_and_a_failing_one(spark, root, monkeypatch):
+    landing, archive = f"{root}/landing", f"{root}/archive"
+    for i in range(60):
+        land(f"{landing}/d{i % 3}", f"f{i}.txt", str(i))
+    monkeypatch.setattr(files, "WAITING", 4)
+    listed = files.ingest_files(spark, landing, "w").select("file_name").checkpoint()
+    real = files.move
+
+    def flaky(spark, name, *where):
+        if name.endswith("/f30.txt"):
+            raise OSError("denied")
+        return real(spark, name, *where)
+
+    monkeypatch.setattr(files, "move", flaky)
+    with pytest.raises(OSError, match="denied"):
+        files.archive(listed, landing, archive, movers=5)
+    assert os.path.exists(f"{landing}/d0/f30.txt")
+    left = sum(name.endswith(".txt") for _, _, names in os.walk(landing) for name in names)
+    monkeypatch.setattr(files, "move", real)
+    assert files.archive(listed, landing, archive, movers=5) == left
+    assert {x for _, _, names in os.walk(archive) for x in names if x.endswith(".txt")} == {f"f{i}.txt" for i in range(60)}
+    assert files.archive(listed, landing, archive) == 0
+
+
 def test_a_replayed_batch_is_skipped(spark, root):
     mark = {"stream": "id", "batchId": "3"}
     rows = spark.createDataFrame([(1, "a")], "k int, v string")
