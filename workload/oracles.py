@@ -268,6 +268,11 @@ def all_oracles() -> dict[str, str]:
         "q_missing_tables": f"""with {_DECLARED}
             select workspace_name, group_name, tables as table_name from new
             where tables not in (select table_name from listed)""",
+        "q_unreadable_tables": """select 'lake.sales.orders' as table_name, count(*) as row_count, true as readable from orders
+            union all select 'lake.sales.lineitem', count(*), false from lineitem
+            union all select 'lake.sales.customer', count(*), count(*) = count(*) filter (c_acctbal >= 0) from customer
+            union all select 'lake.sales.events', count(*), false from events
+            union all select 'lake.sales.part', count(*), true from part""",
         "q_group_validity": f"""with {_DECLARED}, jobs as (
               select case o_orderpriority when '1-URGENT' then 'AUTOMOBILE' when '2-HIGH' then 'HOUSEHOLD'
                      else 'MACHINERY' end as name, concat('j', o_custkey) as job_id, o_orderkey from orders),
@@ -424,6 +429,26 @@ def all_oracles() -> dict[str, str]:
               ('scheduled_sync', 'lake.crm.customer', 'schedule_time', null, 0, 'Synced'))
             t(group_name, table_name, sync_reason, source_sync_commit_version,
               target_sync_commit_version, sync_status)""",
+        "q_run_summary": """with sized as (
+              select (select count(*) from orders) + (select count(*) from lineitem) as good,
+                     (select count(*) from customer) as scheduled)
+            select s.* from sized, lateral (values
+              ('sender', 'good', 'workflow_time', 'Success', false, good),
+              ('sender', 'broken', 'workflow_time', null, true, null),
+              ('sender', 'waiting', 'skip:no_successful_run', null, false, null),
+              ('sender', 'absent', 'skip:no_version', null, false, null),
+              ('sender', 'scheduled_sync', 'schedule_time', 'Success', false, scheduled),
+              ('receiver', 'good', 'deliver', 'Success', false, good),
+              ('receiver', 'scheduled_sync', 'deliver', 'Success', false, scheduled))
+            s(mode, group_name, decision, sync_status, failed, row_count)""",
+        "q_clone_sizes": """with sized as (
+              select 'lake.sales.orders' as table_name, count(*) as row_count from orders
+              union all select 'lake.sales.lineitem', count(*) from lineitem
+              union all select 'lake.sales.customer', count(*) from customer)
+            select 'staged' as copy, *, true as bytes_agree from sized
+            union all select 'delivered', *, true from sized""",
+        "q_archived_files": """select source, cast(sum(strlen(text) + 1) as bigint) as archived_bytes,
+            0::bigint as left_bytes from documents group by source""",
         "q_ingest_files": _BY_SOURCE,
         "q_ingest_stream": _BY_SOURCE,
         "q_medallion_files": """select source, 1706745600000 as merge_ms,

@@ -11,7 +11,18 @@ from lockstep.functions.names import qualify
 from lockstep.model import GROUP_KEY
 from lockstep.operators import generate, history, merge, reconcile, runs
 from lockstep.plans import decide, deliver, medallion, report, sync, validate
-from lockstep.sources import catalog, changesets, config, digests, files, releases, snapshots, sqltables, state
+from lockstep.sources import (
+    catalog,
+    changesets,
+    config,
+    digests,
+    files,
+    paths,
+    releases,
+    snapshots,
+    sqltables,
+    state,
+)
 from lockstep.sources.logs import append_dealt
 from lockstep.streaming import ingest, upsert
 from workload import fixtures as fx
@@ -197,6 +208,36 @@ def q_missing_tables(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.missing_tables(members, _catalog(spark, sf)).drop("position")
 
 
+def q_unreadable_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Every table that a root's commits name, with the rows committed and whether they can be read.
+
+    One is whole, one has a file that is not parquet, one lost rows, one folder was never written, and
+    one has good rows again after a damaged version.
+    """
+    root, damaged = scratch.new_dir(spark, "probed"), F.lit("not a parquet file").alias("value")
+    names = {x: f"lake.sales.{x}" for x in ("orders", "lineitem", "customer", "events", "part")}
+    sides = {x: fx.table(spark, sf, x) for x in ("orders", "lineitem", "customer", "part")}
+    for x, df in sides.items():
+        snapshots.publish(df, root, names[x])
+    for x in ("lineitem", "part"):
+        spark.range(1).select(damaged).write.mode("append").text(paths.version_dir(root, names[x], 0))
+    snapshots.publish(sides["part"], root, names["part"])
+    fewer = sides["customer"].filter("c_acctbal >= 0")
+    fewer.write.mode("overwrite").parquet(paths.version_dir(root, names["customer"], 0))
+    rows = {"numOutputRows": str(fx.table(spark, sf, "events").count())}
+    snapshots.commit(spark, root, [snapshots.commit_row(names["events"], 0, fx.NOW_MS, "WRITE", {}, rows)])
+    committed = snapshots.commits(spark, root).groupBy("table_name").agg(
+        F.max_by(F.col("operation_metrics")["numOutputRows"].cast("bigint"), "version").alias("row_count")
+    )
+    bad = catalog.unreadable(spark, root)
+    return (
+        catalog.listing_of_root(spark, root)
+        .join(committed, "table_name")
+        .join(bad, "table_name", "left")
+        .select("table_name", "row_count", F.col("reason").isNull().alias("readable"))
+    )
+
+
 def _validated(spark: SparkSession, sf: str) -> DataFrame:
     jobs = fx.table(spark, sf, "orders").select(
         F.concat(F.lit("j"), F.col("o_custkey").cast("string")).alias("job_id"),
@@ -604,6 +645,87 @@ def q_group_sync_report(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_run_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What a sender's and a receiver's runs say of groups that were synced, failed and skipped.
+
+    A failed group, one of whose tables can't be read, is tried as often as its workspace says, staged in no
+    part and not delivered; the others are.
+    """
+    src, stage, dst = (scratch.new_dir(spark, f"runs-{i}") for i in range(3))
+    t0, hour = fx.CUTOFF_MS, 3600000
+    for name in ("orders", "lineitem", "customer", "part"):
+        snapshots.publish(fx.table(spark, sf, name), src, f"lake.sales.{name}", at_ms=t0)
+    snapshots.commit(spark, src, [snapshots.commit_row("lake.sales.lost", 0, t0, "WRITE")])
+    spaces = spark.createDataFrame(
+        [("ws", 15, 10, "2")],
+        "workspace_name string, sync_interval_mins int, sync_failover_interval_mins int, sync_max_retries string",
+    )
+    groups = {
+        "good": ("1", ["lake.sales.orders", "lake.sales.lineitem"]),
+        "broken": ("1", ["lake.sales.part", "lake.sales.lost"]),
+        "waiting": ("2", ["lake.sales.orders"]),
+        "absent": ("1", ["lake.sales.customer", "lake.sales.unknown"]),
+        "scheduled_sync": ("", ["lake.sales.customer"]),
+    }
+    declared = spark.createDataFrame(
+        [("ws", name, "load" if job else "", job, tables, True) for name, (job, tables) in groups.items()],
+        "workspace_name string, group_name string, workflow_name string, workflow_id string, "
+        "tables array<string>, validated boolean",
+    )
+    ran = spark.createDataFrame(
+        [("1", t0, t0 + hour, "SUCCESS"), ("2", t0, t0 + hour, "FAILED")],
+        "job_id string, start_time_ms bigint, end_time_ms bigint, result_state string",
+    )
+    state.save(state.merge_config(state.load(spark, stage), declared), stage, t0)
+    waits: list[float] = []
+    sync.sync("sender", spark, spaces, ran, src, stage, now_ms=t0 + 2 * hour, sleep=waits.append)
+    sync.sync("receiver", spark, spaces, stage, dst, sleep=waits.append)
+    if len(waits) != 1:
+        raise AssertionError(f"one copy was to be tried twice, not {len(waits)} calls again")
+
+    def told(root: str) -> DataFrame:
+        held = snapshots.commits(spark, root).groupBy("table_name").agg(
+            F.sum(F.col("operation_metrics")["numOutputRows"].cast("bigint")).alias("rows")
+        )
+        run = spark.read.parquet(f"{root}/_runs")
+        members = run.select("mode", "group_name", F.explode("tables").alias("table_name"))
+        rows = members.join(held, "table_name").groupBy("mode", "group_name").agg(F.sum("rows").alias("row_count"))
+        failed = F.col("error").isNotNull().alias("failed")
+        synced = F.when(F.col("sync_status") == "Success", F.col("row_count")).alias("row_count")
+        return run.join(rows, ["mode", "group_name"], "left").select(
+            "mode", "group_name", "decision", "sync_status", failed, synced
+        )
+
+    return told(stage).unionByName(told(dst))
+
+
+def q_clone_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that staged and delivered copies report, and whether the bytes they report are those of their files."""
+    roots = [scratch.new_dir(spark, f"sizes-{i}") for i in range(3)]
+    names = {x: f"lake.sales.{x}" for x in ("orders", "lineitem", "customer")}
+    for table, name in names.items():
+        parts = ["l_linestatus"] if table == "lineitem" else None
+        snapshots.publish(fx.table(spark, sf, table), roots[0], name, partition_by=parts)
+        snapshots.clone(spark, roots[0], roots[1], name)
+        snapshots.clone(spark, roots[1], roots[2], name)
+
+    def told(copy: str, root: str) -> DataFrame:
+        files_of = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        stored = files_of.option("pathGlobFilter", "*.parquet").load([paths.table_dir(root, n) for n in names.values()])
+        stored = stored.select(
+            F.regexp_extract("path", "/lake/sales/([^/]+)/", 1).alias("name"), "length"
+        ).groupBy(F.concat(F.lit("lake.sales."), "name").alias("table_name")).agg(F.sum("length").alias("bytes"))
+        metrics = F.col("operation_metrics")
+        return snapshots.commits(spark, root).join(stored, "table_name", "left").select(
+            F.lit(copy).alias("copy"),
+            "table_name",
+            metrics["numOutputRows"].cast("bigint").alias("row_count"),
+            (metrics["sourceTableSize"].cast("bigint") == F.col("bytes")).alias("bytes_agree"),
+        )
+
+    return told("staged", roots[1]).unionByName(told("delivered", roots[2]))
+
+
 # --- files and streams ---------------------------------------------------------
 
 
@@ -661,6 +783,24 @@ def q_medallion_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_archived_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every source in the archive, and left in the landing zone, after a batch."""
+    root = scratch.new_dir(spark, "files")
+    names = {"bronze": "lake.raw.bronze", "silver": "lake.stage.silver", "gold": "lake.main.gold"}
+    landing, archive = _landing(spark, sf), scratch.new_dir(spark, "archive")
+    medallion.run_files(spark, landing, root, names, "ws", fx.NOW_MS, archive)
+
+    def held(folder: str, column: str) -> DataFrame:
+        found = files.ingest_files(spark, folder, "ws").filter(~F.col("path").endswith("_SUCCESS"))
+        source = F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")
+        return found.groupBy(source).agg(F.sum("length").alias(column))
+
+    left = F.coalesce("left_bytes", F.lit(0).cast("bigint")).alias("left_bytes")
+    return held(archive, "archived_bytes").join(held(landing, "left_bytes"), "source", "full").select(
+        "source", "archived_bytes", left
+    )
+
+
 def q_upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Per-customer totals of two periods, merged as two streamed batches."""
     root, landing = scratch.new_dir(spark, "gold"), scratch.new_dir(spark, "updates")
