@@ -51,9 +51,20 @@ def digest_aggregates(hash_col: str) -> list[Column]:
     three 20-bit slices: a slice sum stays exact up to 2**43 rows per group.
     """
     h = F.col(hash_col)
-    mask = F.lit((1 << 20) - 1).cast("bigint")
     return [
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(h).alias("hx"),
-        *[F.sum(F.shiftright(h, 20 * i).bitwiseAND(mask)).alias(f"s{i}") for i in range(3)],
+        *[F.sum(s).alias(f"s{i}") for i, s in enumerate(_slices(h))],
     ]
+
+
+def _slices(h: Column) -> list[Column]:
+    mask = F.lit((1 << 20) - 1).cast("bigint")
+    return [F.shiftright(h, 20 * i).bitwiseAND(mask) for i in range(3)]
+
+
+def digests_differ(hash_col: str, src: Column) -> Column:
+    """As an aggregate over the rows of two sides: do the digests of those with ``src`` and of the others differ?"""
+    h = F.col(hash_col)
+    apart = [F.sum(F.when(src, s).otherwise(-s)) != 0 for s in _slices(h)]
+    return (F.count_if(src) != F.count_if(~src)) | (F.bit_xor(h) != 0) | apart[0] | apart[1] | apart[2]

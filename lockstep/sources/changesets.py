@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lockstep import scratch
 from lockstep.model import CLONE
-from lockstep.operators.changes import change_set, put
+from lockstep.operators.changes import change_set
 from lockstep.sources import digests, snapshots
 
 # A whole copy is made where a change set would bring more than this share of the rows, or
@@ -109,8 +109,7 @@ def deliver(
     if not ahead or at != held:
         return snapshots.copy(spark, stage_root, dst_root, table, version, dst_version)
     result = snapshots.read_version(spark, dst_root, table, latest)
-    for number, step in reversed(ahead):
-        result = put(result, snapshots.read_change(spark, stage_root, table, number, step), step["keys"])
+    result = snapshots.apply_changes(spark, result, stage_root, table, ahead[::-1])
     return snapshots.write_version(result, dst_root, table, dst_version, parts)
 
 

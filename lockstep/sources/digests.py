@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lockstep.functions.digest import DIGEST, digest_aggregates, row_hash
+from lockstep.functions.digest import DIGEST, digest_aggregates, digests_differ, row_hash
+from lockstep.operators import marks
 from lockstep.operators.reconcile import unequal
 from lockstep.operators.skew import BROADCAST_ROWS
 from lockstep.sources import snapshots
@@ -109,7 +110,8 @@ def diff_versions(
     """Keys whose rows differ between two versions, each a (root, table, version), with rows on both sides.
 
     Rows of a key are compared as a bag, NULL keys are equal. Neither table is read where the kept
-    trees agree; otherwise only rows in differing leaves are grouped by key.
+    trees agree. Otherwise the rows in differing leaves are matched by key place and digest, which moves two numbers of a
+    row, and only rows of places that then differ are grouped by key.
     """
     trees = [tree(spark, *side, keys, leaf_rows) for side in (src, dst)]
     depth, leaves = differing(*trees)
@@ -117,15 +119,37 @@ def diff_versions(
     tables = [snapshots.read_version(spark, *side) for side in (src, dst)]
     n = leaves.count()
     if n == 0:
-        return unequal(*[_by_key(df.limit(0), keys) for df in tables], keys)
-    suspects = F.broadcast(leaves) if n <= BROADCAST_ROWS else leaves
-
-    def narrowed(df: DataFrame) -> DataFrame:
-        marked = df.withColumn("_node", node_of(row_hash(df, sorted(keys)), depth))
-        return marked.join(suspects, marked["_node"] == suspects["node"], "left_semi").drop("_node")
-
-    return unequal(*[_by_key(narrowed(df), keys) for df in tables], keys)
-
-
-def _by_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, row_hash(df).alias("_h")).groupBy(*keys).agg(*digest_aggregates("_h"))
+        return _unequal_keys([df.limit(0) for df in tables], keys)
+    if n <= BROADCAST_ROWS:
+        tables = [_inside(df, keys, depth, leaves) for df in tables]
+    if marks.usable(*tables, keys):
+        suspects = marks.bitmap(_unequal_places(tables, keys)).checkpoint()
+        tables = [marks.hit(snapshots.read_version(spark, *side), keys, suspects) for side in (src, dst)]
+    return _unequal_keys(tables, keys)
+
+
+def _inside(df: DataFrame, keys: list[str], depth: int, leaves: DataFrame) -> DataFrame:
+    """The rows in some leaves."""
+    marked = df.withColumn("_node", node_of(row_hash(df, sorted(keys)), depth))
+    return marked.join(F.broadcast(leaves), marked["_node"] == leaves["node"], "left_semi").drop("_node")
+
+
+def _unequal_places(sides: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Places of keys with a row digest that the two sides don't have equally often."""
+    src, dst = [
+        df.select(marks.place(df, keys).alias("place"), row_hash(df).alias("_h"), F.lit(n).cast("bigint").alias("_n"))
+        for df, n in zip(sides, (1, -1))
+    ]
+    counted = src.union(dst).groupBy("place", "_h").agg(F.sum("_n").alias("_n"))
+    return counted.filter(F.col("_n") != 0).select("place")
+
+
+def _unequal_keys(sides: list[DataFrame], keys: list[str]) -> DataFrame:
+    """As ``reconcile.unequal`` of both sides' digests by key, in one grouping."""
+    src, dst = [df.select(*keys, row_hash(df).alias("_h"), F.lit(at).alias("_src")) for df, at in zip(sides, (True, False))]
+    found = src.union(dst).groupBy(*keys).agg(
+        F.count_if("_src").alias("src_rows"),
+        F.count_if(~F.col("_src")).alias("dst_rows"),
+        digests_differ("_h", F.col("_src")).alias("_differ"),
+    )
+    return found.filter("_differ").drop("_differ")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from lockstep.functions.names import split_name
 from lockstep.functions.pruning import about
 from lockstep.model import CLONE, COMMITS
-from lockstep.operators.changes import GONE, put
+from lockstep.operators.changes import GONE, put_all
 from lockstep.operators.history import as_of_time
 from lockstep.operators.merge import newest, upsert, upsert_newest
 from lockstep.operators.reconcile import diff
@@ -33,6 +33,9 @@ from lockstep.sources.paths import size, version_dir
 
 LAYOUT = "layout"
 
+# Change sets of so many rows in all have their keys broadcast as they are.
+FEW_ROWS = 10_000
+
 
 def now_millis() -> int:
     return int(time.time() * 1000)
@@ -199,9 +202,13 @@ def read_version(spark: SparkSession, root: str, table: str, version: int) -> Da
 
 
 def _read(spark: SparkSession, root: str, table: str, version: int, layout: dict) -> DataFrame:
-    if "base" in layout:
-        before = read_version(spark, root, table, layout["base"])
-        return put(before, read_change(spark, root, table, version, layout), layout["keys"])
+    steps = []
+    while "base" in layout:
+        steps.insert(0, (version, layout))
+        version = layout["base"]
+        layout = layout_of(spark, root, table, version)
+    if steps:
+        return apply_changes(spark, _read(spark, root, table, version, layout), root, table, steps)
     path = version_dir(root, table, version)
     if not layout:
         return spark.read.parquet(path)
@@ -215,6 +222,16 @@ def read_change(spark: SparkSession, root: str, table: str, version: int, layout
     return spark.read.schema(schema).parquet(version_dir(root, table, version))
 
 
+def apply_changes(
+    spark: SparkSession, before: DataFrame, root: str, table: str, steps: list[tuple[int, dict]]
+) -> DataFrame:
+    """A table after a root's change sets, given as versions and layouts, the oldest first."""
+    rows = [row_count(spark, root, table, version) for version, _ in steps]
+    few = None not in rows and sum(rows) <= FEW_ROWS
+    changes = [(read_change(spark, root, table, version, layout), layout["keys"]) for version, layout in steps]
+    return put_all(before, changes, few)
+
+
 def register(spark: SparkSession, root: str, table: str, version: int) -> str:
     """Point the session view ``<catalog>__<schema>.<table>`` at a version, replacing the old one.
 

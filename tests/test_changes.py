@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lockstep.operators import merge, reconcile
+from lockstep.operators import changes, marks, merge, reconcile
 from lockstep.sources import changesets, digests, snapshots
 from lockstep.sources.paths import exists, version_dir
 from lockstep.streaming import upsert
@@ -134,6 +134,85 @@ def test_a_half_written_tree_is_built_again(spark, root):
     assert rows(digests.tree(spark, root, NAME, 0, ["k"])) == first
 
 
+def test_scattered_changes_group_few_rows_by_key(spark, root, monkeypatch):
+    one = [(k, "a", float(k)) for k in range(3000)] + [(None, "b", 1.0)] * 2
+    two = [(k, g, -1.0 if k in range(0, 3000, 100) else x) for k, g, x in one[1:]]
+    for state in (one, two):
+        snapshots.publish(frame(spark, state), root, NAME)
+    grouped, real = [], digests._unequal_keys
+
+    def seen(sides, keys):
+        grouped.extend(df.count() for df in sides)
+        return real(sides, keys)
+
+    monkeypatch.setattr(digests, "_unequal_keys", seen)
+    found = digests.diff_versions(spark, (root, NAME, 0), (root, NAME, 1), ["k"])  # one leaf holds all rows
+    assert rows(found) == rows(reconcile.diff_keys(frame(spark, one), frame(spark, two), ["k"]))
+    assert found.count() == 30 and max(grouped) < 60
+
+
+def test_a_bitmap_hits_all_its_keys_and_few_others(spark):
+    keys = [(k, g) for k in (None, *range(0, 4000, 50)) for g in ("a", None)]
+    df = spark.createDataFrame([(k, g) for k in (None, *range(4000)) for g in ("a", None)], "k long, g string")
+    bits = marks.bitmap_of(spark.createDataFrame(keys, df.schema), ["k", "g"])
+    hit, missed = marks.hit(df, ["g", "k"], bits), marks.missed(df, ["k", "g"], bits)
+    assert rows(hit.union(missed)) == rows(df)
+    assert set(map(str, keys)) <= set(rows(hit)) and hit.count() < len(keys) + 20
+    assert marks.hit(df, ["k"], marks.bitmap_of(df.limit(0), ["k"])).isEmpty()
+
+
+def test_keys_that_hash_apart_are_joined_whole(spark):
+    target = frame(spark, [(1, "a", 0.0), (2, "b", 0.0)])
+    wide = spark.createDataFrame([(1, "z", 1.0, False)], "k long, g string, x double, _gone boolean")
+    assert not marks.usable(target, wide, ["k"])
+    assert rows(changes.put_all(target, [(wide, ["k"])])) == ["(1, 'z', 1.0)", "(2, 'b', 0.0)"]
+    collated = target.selectExpr("collate(g, 'UTF8_LCASE') as g")
+    assert not marks.usable(collated, collated, ["g"])
+
+
+def test_merged_change_sets_equal_one_after_the_other(spark):
+    draw, schema = random.Random(5), f"{SCHEMA}, _gone boolean"
+    target, steps = frame(spark, sample(300)), []
+    for _ in range(4):
+        named = draw.sample([*range(300), None], 60)
+        body = [(k, g, draw.random(), False) for k in named[20:] for g in draw.choice(["a", "bc", "aa"])]
+        steps.append(spark.createDataFrame([(k, None, None, True) for k in named[:20]] + body, schema))
+    expected = target
+    for step in steps:
+        expected = changes.put(expected, step, ["k"])
+    for few in (False, True):
+        assert rows(changes.put_all(target, [(s, ["k"]) for s in steps], few)) == rows(expected)
+    for step, keys in zip(steps, (["k"], ["k", "g"])):
+        target = changes.put(target, step, keys)
+    mixed = [(steps[0], ["k"]), (steps[1], ["k", "g"])]
+    assert rows(changes.put_all(frame(spark, sample(300)), mixed)) == rows(target)
+
+
+def test_rows_without_a_change_do_not_move(spark, root):
+    for name, df in (("t", frame(spark, sample(300))), ("c", frame(spark, sample(300)[:9]).withColumn("_gone", F.lit(False)))):
+        df.write.parquet(f"{root}/{name}")
+    target, change = (spark.read.parquet(f"{root}/{x}") for x in "tc")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    kept = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        result = changes.put_all(target, [(change, ["k"])])
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(threshold, kept)
+    stays = plan.split("Join LeftAnti")[1]
+    assert "_marks_row" in stays.split("\n")[0] and "rightHint=(strategy=broadcast)" in stays.split("\n")[0]
+
+
+def test_large_change_sets_past_a_bitmap(spark, root, monkeypatch):
+    monkeypatch.setattr(snapshots, "FEW_ROWS", -1)
+    one = sample(300)
+    two = [(k, g, None if k == 5 else x) for k, g, x in one[20:]] + [(None, None, 0.5), (999, "b", 1.0)] + one[-4:]
+    src, stage, _ = ship(spark, root, [one, two, [r for r in two if r[0] is not None]], ["g"])
+    changesets.deliver_table(spark, stage, f"{root}/new", NAME)
+    assert rows(snapshots.read(spark, f"{root}/new", NAME)) == rows(snapshots.read(spark, src, NAME))
+
+
 UPDATES = st.lists(
     st.tuples(st.sampled_from([1, 2, 3, None]), st.integers(0, 40), st.sampled_from("ab")),
     max_size=12, unique_by=lambda r: r[:2] if r[0] is not None else (id(r), 0),
