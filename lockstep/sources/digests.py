@@ -20,6 +20,8 @@ from lockstep.sources import snapshots
 from lockstep.sources.paths import exists, table_dir
 
 LEAF_ROWS = 4096
+# Rows are matched in tasks of about so many, unless one leaf holds more, as it does where a key has very many rows.
+MATCH_ROWS = 2_500_000
 # Fixed value: digits of a 64-bit hash that a level may use.
 MAX_LEVEL = 15
 
@@ -115,15 +117,18 @@ def diff_versions(
     """
     trees = [tree(spark, *side, keys, leaf_rows) for side in (src, dst)]
     depth, leaves = differing(*trees)
-    leaves = leaves.select("node").checkpoint()
+    leaves = leaves.select("node", (F.col("src_rows") + F.col("dst_rows")).alias("rows")).checkpoint()
     tables = [snapshots.read_version(spark, *side) for side in (src, dst)]
-    n = leaves.count()
+    n, rows, most = leaves.agg(F.count(F.lit(1)), F.sum("rows"), F.max("rows")).first()
     if n == 0:
         return _unequal_keys([df.limit(0) for df in tables], keys)
     if n <= BROADCAST_ROWS:
         tables = [_inside(df, keys, depth, leaves) for df in tables]
+    else:
+        rows = sum(kept.filter("level = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for kept in trees)
     if marks.usable(*tables, keys):
-        suspects = marks.bitmap(_unequal_places(tables, keys)).checkpoint()
+        tasks = -(-rows // MATCH_ROWS) if most <= MATCH_ROWS else 1
+        suspects = marks.bitmap(_unequal_places(tables, keys, tasks)).checkpoint()
         tables = [marks.hit(snapshots.read_version(spark, *side), keys, suspects) for side in (src, dst)]
     return _unequal_keys(tables, keys)
 
@@ -131,16 +136,22 @@ def diff_versions(
 def _inside(df: DataFrame, keys: list[str], depth: int, leaves: DataFrame) -> DataFrame:
     """The rows in some leaves."""
     marked = df.withColumn("_node", node_of(row_hash(df, sorted(keys)), depth))
-    return marked.join(F.broadcast(leaves), marked["_node"] == leaves["node"], "left_semi").drop("_node")
+    return marked.join(F.broadcast(leaves.select("node")), marked["_node"] == leaves["node"], "left_semi").drop("_node")
 
 
-def _unequal_places(sides: list[DataFrame], keys: list[str]) -> DataFrame:
-    """Places of keys with a row digest that the two sides don't have equally often."""
+def _unequal_places(sides: list[DataFrame], keys: list[str], tasks: int) -> DataFrame:
+    """Places of keys with a row digest that the two sides don't have equally often.
+
+    With several tasks, rows are dealt to them before they are counted: few equal ones meet where they are read, and
+    counting them there takes memory for all rows of a file. With one, copies are counted first, so that they don't move.
+    """
     src, dst = [
         df.select(marks.place(df, keys).alias("place"), row_hash(df).alias("_h"), F.lit(n).cast("bigint").alias("_n"))
         for df, n in zip(sides, (1, -1))
     ]
-    counted = src.union(dst).groupBy("place", "_h").agg(F.sum("_n").alias("_n"))
+    rows = src.union(dst)
+    dealt = rows.repartition(tasks, "place", "_h") if tasks > 1 else rows
+    counted = dealt.groupBy("place", "_h").agg(F.sum("_n").alias("_n"))
     return counted.filter(F.col("_n") != 0).select("place")
 
 

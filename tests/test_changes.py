@@ -151,6 +151,26 @@ def test_scattered_changes_group_few_rows_by_key(spark, root, monkeypatch):
     assert found.count() == 30 and max(grouped) < 60
 
 
+def test_rows_are_dealt_to_tasks_before_they_are_matched(spark, root, monkeypatch):
+    one = [(k, "a", float(k)) for k in range(3000)] + [(None, "b", 1.0)] * 2
+    two = [(k, g, -1.0 if k in range(0, 3000, 100) else x) for k, g, x in one[1:]]
+    for state in (one, two):
+        snapshots.publish(frame(spark, state), root, NAME)
+    plans, real = [], marks.bitmap
+
+    def seen(places):
+        plans.append(places._jdf.queryExecution().optimizedPlan().toString())
+        return real(places)
+
+    monkeypatch.setattr(marks, "bitmap", seen)
+    expected = rows(reconcile.diff_keys(frame(spark, one), frame(spark, two), ["k"]))
+    for most in (2000, 100, 10_000):  # several tasks; leaves with more rows than a task; one task
+        monkeypatch.setattr(digests, "MATCH_ROWS", most, raising=False)
+        assert rows(digests.diff_versions(spark, (root, NAME, 0), (root, NAME, 1), ["k"], 500)) == expected
+    dealt = ["RepartitionByExpression [place" in p for p in plans]
+    assert dealt == [True, False, False]
+
+
 def test_a_bitmap_hits_all_its_keys_and_few_others(spark):
     keys = [(k, g) for k in (None, *range(0, 4000, 50)) for g in ("a", None)]
     df = spark.createDataFrame([(k, g) for k in (None, *range(4000)) for g in ("a", None)], "k long, g string")
